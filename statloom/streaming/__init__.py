@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analyses this library re-expresses are batch analyses over one table;
+there is no stream, watermark or stateful operator to re-build.  A stream can
+still be analysed per micro-batch with ``foreachBatch`` calling any of the
+batch functions, so nothing streaming-specific lives here.
+"""
