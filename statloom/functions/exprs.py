@@ -24,29 +24,58 @@ def num(c) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
-def sig(c, digits: int = 9) -> Column:
-    """Round to ``digits`` significant digits (stable value hashing).
+def sig_columns(df: DataFrame, cols: list[str], digits: int = 9) -> DataFrame:
+    """Round ``cols`` to ``digits`` significant digits (stable value hashing).
 
-    Uses only IEEE operations (divide, multiply, add, floor) so that Spark and
-    the SQL twin :func:`sig_sql` give bit-identical doubles; magnitudes below
+    Only exact powers of ten (non-negative exponents) and IEEE divide /
+    multiply / add / floor are used, so Spark and the SQL twin
+    :func:`sig_sql` produce bit-identical doubles.  Magnitudes below
     ``1e-12`` (numerical zeros such as the skew of a symmetric column) are 0.
+    Staged projections keep every generated expression small.
     """
-    x = col_of(c).cast("double")
-    e = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))).cast("double"))
-    scale = float(10 ** (digits - 1))
-    r = F.floor(x / e * scale + 0.5).cast("double") / scale * e
-    return (F.when(x.isNull() | F.isnan(x), x)
-            .when(F.abs(x) < 1e-12, F.lit(0.0))
-            .otherwise(r) + F.lit(0.0))
+    if not cols:
+        return df
+    ten = F.lit(10.0)
+    tmp = {}
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        tmp[f"_sx{i}"] = x
+        tmp[f"_sk{i}"] = F.floor(F.log10(F.abs(x))).cast("double")
+    df = df.withColumns(tmp)
+    step = {}
+    for i, _ in enumerate(cols):
+        ax, k0 = F.abs(F.col(f"_sx{i}")), F.col(f"_sk{i}")
+        step[f"_sl{i}"] = F.when(k0 >= 0, ax / F.pow(ten, k0)).otherwise(ax * F.pow(ten, -k0))
+    df = df.withColumns(step)
+    step = {}
+    for i, _ in enumerate(cols):
+        lead, k0 = F.col(f"_sl{i}"), F.col(f"_sk{i}")
+        k = k0 + F.when(lead >= 10.0, F.lit(1.0)).when(lead < 1.0, F.lit(-1.0)).otherwise(F.lit(0.0))
+        step[f"_sm{i}"] = F.lit(float(digits - 1)) - k
+    df = df.withColumns(step)
+    out = {}
+    for i, c in enumerate(cols):
+        x, m = F.col(f"_sx{i}"), F.col(f"_sm{i}")
+        r = F.when(m >= 0, F.floor(x * F.pow(ten, m) + 0.5).cast("double") / F.pow(ten, m)
+                   ).otherwise(F.floor(x / F.pow(ten, -m) + 0.5).cast("double") * F.pow(ten, -m))
+        out[c] = (F.when(x.isNull() | F.isnan(x), x).when(F.abs(x) < 1e-12, F.lit(0.0))
+                  .otherwise(r) + F.lit(0.0))
+    df = df.withColumns(out)
+    return df.drop(*[f"_s{t}{i}" for i in range(len(cols)) for t in "xklm"])
 
 
 def sig_sql(expr: str, digits: int = 9) -> str:
     """DuckDB twin of :func:`sig`."""
     x = f"CAST(({expr}) AS DOUBLE)"
-    e = f"pow(10.0, floor(log10(abs({x}))))"
-    scale = float(10 ** (digits - 1))
-    return (f"(CASE WHEN {x} IS NULL OR isnan({x}) THEN {x} WHEN abs({x}) < 1e-12 THEN 0.0 "
-            f"ELSE floor({x} / {e} * {scale} + 0.5) / {scale} * {e} END + 0.0)")
+    ax = f"abs({x})"
+    k0 = f"floor(log10({ax}))"
+    lead = f"(CASE WHEN {k0} >= 0 THEN {ax} / pow(10.0, {k0}) ELSE {ax} * pow(10.0, -{k0}) END)"
+    k = f"({k0} + CASE WHEN {lead} >= 10.0 THEN 1.0 WHEN {lead} < 1.0 THEN -1.0 ELSE 0.0 END)"
+    m = f"({float(digits - 1)} - {k})"
+    r = (f"(CASE WHEN {m} >= 0 THEN floor({x} * pow(10.0, {m}) + 0.5) / pow(10.0, {m}) "
+         f"ELSE floor({x} / pow(10.0, -{m}) + 0.5) * pow(10.0, -{m}) END)")
+    return (f"(CASE WHEN {x} IS NULL OR isnan({x}) THEN {x} WHEN {ax} < 1e-12 THEN 0.0 "
+            f"ELSE {r} END + 0.0)")
 
 
 def is_numeric(dt) -> bool:

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.functions.exprs import sig, sig_sql
+from statloom.functions.exprs import sig_columns, sig_sql
 
 
 @dataclass
@@ -26,7 +26,7 @@ class Query:
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(spark, sf_dir)
         if self.sig_cols:
-            df = df.withColumns({c: sig(c) for c in self.sig_cols})
+            df = sig_columns(df, self.sig_cols)
         return df
 
     def oracle(self) -> str | None:
