@@ -6,7 +6,7 @@ import importlib
 
 from statloom.plans.catalog import REGISTRY
 
-_FAMILIES = ["q_describe", "q_profile", "q_stats"]
+_FAMILIES = ["q_describe", "q_profile", "q_stats", "q_prepare"]
 
 for _m in _FAMILIES:
     importlib.import_module(f"statloom.plans.{_m}")
