@@ -119,17 +119,11 @@ def fill_ffill_bfill(df: DataFrame, col: str, order: list[str],
     edges = ranged.filter(F.col(col).isNotNull()).groupBy("_pid").agg(
         F.max_by(col, okey).alias("_last"), F.min_by(col, okey).alias("_first"))
     wp = Window.orderBy("_pid")  # one row per range partition
-    carry = edges.select(
+    allp = ranged.select("_pid").distinct().join(edges, "_pid", "left")
+    carry = allp.select(
         "_pid",
         F.last("_last", ignorenulls=True).over(wp.rowsBetween(Window.unboundedPreceding, -1)).alias("_cf"),
         F.first("_first", ignorenulls=True).over(wp.rowsBetween(1, Window.unboundedFollowing)).alias("_cb"))
-    allp = ranged.select("_pid").distinct()
-    carry = allp.join(carry, "_pid", "left")
-    # partitions with no non-null value still need both carries
-    carry = carry.select(
-        "_pid",
-        F.last("_cf", ignorenulls=True).over(wp.rowsBetween(Window.unboundedPreceding, 0)).alias("_cf"),
-        F.first("_cb", ignorenulls=True).over(wp.rowsBetween(0, Window.unboundedFollowing)).alias("_cb"))
     j = local.join(F.broadcast(carry), "_pid", "left")  # at most one row per partition
     filled = F.coalesce(F.col("_f"), F.col("_cf"), F.col("_b"), F.col("_cb"))
     return j.withColumn(col, filled).drop("_pid", "_f", "_b", "_cf", "_cb")
