@@ -139,3 +139,17 @@ def test_mann_whitney_matches_formula(spark):
     ranks = pd.Series(a + b).rank()
     u1 = ranks[:5].sum() - 15
     assert math.isclose(r.statistic, u1)
+
+
+def test_pca_matches_numpy_eigh(spark):
+    from statloom.operators import multivariate as M
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=300)
+    data = np.column_stack([a, a + rng.normal(scale=0.5, size=300), rng.normal(size=300)])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in data], "x double, y double, z double")
+    out = M.pca(df, ["x", "y", "z"])
+    var = out["pca_variance"].orderBy("component").collect()
+    z = (data - data.mean(0)) / data.std(0)
+    ev = np.sort(np.linalg.eigvalsh(np.cov(z, rowvar=False)))[::-1]
+    assert np.allclose([r.eigenvalue for r in var], ev, rtol=1e-8)
+    assert math.isclose(var[-1].cumulative, 1.0)
