@@ -153,3 +153,14 @@ def test_pca_matches_numpy_eigh(spark):
     ev = np.sort(np.linalg.eigvalsh(np.cov(z, rowvar=False)))[::-1]
     assert np.allclose([r.eigenvalue for r in var], ev, rtol=1e-8)
     assert math.isclose(var[-1].cumulative, 1.0)
+
+
+def test_engine_analyze_runs(spark):
+    from statloom.operators.prepare import AnalysisParams
+    from statloom.plans.engine import analyze
+    from tests.conftest import SF
+    ev = spark.read.parquet(f"{SF}/events.parquet").drop("props")
+    res = analyze(ev, AnalysisParams(analysis_types=("descriptive", "correlations", "outliers", "time_series")),
+                  key="event_id")
+    assert {"descriptive_numeric", "outliers_iqr", "ts_trend"} <= set(res)
+    assert res["descriptive_numeric"].count() == 2
