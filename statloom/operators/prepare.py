@@ -98,32 +98,39 @@ def fill_ffill_bfill(df: DataFrame, col: str, order: list[str],
     the bounds are stable), each range fills locally, and the value carried
     across ranges comes from a table of one row per range partition.
     """
-    ffill_w = Window.rowsBetween(Window.unboundedPreceding, 0)
-    bfill_w = Window.rowsBetween(0, Window.unboundedFollowing)
+    # The backward fill is a forward fill over the reversed order: a growing
+    # frame is linear, while CURRENT ROW .. UNBOUNDED FOLLOWING re-aggregates
+    # the remaining rows for every row.
+    desc = [F.col(c).desc() for c in order]
     if partition:
         w = Window.partitionBy(*partition).orderBy(*order)
+        wr = Window.partitionBy(*partition).orderBy(*desc)
         f = F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        b = F.first(col, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        return df.withColumn(col, F.coalesce(f, b))
-    del ffill_w, bfill_w
+        b = F.last(col, ignorenulls=True).over(wr.rowsBetween(Window.unboundedPreceding, 0))
+        return df.withColumn("_f", f).withColumn("_b", b).withColumn(
+            col, F.coalesce("_f", "_b")).drop("_f", "_b")
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id())
     ranged = ranged.checkpoint(eager=True)
     w = Window.partitionBy("_pid").orderBy(*order)
+    wr = Window.partitionBy("_pid").orderBy(*desc)
     local = ranged.withColumn("_f", F.last(col, ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "_b", F.first(col, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        "_b", F.last(col, ignorenulls=True).over(wr.rowsBetween(Window.unboundedPreceding, 0)))
     okey = F.struct(*order)
     edges = ranged.filter(F.col(col).isNotNull()).groupBy("_pid").agg(
         F.max_by(col, okey).alias("_last"), F.min_by(col, okey).alias("_first"))
     wp = Window.orderBy("_pid")  # one row per range partition
+    wpr = Window.orderBy(F.col("_pid").desc())
     allp = ranged.select("_pid").distinct().join(edges, "_pid", "left")
     carry = allp.select(
-        "_pid",
-        F.last("_last", ignorenulls=True).over(wp.rowsBetween(Window.unboundedPreceding, -1)).alias("_cf"),
-        F.first("_first", ignorenulls=True).over(wp.rowsBetween(1, Window.unboundedFollowing)).alias("_cb"))
+        "_pid", "_first",
+        F.last("_last", ignorenulls=True).over(wp.rowsBetween(Window.unboundedPreceding, -1)).alias("_cf"))
+    carry = carry.select(
+        "_pid", "_cf",
+        F.last("_first", ignorenulls=True).over(wpr.rowsBetween(Window.unboundedPreceding, -1)).alias("_cb"))
     j = local.join(F.broadcast(carry), "_pid", "left")  # at most one row per partition
     filled = F.coalesce(F.col("_f"), F.col("_cf"), F.col("_b"), F.col("_cb"))
     return j.withColumn(col, filled).drop("_pid", "_f", "_b", "_cf", "_cb")

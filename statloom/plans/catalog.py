@@ -25,8 +25,9 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(spark, sf_dir)
-        if self.sig_cols:
-            df = sig_columns(df, self.sig_cols)
+        present = [c for c in self.sig_cols if c in df.columns]  # data-dependent outputs
+        if present:
+            df = sig_columns(df, present)
         return df
 
     def oracle(self) -> str | None:
