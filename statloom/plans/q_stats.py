@@ -184,3 +184,27 @@ SELECT o_orderpriority, CAST(sum(o_totalprice) AS DOUBLE) AS total FROM orders G
           sig_cols=["total", "share"])
 def chart_pie(spark, sf):
     return G.chart_pie(frame(spark, sf, "orders"), "o_orderpriority", "o_totalprice")
+
+
+def _kendall_sql(src, cols):
+    parts = []
+    for a, b in combinations(cols, 2):
+        parts.append(f"""SELECT '{a}' AS var1, '{b}' AS var2, n, s / sqrt((n0 - n1) * (n0 - n2)) AS tau FROM (
+  SELECT (SELECT count(*) FROM p) AS n, (SELECT count(*) * (count(*) - 1) / 2 FROM p) AS n0,
+    (SELECT coalesce(sum(t * (t - 1) / 2), 0) FROM (SELECT count(*) AS t FROM p GROUP BY {a})) AS n1,
+    (SELECT coalesce(sum(t * (t - 1) / 2), 0) FROM (SELECT count(*) AS t FROM p GROUP BY {b})) AS n2,
+    (SELECT sum(sign(p1.{a} - p2.{a}) * sign(p1.{b} - p2.{b})) FROM p p1 JOIN p p2 ON p1.i < p2.i) AS s)""")
+    sel = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    return f"SELECT * FROM (WITH p AS (SELECT row_number() OVER () AS i, {sel} FROM {src}) " + "\nUNION ALL\n".join(parts) + ")"
+
+
+@register("corr_kendall", sql=sql("part_numeric") + _kendall_sql("part_numeric", PART), sig_cols=["tau"])
+def corr_kendall(spark, sf):
+    from statloom.operators.kendall import corr_kendall as kt
+    return kt(frame(spark, sf, "part_numeric"), PART)
+
+
+@register("corr_kendall_customer", sql=_kendall_sql("customer", ["c_nationkey", "c_acctbal"]), sig_cols=["tau"])
+def corr_kendall_customer(spark, sf):
+    from statloom.operators.kendall import corr_kendall as kt
+    return kt(frame(spark, sf, "customer"), ["c_nationkey", "c_acctbal"])

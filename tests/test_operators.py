@@ -164,3 +164,20 @@ def test_engine_analyze_runs(spark):
                   key="event_id")
     assert {"descriptive_numeric", "outliers_iqr", "ts_trend"} <= set(res)
     assert res["descriptive_numeric"].count() == 2
+
+
+@pytest.mark.parametrize("cells_per_block", [10**9, 7])
+def test_kendall_matches_brute_force(spark, cells_per_block):
+    import collections
+    from statloom.operators.kendall import corr_kendall
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 6, 120).astype(float)
+    y = (x + rng.integers(0, 4, 120)).astype(float)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    tau = corr_kendall(df, ["x", "y"], cells_per_block=cells_per_block).first().tau
+    n = len(x)
+    s = sum(np.sum(np.sign(x[i] - x[i + 1:]) * np.sign(y[i] - y[i + 1:])) for i in range(n))
+    n0 = n * (n - 1) / 2
+    t1 = sum(v * (v - 1) / 2 for v in collections.Counter(x).values())
+    t2 = sum(v * (v - 1) / 2 for v in collections.Counter(y).values())
+    assert math.isclose(tau, s / math.sqrt((n0 - t1) * (n0 - t2)), rel_tol=1e-12)
