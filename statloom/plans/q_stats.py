@@ -208,3 +208,15 @@ def corr_kendall(spark, sf):
 def corr_kendall_customer(spark, sf):
     from statloom.operators.kendall import corr_kendall as kt
     return kt(frame(spark, sf, "customer"), ["c_nationkey", "c_acctbal"])
+
+
+@register("outliers_isolation_forest")
+def outliers_isolation_forest(spark, sf):
+    from statloom.operators.iforest import outliers_isolation_forest as iso
+    return iso(frame(spark, sf, "events"), "event_id", ["user_id", "value"])["summary"]
+
+
+@register("isolation_scores")
+def isolation_scores(spark, sf):
+    from statloom.operators.iforest import outliers_isolation_forest as iso
+    return iso(frame(spark, sf, "events"), "event_id", ["user_id", "value"])["scores"]

@@ -181,3 +181,15 @@ def test_kendall_matches_brute_force(spark, cells_per_block):
     t1 = sum(v * (v - 1) / 2 for v in collections.Counter(x).values())
     t2 = sum(v * (v - 1) / 2 for v in collections.Counter(y).values())
     assert math.isclose(tau, s / math.sqrt((n0 - t1) * (n0 - t2)), rel_tol=1e-12)
+
+
+def test_isolation_forest_finds_planted_outliers(spark):
+    from statloom.operators.iforest import isolation_scores, outliers_isolation_forest
+    rng = np.random.default_rng(0)
+    pts = np.vstack([rng.normal(size=(450, 2)), rng.normal(9, 0.5, size=(20, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)],
+                               "id long, a double, b double")
+    s = isolation_scores(df, "id", trees=30).toPandas().sort_values("score")
+    assert s.head(20)["id"].ge(450).mean() >= 0.9
+    summ = outliers_isolation_forest(df, "id", trees=30)["summary"].first()
+    assert summ.n == 470 and summ.n_outliers == 47
