@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from statloom.operators import multivariate as M
 from statloom.plans.catalog import register
-from statloom.plans.fixtures import frame
+from statloom.plans.fixtures import frame, sql
 
 _ROLL = ["n_lines", "sum_qty", "sum_price", "avg_disc"]
 
@@ -47,3 +47,30 @@ def kmeans_sweep(spark, sf):
 @register("kmeans_profile")
 def kmeans_profile(spark, sf):
     return M.kmeans_profile(frame(spark, sf, "vec_2d"), 3, ["x", "y"])
+
+
+@register("dbscan_summary")
+def dbscan_summary(spark, sf):
+    from statloom.operators.dbscan import dbscan_summary as db
+    return db(frame(spark, sf, "vec_2d"), ["x", "y"])["summary"]
+
+
+@register("dbscan_sizes")
+def dbscan_sizes(spark, sf):
+    from statloom.operators.dbscan import dbscan_summary as db
+    return db(frame(spark, sf, "vec_2d"), ["x", "y"])["sizes"]
+
+
+_DB_SQL = sql("vec_2d") + """SELECT * FROM (WITH z AS (
+  SELECT vec_id, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS y FROM vec_2d),
+nb AS (SELECT a.vec_id AS a, b.vec_id AS b FROM z a JOIN z b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.25),
+core AS (SELECT a AS vec_id FROM nb GROUP BY a HAVING count(*) >= 5),
+reach AS (SELECT DISTINCT nb.a AS vec_id FROM nb JOIN core ON nb.b = core.vec_id)
+SELECT (SELECT count(*) FROM core) AS n_core,
+  (SELECT count(*) FROM z WHERE vec_id NOT IN (SELECT vec_id FROM reach)) AS n_noise)"""
+
+
+@register("dbscan_core_noise", sql=_DB_SQL)
+def dbscan_core_noise(spark, sf):
+    from statloom.operators.dbscan import dbscan_summary as db
+    return db(frame(spark, sf, "vec_2d"), ["x", "y"])["summary"].select("n_core", "n_noise")

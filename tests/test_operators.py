@@ -193,3 +193,40 @@ def test_isolation_forest_finds_planted_outliers(spark):
     assert s.head(20)["id"].ge(450).mean() >= 0.9
     summ = outliers_isolation_forest(df, "id", trees=30)["summary"].first()
     assert summ.n == 470 and summ.n_outliers == 47
+
+
+def _naive_dbscan(z, eps=0.5, min_samples=5):
+    n = len(z)
+    dist = np.sqrt(((z[:, None, :] - z[None, :, :]) ** 2).sum(-1))
+    nb = dist <= eps
+    core = nb.sum(1) >= min_samples
+    lab = -np.ones(n, int)
+    c = 0
+    for i in range(n):
+        if not core[i] or lab[i] != -1:
+            continue
+        stack, lab[i] = [i], c
+        while stack:
+            j = stack.pop()
+            for k in np.flatnonzero(nb[j]):
+                if lab[k] == -1 or (core[k] and lab[k] != c and lab[k] == -1):
+                    lab[k] = c
+                    if core[k]:
+                        stack.append(k)
+        c += 1
+    return c, int((lab == -1).sum()), int(core.sum())
+
+
+def test_dbscan_matches_naive(spark):
+    from statloom.operators.dbscan import dbscan_summary
+    rng = np.random.default_rng(11)
+    t = np.linspace(0, 6, 150)
+    chain = np.column_stack([t, np.sin(t)]) + rng.normal(0, 0.03, (150, 2))
+    blob = rng.normal((8, -3), 0.2, (80, 2))
+    noise = rng.uniform(-10, 15, (30, 2))
+    pts = np.vstack([chain, blob, noise])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in pts], "x double, y double")
+    s = dbscan_summary(df, ["x", "y"])["summary"].first()
+    z = (pts - pts.mean(0)) / pts.std(0)
+    c, noise_n, core_n = _naive_dbscan(z)
+    assert (s.n_clusters, s.n_noise, s.n_core) == (c, noise_n, core_n)
