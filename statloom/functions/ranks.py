@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.exprs import clean_numeric, stack_long
-from statloom.session import ensure_checkpoint_dir
+from statloom.session import ensure_checkpoint_dir, ensure_parallelism
 
 # Cells per window task we accept before switching to range partitioning.
 WINDOW_CELL_BOUND = 2_000_000
@@ -122,7 +122,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     by: list[str] | None = None, est_cells: float | None = None) -> DataFrame:
     """Exact linear quantiles of numeric ``cols``: ``(column_name, by..., prob, q)``."""
     by = by or []
-    long = stack_long(clean_numeric(df, cols, keep=by), cols, keep=by)
+    long = stack_long(clean_numeric(ensure_parallelism(df), cols, keep=by), cols, keep=by)
     group = ["column_name", *by]
     cum = cumulate(value_cells(long, group), group, est_cells=est_cells)
     return quantiles_from_cells(cum, group, probs)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.exprs import clean_numeric, numeric_columns, stack_long
 from statloom.functions.ranks import quantile_wide
+from statloom.session import ensure_parallelism
 
 MAX_BINS = 30
 HIST_COLS = 6
@@ -20,7 +21,7 @@ def histogram_bins(df: DataFrame, cols: list[str] | None = None, bins: int = MAX
     The last bin is closed on the right; a constant column fills bin 0.
     """
     cols = cols or numeric_columns(df)[:HIST_COLS]
-    long = stack_long(clean_numeric(df, cols), cols)
+    long = stack_long(clean_numeric(ensure_parallelism(df), cols), cols)
     rng = long.groupBy("column_name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     w = (F.col("hi") - F.col("lo")) / bins
     b = F.when(w > 0, F.least(F.floor((F.col("value") - F.col("lo")) / w), F.lit(bins - 1))

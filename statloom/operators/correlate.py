@@ -111,10 +111,31 @@ def _r(ps: DataFrame) -> DataFrame:
     return ps.select("var1", "var2", "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
 
 
+ONE_PASS_MAX_PAIRS = 12
+
+
 def corr_pearson(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """R2: ``(var1, var2, n, r)`` for every pair i < j (schema order)."""
+    """R2: ``(var1, var2, n, r)`` for every pair i < j (schema order).
+
+    Few pairs: one scan with Spark's numerically stable ``corr`` aggregate
+    (pairwise complete).  Many pairs: the two-pass shifted sums, whose plain
+    sums keep a wide aggregate small enough to compile.
+    """
     cols = cols or numeric_columns(df)
-    return _r(pair_stats(df, cols))
+    pairs = list(combinations(cols, 2))
+    if len(pairs) > ONE_PASS_MAX_PAIRS:
+        return _r(pair_stats(df, cols))
+    x = clean_numeric(df, cols)
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        aggs += [F.sum(both.cast("long")).alias(f"n{i}"), F.corr(a, b).alias(f"r{i}")]
+    wide = x.agg(*aggs)
+    return wide.select(F.inline(F.array(*[F.struct(
+        F.lit(a).alias("var1"), F.lit(b).alias("var2"),
+        F.coalesce(F.col(f"n{i}"), F.lit(0)).cast("long").alias("n"),
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"r{i}"))).alias("r"))
+        for i, (a, b) in enumerate(pairs)])))
 
 
 def with_ranks(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:

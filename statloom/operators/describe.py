@@ -15,6 +15,7 @@ from statloom.functions.exprs import (adjusted_kurt, adjusted_skew, clean_numeri
                                       num, numeric_columns, safe_div, stack_long,
                                       string_columns)
 from statloom.functions.ranks import quantile_wide
+from statloom.session import ensure_parallelism
 
 FULL_PROBS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 FULL_NAMES = ["p01", "p05", "p25", "p50", "p75", "p95", "p99"]
@@ -105,7 +106,7 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(column_name, value, cnt)`` over non-null string values (map-side combined)."""
-    long = stack_long(df, cols, value_type="string")
+    long = stack_long(ensure_parallelism(df), cols, value_type="string")
     return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 

@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -430,20 +430,18 @@ def mutual_information(df: DataFrame, cols: list[str] | None = None, target: str
         return e
 
     b = cc.select(*[binned(c).alias(c) for c in cols])
-    n = b.count()
-    parts = []
-    for f in feats:
-        joint = b.groupBy(F.col(f).alias("bx"), F.col(target).alias("by")).agg(F.count(F.lit(1)).alias("nxy"))
-        px = joint.groupBy("bx").agg(F.sum("nxy").alias("nx"))
-        py = joint.groupBy("by").agg(F.sum("nxy").alias("ny"))
-        j = joint.join(px, "bx").join(py, "by")
-        pxy = F.col("nxy") / F.lit(float(n))
-        mi = F.sum(pxy * F.log(F.col("nxy") * F.lit(float(n)) / (F.col("nx") * F.col("ny"))))
-        parts.append(j.agg(mi.alias("mi")).select(F.lit(f).alias("feature"), F.lit(target).alias("target"),
-                                                  "mi"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    # one aggregation: joint bin counts of every (feature, target) pair
+    joint = (b.select(F.col(target).alias("by"), F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).alias("bx")) for f in feats])))
+        .groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("nxy")))
+    # the joint table has at most features x bins x bins rows
+    wf = Window.partitionBy("feature")
+    j = (joint.withColumn("nx", F.sum("nxy").over(wf.partitionBy("feature", "bx")))
+         .withColumn("ny", F.sum("nxy").over(wf.partitionBy("feature", "by")))
+         .withColumn("n", F.sum("nxy").over(wf)))
+    term = F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
+    out = j.groupBy("feature").agg(F.sum(term).alias("mi")).select(
+        "feature", F.lit(target).alias("target"), "mi")
     mx = out.agg(F.max("mi").alias("_mx")).withColumn("_k", F.lit(0))
     return (out.withColumn("_k", F.lit(0)).join(F.broadcast(mx), "_k")
             .select("feature", "target", "mi",

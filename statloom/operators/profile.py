@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statloom.functions.exprs import explode_structs, safe_div
+from statloom.session import ensure_parallelism
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's rules (semantic categories).
@@ -110,7 +111,7 @@ def unique_ratio(df: DataFrame, exact: bool = True) -> DataFrame:
     """P5: ``(column_name, n_distinct, unique_ratio)``; nulls are not a value,
     the denominator is all rows.  ``exact=False`` uses HyperLogLog++."""
     dc = F.countDistinct if exact else F.approx_count_distinct
-    wide = df.agg(F.count(F.lit(1)).alias("_rows"),
+    wide = ensure_parallelism(df).agg(F.count(F.lit(1)).alias("_rows"),
                   *[dc(F.col(c)).alias(f"d{i}") for i, c in enumerate(df.columns)])
     return explode_structs(wide, [F.struct(
         F.lit(c).alias("column_name"), F.col(f"d{i}").cast("long").alias("n_distinct"),
@@ -191,10 +192,29 @@ def category_rule(name="column_name", dtype="dtype", ratio="unique_ratio"):
 
 
 def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Shared schema-sized profile: ordinal, name, dtype, distinct, ratio, nulls."""
-    sch = _schema_frame(df)
-    return (sch.join(unique_ratio(df, exact), "column_name")
-            .join(missing_profile(df), "column_name"))
+    """Shared schema-sized profile: ordinal, name, dtype, distinct, ratio, nulls.
+
+    One aggregation computes distinct counts and null counts together.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    dc = F.countDistinct if exact else F.approx_count_distinct
+
+    def miss(c):
+        m = F.col(c).isNull()
+        if isinstance(types[c], (T.FloatType, T.DoubleType)):
+            m = m | F.isnan(c)
+        return F.sum(m.cast("long"))
+
+    wide = ensure_parallelism(df).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[a for i, c in enumerate(df.columns) for a in (dc(F.col(c)).alias(f"d{i}"), miss(c).alias(f"m{i}"))])
+    prof = explode_structs(wide, [F.struct(
+        F.lit(c).alias("column_name"), F.col(f"d{i}").cast("long").alias("n_distinct"),
+        safe_div(F.col(f"d{i}"), F.col("_rows")).alias("unique_ratio"),
+        F.coalesce(F.col(f"m{i}"), F.lit(0)).alias("nulls"),
+        F.coalesce(safe_div(F.col(f"m{i}"), F.col("_rows")) * 100.0, F.lit(0.0)).alias("pct_nulls"))
+        for i, c in enumerate(df.columns)])
+    return _schema_frame(df).join(prof, "column_name")
 
 
 def column_categories(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -213,7 +233,7 @@ def column_digest(df: DataFrame, limit_cols: int = 20, exact: bool = True) -> Da
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """P10: rows that repeat an earlier row (nulls compare equal)."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+    g = ensure_parallelism(df).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
     return g.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("n_rows"),
                  F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 

@@ -58,14 +58,19 @@ FROM events"""
 
 
 def _order_rollup(spark, sf):
+    # sums of two-decimal amounts in DECIMAL: exact, so independent of row order
     li = table(spark, sf, "lineitem")
+    dec = lambda c: F.col(c).cast("decimal(18,2)")
     return li.groupBy(F.col("l_orderkey").alias("o_key")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("sum_qty"),
-        F.sum("l_extendedprice").alias("sum_price"), F.avg("l_discount").alias("avg_disc"))
+        F.count(F.lit(1)).alias("n_lines"), F.sum(dec("l_quantity")).cast("double").alias("sum_qty"),
+        F.sum(dec("l_extendedprice")).cast("double").alias("sum_price"),
+        (F.sum(dec("l_discount")).cast("double") / F.count(F.lit(1))).alias("avg_disc"))
 
 
 _ORDER_ROLLUP_SQL = """SELECT l_orderkey AS o_key, count(*) AS n_lines,
-  sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_price, avg(l_discount) AS avg_disc
+  CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty,
+  CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_price,
+  CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_disc
 FROM lineitem GROUP BY l_orderkey"""
 
 

@@ -54,3 +54,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="statloom-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def ensure_parallelism(df, factor: int = 1):
+    """Round-robin a frame whose scan yields fewer partitions than the cluster
+    has cores (e.g. one Parquet row group); a no-op for large inputs.
+
+    Only for order-insensitive work (counts, distinct values, exact
+    quantiles, min/max): a shuffle changes the order in which floating-point
+    sums accumulate, so it is not applied in front of moments or correlations.
+    Planning only (no job); column pruning and filter pushdown still reach the
+    scan below the repartition.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

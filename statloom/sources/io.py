@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.functions.ranks import global_row_number
-from statloom.session import ensure_checkpoint_dir
+from statloom.session import ensure_checkpoint_dir, ensure_parallelism
 
 # Encodings tried in order by the reference; first that decodes wins.
 ENCODINGS = ["utf-8", "latin-1", "iso-8859-1", "cp1252"]
@@ -37,6 +37,11 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "utf-8" if bad == 0 else "iso-8859-1"
 
 
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Read a table and make sure the first stage runs on every core."""
+    return ensure_parallelism(spark.read.format(fmt).load(path))
+
+
 def read_csv(spark: SparkSession, path: str, schema=None, encoding: str | None = None) -> DataFrame:
     """CSV with a header; types inferred unless ``schema`` is given."""
     enc = encoding or detect_encoding(spark, path)
