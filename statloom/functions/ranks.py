@@ -35,22 +35,23 @@ def value_cells(long_df: DataFrame, group: list[str], value: str = "value",
 
 def cumulate(cells: DataFrame, group: list[str], value: str = "value",
              cnt: str = "cnt", window_bound: int = WINDOW_CELL_BOUND,
-             est_cells: float | None = None) -> DataFrame:
+             max_group_cells: float | None = None) -> DataFrame:
     """Add ``cum_before`` (rows with a smaller value in the group) and ``n``.
 
     Input must have one row per (group, value).  Output keeps all columns.
-    ``est_cells`` is an upper estimate of the cell count (e.g. a sum of
-    ``approx_count_distinct``); when it is well under the bound the exact
-    count and checkpoint are skipped.
+    A window per group is used when the largest group holds at most
+    ``window_bound`` cells (one task sorts one group).  ``max_group_cells`` is
+    a proven upper bound supplied by the caller (e.g. the largest non-null
+    count); without it the cells are checkpointed and the group sizes counted.
     """
     spark = cells.sparkSession
-    if est_cells is not None and est_cells * 1.2 <= window_bound:
-        total = est_cells
+    if max_group_cells is not None and max_group_cells <= window_bound:
+        biggest = max_group_cells
     else:
         ensure_checkpoint_dir(spark)
         cells = cells.checkpoint(eager=True)
-        total = cells.count()
-    if total <= window_bound:
+        biggest = cells.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= window_bound:
         w = Window.partitionBy(*group).orderBy(value)
         wg = Window.partitionBy(*group)
         return (cells
@@ -58,6 +59,7 @@ def cumulate(cells: DataFrame, group: list[str], value: str = "value",
                     F.sum(cnt).over(w.rowsBetween(Window.unboundedPreceding, -1)),
                     F.lit(0)).cast("long"))
                 .withColumn("n", F.sum(cnt).over(wg).cast("long")))
+    total = cells.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                 -(-total // CELLS_PER_RANGE_PARTITION))
     ranged = (cells.repartitionByRange(parts, *group, value)
@@ -119,21 +121,38 @@ def quantiles_from_cells(cum: DataFrame, group: list[str], probs: list[float],
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    by: list[str] | None = None, est_cells: float | None = None) -> DataFrame:
-    """Exact linear quantiles of numeric ``cols``: ``(column_name, by..., prob, q)``."""
+                    by: list[str] | None = None, max_group_cells: float | None = None) -> DataFrame:
+    """Exact linear quantiles of numeric ``cols``: ``(column_name, by..., prob, q)``.
+
+    Strategy by a proven size bound: when the largest column holds at most
+    ``WINDOW_CELL_BOUND`` values (an exact count, or the caller's bound), its
+    value cells are ranked by one window task per column.  Larger columns go
+    to distributed selection (``functions.select``): a few small aggregates
+    over column scans and no shuffle of the values.  With ``by`` (an unbounded
+    number of groups) the ranked-cell path with its range-partitioned variant
+    is used.
+    """
+    if not by:
+        if max_group_cells is None:
+            x = clean_numeric(df, cols)
+            r = x.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+            max_group_cells = max([r[f"n{i}"] or 0 for i in range(len(cols))] or [0])
+        if max_group_cells > WINDOW_CELL_BOUND:
+            from statloom.functions.select import exact_quantiles_select
+            return exact_quantiles_select(df, cols, probs)
     by = by or []
     long = stack_long(clean_numeric(ensure_parallelism(df), cols, keep=by), cols, keep=by)
     group = ["column_name", *by]
-    cum = cumulate(value_cells(long, group), group, est_cells=est_cells)
+    cum = cumulate(value_cells(long, group), group, max_group_cells=max_group_cells)
     return quantiles_from_cells(cum, group, probs)
 
 
 def quantile_wide(df: DataFrame, cols: list[str], probs: list[float],
                   names: list[str], by: list[str] | None = None,
-                  est_cells: float | None = None) -> DataFrame:
+                  max_group_cells: float | None = None) -> DataFrame:
     """One row per column (and by-group) with one quantile per output name."""
     by = by or []
-    q = exact_quantiles(df, cols, probs, by, est_cells)
+    q = exact_quantiles(df, cols, probs, by, max_group_cells)
     return q.groupBy("column_name", *by).agg(*[
         F.max(F.when(F.col("prob") == float(p), F.col("q"))).alias(nm)
         for p, nm in zip(probs, names)])

@@ -74,15 +74,15 @@ MOMENTS_SCHEMA = ("column_name string, count long, nulls long, rows long, mean d
 
 
 def _cells(m: DataFrame) -> float:
-    """Upper bound on the number of value cells: the non-null values."""
-    return float(sum(r["count"] for r in m.select("count").collect()))
+    """Upper bound on the cells of the largest column: its non-null values."""
+    return float(max([r["count"] for r in m.select("count").collect()] or [0]))
 
 
 def describe_full(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """One row per numeric column with moments, 7 percentiles and spreads."""
     cols = cols or numeric_columns(df)
     m = moments(df, cols)
-    q = quantile_wide(df, cols, FULL_PROBS, FULL_NAMES, est_cells=_cells(m))
+    q = quantile_wide(df, cols, FULL_PROBS, FULL_NAMES, max_group_cells=_cells(m))
     j = m.join(F.broadcast(q), "column_name", "left")  # both sides: one row per column
     return j.select(
         "column_name", "count", "mean", "std", "min", *FULL_NAMES, "max", "var",
@@ -98,7 +98,7 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pandas ``describe``: count, mean, std, min, 25/50/75 %, max."""
     cols = cols or numeric_columns(df)
     m = moments(df, cols)
-    q = quantile_wide(df, cols, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], est_cells=_cells(m))
+    q = quantile_wide(df, cols, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], max_group_cells=_cells(m))
     return (m.join(F.broadcast(q), "column_name", "left")
             .select("column_name", "count", "mean", "std", "min", "p25", "p50",
                     "p75", "max"))

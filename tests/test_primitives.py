@@ -94,3 +94,17 @@ def test_special_functions_against_tables():
     assert math.isclose(special.chi2_sf(5.991465, 2)[()], 0.05, abs_tol=1e-6)
     assert math.isclose(special.chi2_sf(18.307038, 10)[()], 0.05, abs_tol=1e-6)
     assert math.isclose(special.norm_sf(1.959964)[()], 0.025, abs_tol=1e-7)
+
+
+@pytest.mark.parametrize("acc,limit", [(10000, 50000), (50, 20)])
+def test_selection_quantiles_exact(spark, acc, limit):
+    from statloom.functions.select import exact_quantiles_select
+    rng = np.random.default_rng(7)
+    a = np.round(rng.exponential(3, 3000), 1)
+    c = np.where(rng.random(3000) < 0.4, 0.0, rng.normal(size=3000))
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, c)], "a double, c double").repartition(4)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    q = {(r.column_name, r.prob): r.q for r in exact_quantiles_select(df, ["a", "c"], probs, acc, limit).collect()}
+    for name, v in [("a", a), ("c", c)]:
+        for p in probs:
+            assert math.isclose(q[(name, p)], np.quantile(v, p), rel_tol=1e-12, abs_tol=1e-12)
