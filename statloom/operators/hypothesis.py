@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from statloom.functions.exprs import clean_numeric, numeric_columns, stack_long, string_columns
 from statloom.functions.ranks import cumulate, quantile_wide, value_cells
+from statloom.session import ensure_checkpoint_dir
 from statloom.functions.special import (f_pvalue_udf, norm_pvalue_two_sided_udf, norm_ppf,
                                         norm_sf, t_pvalue_udf)
 
@@ -418,7 +419,9 @@ def mutual_information(df: DataFrame, cols: list[str] | None = None, target: str
     cols = cols or numeric_columns(df)
     target = target or cols[-1]
     feats = [c for c in cols if c != target]
-    cc = clean_numeric(df, cols).na.drop(subset=cols)
+    # cut points and binning must see the same values: cut lineage once
+    ensure_checkpoint_dir(df.sparkSession)
+    cc = clean_numeric(df, cols).na.drop(subset=cols).checkpoint(eager=True)
     probs = [i / bins for i in range(1, bins)]
     q = quantile_wide(cc, cols, probs, [f"q{i}" for i in range(1, bins)])
     cuts = {r["column_name"]: [r[f"q{i}"] for i in range(1, bins)] for r in q.collect()}
