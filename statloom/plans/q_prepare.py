@@ -147,6 +147,23 @@ _MAPPING = {"o_orderkey": "identifier", "o_custkey": "numeric", "o_orderstatus":
             "mostly_null": "numeric", "sparse": "numeric"}
 
 
-@register("preprocess_pipeline")
+_PIPE_SQL = sql("orders_nulls") + """, f AS (SELECT o_orderkey, o_custkey, o_orderstatus,
+  coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM orders_nulls)) AS o_totalprice,
+  coalesce(last_value(o_orderdate IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           first_value(o_orderdate IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS o_orderdate,
+  coalesce(o_orderpriority, (SELECT arg_min(o_orderpriority, (-c, o_orderpriority)) FROM
+    (SELECT o_orderpriority, count(*) AS c FROM orders_nulls WHERE o_orderpriority IS NOT NULL GROUP BY 1))) AS o_orderpriority,
+  mostly_null FROM orders_nulls)
+SELECT *, coalesce(o_orderstatus = 'O', false) AS o_orderstatus_O, coalesce(o_orderstatus = 'P', false) AS o_orderstatus_P,
+  CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year, CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month,
+  CAST(quarter(o_orderdate) AS INTEGER) AS o_orderdate_quarter, CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day,
+  CAST(isodow(o_orderdate) - 1 AS INTEGER) AS o_orderdate_weekday,
+  CAST(CASE WHEN isodow(o_orderdate) >= 6 THEN 1 ELSE 0 END AS INTEGER) AS o_orderdate_is_weekend,
+  datesub('day', (SELECT min(o_orderdate) FROM f), o_orderdate) AS o_orderdate_days_since,
+""" + ", ".join(f"coalesce(o_orderpriority = '{p}', false) AS \"o_orderpriority_{p}\"" for p in _PRIO[1:]) + """
+FROM f"""
+
+
+@register("preprocess_pipeline", sql=_PIPE_SQL, sig_cols=["o_totalprice", "mostly_null"])
 def preprocess_pipeline(spark, sf):
     return C.preprocess(frame(spark, sf, "orders_nulls"), _MAPPING, key="o_orderkey")
