@@ -130,34 +130,54 @@ def kmeans_profile(df: DataFrame, k: int, cols: list[str] | None = None, restart
                     *[(F.col(c) * F.lit(st[f"s_{c}"] or 0.0) + F.lit(st[f"m_{c}"])).alias(c) for c in cols])
 
 
-def famd(df: DataFrame, num_cols: list[str], cat_cols: list[str], n_components: int = 10
-         ) -> dict[str, DataFrame]:
+def famd(df: DataFrame, num_cols: list[str], cat_cols: list[str], n_components: int = 10,
+         key: str | None = None, max_levels: int = 50) -> dict[str, DataFrame]:
     """M2: PCA on [z-scores, (indicator - share) / sqrt(share)] (Pages 2004).
 
-    Indicator levels are collected per categorical (bounded: a categorical
-    with more than 50 levels is refused).  Returns inertia per component.
+    Returns ``famd_inertia`` (share and cumulative per component),
+    ``famd_rows`` (3 coordinates for the first 100 rows by ``key``) and
+    ``famd_columns`` (Pearson correlation of every numeric column and level
+    indicator with the first 3 components).  Levels are collected per
+    categorical; more than ``max_levels`` levels is refused (the indicator
+    matrix would be as wide as the data).
     """
+    from statloom.operators.correlate import corr_pearson
     spark = df.sparkSession
-    x = complete_cases(df.select(*num_cols, *cat_cols), num_cols + cat_cols)
+    keep = [key] if key else []
+    x = complete_cases(df.select(*keep, *num_cols, *cat_cols), num_cols + cat_cols)
     ind_cols, exprs = [], []
     rows = x.count()
     for c in cat_cols:
-        lv = x.groupBy(c).agg(F.count(F.lit(1)).alias("n")).limit(51).collect()
-        if len(lv) > 50:
-            raise ValueError(f"{c}: too many levels for FAMD indicators")
+        lv = x.groupBy(c).agg(F.count(F.lit(1)).alias("n")).limit(max_levels + 1).collect()
+        if len(lv) > max_levels:
+            raise ValueError(f"{c}: more than {max_levels} levels for FAMD indicators")
         for r in sorted(lv, key=lambda r: str(r[0])):
             share = r["n"] / rows
             name = f"{c}__{r[0]}"
             ind_cols.append(name)
             exprs.append(((F.col(c) == F.lit(r[0])).cast("double") - share) / float(np.sqrt(share)))
-    z = standardize(x, num_cols, keep=cat_cols)
-    z = z.select(*num_cols, *[e.alias(nm) for e, nm in zip(exprs, ind_cols)])
+    z = standardize(x, num_cols, keep=keep + cat_cols)
+    z = z.select(*keep, *num_cols, *[e.alias(nm) for e, nm in zip(exprs, ind_cols)])
     cols = num_cols + ind_cols
-    vec = VectorAssembler(inputCols=cols, outputCol="features").transform(z)
+    vec = VectorAssembler(inputCols=cols, outputCol="features").transform(z).cache()
     k = min(n_components, len(num_cols) + len(cat_cols), len(cols))
     model = PCA(k=len(cols), inputCol="features", outputCol="pcs").fit(vec)
     ratio = model.explainedVariance.toArray()[:k]
     cum = np.cumsum(ratio)
     inertia = spark.createDataFrame([(j + 1, float(ratio[j]), float(cum[j])) for j in range(k)],
                                     "component int, inertia double, cumulative double")
-    return {"famd_inertia": inertia}
+    comps = model.pc.toArray()
+    signs = np.array([1.0 if comps[np.argmax(np.abs(comps[:, j])), j] >= 0 else -1.0
+                      for j in range(comps.shape[1])])
+    comps = comps * signs
+    kk = min(SCORE_COMPONENTS, comps.shape[1])
+    arr = vector_to_array("features")
+    coords = vec.select(*keep, *cols, *[sum(arr[i] * float(comps[i, j]) for i in range(len(cols))).alias(f"dim{j + 1}")
+                                      for j in range(kk)])
+    rows_out = coords.select(*keep, *[f"dim{j + 1}" for j in range(kk)])
+    rows_out = (rows_out.orderBy(key) if key else rows_out).limit(SCORE_ROWS)
+    pr = corr_pearson(coords.select(*cols, *[f"dim{j + 1}" for j in range(kk)]),
+                      cols + [f"dim{j + 1}" for j in range(kk)])
+    colcorr = pr.filter(F.col("var2").startswith("dim") & ~F.col("var1").startswith("dim")).select(
+        F.col("var1").alias("variable"), F.col("var2").alias("component"), F.col("r").alias("correlation"))
+    return {"famd_inertia": inertia, "famd_rows": rows_out, "famd_columns": colcorr}

@@ -39,6 +39,17 @@ def famd_inertia(spark, sf):
     return M.famd(frame(spark, sf, "customer_mix"), ["c_acctbal", "c_nationkey"], ["c_mktsegment"])["famd_inertia"]
 
 
+@register("famd_rows")
+def famd_rows(spark, sf):
+    return M.famd(frame(spark, sf, "customer_mix"), ["c_acctbal", "c_nationkey"], ["c_mktsegment"],
+                  key="c_custkey")["famd_rows"]
+
+
+@register("famd_columns")
+def famd_columns(spark, sf):
+    return M.famd(frame(spark, sf, "customer_mix"), ["c_acctbal", "c_nationkey"], ["c_mktsegment"])["famd_columns"]
+
+
 @register("kmeans_sweep")
 def kmeans_sweep(spark, sf):
     return M.kmeans_sweep(frame(spark, sf, "vec_2d"), ["x", "y"])
