@@ -500,3 +500,23 @@ __all__ = ["normality_dagostino", "normality_shapiro", "normality_anderson", "no
            "normality_tests", "distribution_traits", "t_test_pairs", "mann_whitney", "compare_pairs",
            "anova_oneway", "importance_correlation", "mutual_information", "chi_square",
            "kruskal_wallis", "shapiro_wilk", "combinations"]
+
+
+def qq_normal(df: DataFrame, cols: list[str] | None = None, points: int = 99) -> DataFrame:
+    """Q-Q frame against the normal: ``(column_name, prob, sample_q, normal_q)``.
+
+    ``prob = i / (points + 1)``; sample quantiles are exact (linear), normal
+    quantiles are ``mean + std * z(prob)`` with std n-1.
+    """
+    from statloom.operators.describe import moments
+    cols = cols or numeric_columns(df)
+    probs = [i / (points + 1) for i in range(1, points + 1)]
+    z = {p: norm_ppf(p) for p in probs}
+    m = moments(df, cols)
+    from statloom.functions.ranks import exact_quantiles
+    sq = exact_quantiles(df, cols, probs, max_group_cells=float(max(
+        [r["count"] for r in m.select("count").collect()] or [0])))
+    zt = df.sparkSession.createDataFrame([(float(p), float(z[p])) for p in probs], "prob double, z double")
+    return (sq.join(F.broadcast(zt), "prob").join(F.broadcast(m.select("column_name", "mean", "std")), "column_name")
+            .select("column_name", "prob", F.col("q").alias("sample_q"),
+                    (F.col("mean") + F.col("std") * F.col("z")).alias("normal_q")))

@@ -204,3 +204,19 @@ def chi_square(spark, sf):
       count(*) OVER () AS nn FROM customer) GROUP BY 1))""", sig_cols=["statistic"])
 def kruskal_wallis(spark, sf):
     return H.kruskal_wallis(frame(spark, sf, "customer"), "c_mktsegment", "c_acctbal", with_p=False)
+
+
+def _qq_sql(c):
+    from statloom.functions.special import norm_ppf
+    probs = [i / 100 for i in range(1, 100)]
+    pl = "[" + ", ".join(repr(p) for p in probs) + "]"
+    zl = "[" + ", ".join(repr(norm_ppf(p)) for p in probs) + "]"
+    x = f"CAST({c} AS DOUBLE)"
+    return (f"SELECT '{c}' AS column_name, prob, sample_q, m + s * z AS normal_q FROM ("
+            f"SELECT unnest({pl}) AS prob, unnest(quantile_cont({x}, {pl})) AS sample_q, unnest({zl}) AS z, "
+            f"avg({x}) AS m, stddev_samp({x}) AS s FROM events)")
+
+
+@register("qq_normal", sql=_u([_qq_sql(c) for c in ["user_id", "value"]]), sig_cols=["prob", "sample_q", "normal_q"])
+def qq_normal(spark, sf):
+    return H.qq_normal(frame(spark, sf, "events"), ["user_id", "value"])
