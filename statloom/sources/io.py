@@ -27,13 +27,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """S1 helper: UTF-8 unless a UTF-8 decode yields U+FFFD, then ISO-8859-1.
+    """S1 helper: UTF-8 unless some line is not valid UTF-8, then ISO-8859-1.
 
-    Spark never raises on bad UTF-8, so the replacement character is counted
-    instead (one distributed scan); Latin-1 decodes every byte, which is why
-    the reference never reaches its last candidate either.
+    Spark's text source keeps the raw bytes, so a line is invalid exactly when
+    decoding it and encoding it back as UTF-8 does not give the same bytes
+    (one distributed scan, stops at the first hit).  Latin-1 decodes every
+    byte, which is why the reference never reaches its last candidate.
     """
-    bad = spark.read.text(path).filter(F.col("value").contains("�")).limit(1).count()
+    v = F.col("value")
+    bad = (spark.read.text(path).filter(F.encode(v, "UTF-8") != v.cast("binary"))
+           .limit(1).count())
     return "utf-8" if bad == 0 else "iso-8859-1"
 
 
