@@ -84,6 +84,5 @@ def chart_pie(df: DataFrame, label: str, value: str | None = None) -> DataFrame:
     """G7 pie: total per label and its share of the grand total."""
     v = F.sum(value) if value else F.count(F.lit(1))
     g = df.groupBy(label).agg(v.cast("double").alias("total"))
-    grand = g.agg(F.sum("total").alias("_grand")).withColumn("_k", F.lit(0))  # one row
-    return (g.withColumn("_k", F.lit(0)).join(F.broadcast(grand), "_k")
-            .select(label, "total", (F.col("total") / F.col("_grand")).alias("share")))
+    grand = df.agg(v.cast("double")).first()[0]  # one scalar
+    return g.select(label, "total", (F.col("total") / F.lit(grand)).alias("share"))

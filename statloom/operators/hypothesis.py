@@ -445,10 +445,9 @@ def mutual_information(df: DataFrame, cols: list[str] | None = None, target: str
     term = F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
     out = j.groupBy("feature").agg(F.sum(term).alias("mi")).select(
         "feature", F.lit(target).alias("target"), "mi")
-    mx = out.agg(F.max("mi").alias("_mx")).withColumn("_k", F.lit(0))
-    return (out.withColumn("_k", F.lit(0)).join(F.broadcast(mx), "_k")
-            .select("feature", "target", "mi",
-                    F.when(F.col("_mx") > 0, F.col("mi") / F.col("_mx")).otherwise(F.col("mi")).alias("mi_norm")))
+    mx = F.max("mi").over(Window.partitionBy())  # one row per feature (schema-sized)
+    return out.select("feature", "target", "mi",
+                      F.when(mx > 0, F.col("mi") / mx).otherwise(F.col("mi")).alias("mi_norm"))
 
 
 def chi_square(df: DataFrame, a: str, b: str, with_p: bool = True) -> DataFrame:
@@ -457,15 +456,15 @@ def chi_square(df: DataFrame, a: str, b: str, with_p: bool = True) -> DataFrame:
     obs = x.groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
     ra = obs.groupBy(a).agg(F.sum("o").alias("ra"))
     cb = obs.groupBy(b).agg(F.sum("o").alias("cb"))
-    n = obs.agg(F.sum("o").alias("n"), F.countDistinct(a).alias("ka"), F.countDistinct(b).alias("kb"))
-    n = n.withColumn("_k", F.lit(0))
+    tot = obs.agg(F.sum("o").alias("n"), F.countDistinct(a).alias("ka"),
+                  F.countDistinct(b).alias("kb")).first()  # three scalars
+    n, ka, kb = float(tot["n"] or 0), tot["ka"], tot["kb"]
     # expected counts over all level pairs, including empty cells: sum o^2/e - n
-    j = obs.join(ra, a).join(cb, b).withColumn("_k", F.lit(0)).join(F.broadcast(n), "_k")
-    stat = j.groupBy("n", "ka", "kb").agg(
-        (F.sum(F.col("o") * F.col("o") * F.col("n") / (F.col("ra") * F.col("cb")))).alias("_s"))
+    j = obs.join(ra, a).join(cb, b)
+    stat = j.agg((F.sum(F.col("o") * F.col("o") * F.lit(n) / (F.col("ra") * F.col("cb")))).alias("_s"))
     out = stat.select(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                      (F.col("_s") - F.col("n")).alias("statistic"),
-                      ((F.col("ka") - 1) * (F.col("kb") - 1)).cast("double").alias("df"))
+                      (F.col("_s") - F.lit(n)).alias("statistic"),
+                      F.lit(float((ka - 1) * (kb - 1))).alias("df"))
     if with_p:
         from statloom.functions.special import chi2_pvalue_udf
         out = out.withColumn("p_value", chi2_pvalue_udf("statistic", "df"))
@@ -481,11 +480,9 @@ def kruskal_wallis(df: DataFrame, group: str, value: str, with_p: bool = True) -
                         "cnt", "n")
     j = x.join(ranked, x[value] == ranked["value"])
     g = j.groupBy(group).agg(F.sum("rank").alias("rs"), F.count(F.lit(1)).alias("ni"), F.max("n").alias("_nn"))
-    ties = ranked.agg(F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")).alias("t"),
-                      F.max("n").alias("N2"))
+    t_sum = ranked.agg(F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt"))).first()[0] or 0.0
     h = g.agg(F.sum(F.col("rs") * F.col("rs") / F.col("ni")).alias("_s"), F.max("_nn").alias("_nn"),
-              F.count(F.lit(1)).alias("k"))
-    h = h.withColumn("_k", F.lit(0)).join(F.broadcast(ties.withColumn("_k", F.lit(0))), "_k")
+              F.count(F.lit(1)).alias("k")).withColumn("t", F.lit(float(t_sum)))
     nn = F.col("_nn").cast("double")
     hstat = (12.0 / (nn * (nn + 1)) * F.col("_s") - 3 * (nn + 1)) / (1 - F.col("t") / (nn * nn * nn - nn))
     out = h.select(F.lit(group).alias("group"), F.lit(value).alias("value"), hstat.alias("statistic"),
