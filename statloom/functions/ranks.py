@@ -34,7 +34,7 @@ def value_cells(long_df: DataFrame, group: list[str], value: str = "value",
 
 
 def cumulate(cells: DataFrame, group: list[str], value: str = "value",
-             cnt: str = "cnt", window_bound: int = WINDOW_CELL_BOUND,
+             cnt: str = "cnt", window_bound: int | None = None,
              max_group_cells: float | None = None) -> DataFrame:
     """Add ``cum_before`` (rows with a smaller value in the group) and ``n``.
 
@@ -45,6 +45,7 @@ def cumulate(cells: DataFrame, group: list[str], value: str = "value",
     count); without it the cells are checkpointed and the group sizes counted.
     """
     spark = cells.sparkSession
+    window_bound = WINDOW_CELL_BOUND if window_bound is None else window_bound
     if max_group_cells is not None and max_group_cells <= window_bound:
         biggest = max_group_cells
     else:

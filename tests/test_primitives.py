@@ -108,3 +108,11 @@ def test_selection_quantiles_exact(spark, acc, limit):
     for name, v in [("a", a), ("c", c)]:
         for p in probs:
             assert math.isclose(q[(name, p)], np.quantile(v, p), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_global_row_number_range_path(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "WINDOW_CELL_BOUND", 10)
+    monkeypatch.setattr(ranks, "CELLS_PER_RANGE_PARTITION", 50)
+    df = spark.range(0, 400).select((F.col("id") * 7 % 400).alias("k")).repartition(3)
+    r = ranks.global_row_number(df, ["k"]).collect()
+    assert sorted((x.k, x.row_number) for x in r) == [(i, i + 1) for i in range(400)]
