@@ -116,3 +116,29 @@ def test_global_row_number_range_path(spark, monkeypatch):
     df = spark.range(0, 400).select((F.col("id") * 7 % 400).alias("k")).repartition(3)
     r = ranks.global_row_number(df, ["k"]).collect()
     assert sorted((x.k, x.row_number) for x in r) == [(i, i + 1) for i in range(400)]
+
+
+def test_cumulate_range_path_many_groups(spark):
+    df = spark.range(0, 600).select((F.col("id") % 3).cast("string").alias("g"),
+                                    ((F.col("id") * 13) % 50).cast("double").alias("value"))
+    cells = ranks.value_cells(df, ["g"])
+    win = {(r.g, r.value): (r.cum_before, r.n) for r in ranks.cumulate(cells, ["g"], window_bound=10**9).collect()}
+    rng_ = {(r.g, r.value): (r.cum_before, r.n) for r in ranks.cumulate(cells, ["g"], window_bound=4).collect()}
+    assert win == rng_
+    pdf = df.toPandas()
+    for (g, v), (cb, n) in win.items():
+        sub = pdf[pdf.g == g].value
+        assert cb == (sub < v).sum() and n == len(sub)
+
+
+def test_selection_with_nulls_nan_and_empty_column(spark):
+    from statloom.functions.select import exact_quantiles_select
+    rows = [(float(i) if i % 5 else None, float("nan") if i % 7 == 0 else float(i % 13), None) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, e double")
+    q = {(r.column_name, r.prob): r.q for r in exact_quantiles_select(df, ["a", "b", "e"], [0.1, 0.5, 0.9], 50, 20).collect()}
+    a = np.array([r[0] for r in rows if r[0] is not None])
+    b = np.array([r[1] for r in rows if not math.isnan(r[1])])
+    for p in (0.1, 0.5, 0.9):
+        assert math.isclose(q[("a", p)], np.quantile(a, p))
+        assert math.isclose(q[("b", p)], np.quantile(b, p))
+        assert q[("e", p)] is None
