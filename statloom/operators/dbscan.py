@@ -9,6 +9,10 @@ cell are within ``eps``, so
   distance test, and all core points of a cell share one cluster;
 * neighbours of a point can only lie in cells whose box distance is below
   ``eps`` (a fixed offset list, computed once);
+* a neighbour cell lying entirely inside a point's eps-ball (farthest corner
+  within ``eps``) is counted, or gives its label, without distance tests, and
+  two core cells whose farthest corners are within ``eps`` are linked without
+  pairs; point pairs are formed only for partially covered cells;
 * clusters are connected components of the *cell* graph whose edges join
   cells with a pair of core points within ``eps``; they come from iterated
   min-label propagation with a reliable checkpoint after every round.
@@ -70,26 +74,46 @@ def dbscan_labels(df: DataFrame, cols: list[str] | None = None, eps: float = EPS
 
     p = pts.join(cells, "cell")
     sparse = p.filter(F.col("cell_n") < min_samples)
-    # degree of points in sparse cells: weighted neighbours within eps (self included)
-    cand = neighbour_cells(sparse.select("pid", "cell", *cols)).alias("a").join(
+
+    def box_far2(point_cols, cell_col):
+        """Squared distance from a point to the farthest corner of a cell box."""
+        return sum(F.pow(F.greatest(F.abs(F.col(pc) - F.element_at(cell_col, k + 1) * side),
+                                    F.abs(F.col(pc) - (F.element_at(cell_col, k + 1) + 1) * side)), 2)
+                   for k, pc in enumerate(point_cols))
+
+    # degree of points in sparse cells: whole neighbour cells inside the eps-ball
+    # count without any distance test; only partially covered cells form pairs
+    nb = neighbour_cells(sparse.select("pid", "cell", *cols)).join(
+        cells.select(F.col("cell").alias("ncell"), "cell_n"), "ncell")
+    nb = nb.withColumn("_full", box_far2(cols, F.col("ncell")) <= eps * eps)
+    deg_full = nb.filter("_full").groupBy("pid").agg(F.sum("cell_n").alias("d1"))
+    part = nb.filter(~F.col("_full")).select("pid", "ncell", *cols).alias("a").join(
         pts.select(F.col("cell").alias("ncell"), *[F.col(c).alias(f"b_{c}") for c in cols],
                    F.col("w").alias("bw")).alias("b"), "ncell")
     d2 = sum((F.col(f"a.{c}") - F.col(f"b.b_{c}")) ** 2 for c in cols)
-    deg = cand.filter(d2 <= eps * eps).groupBy("pid").agg(F.sum("bw").alias("degree"))
+    deg_part = part.filter(d2 <= eps * eps).groupBy("pid").agg(F.sum("bw").alias("d2"))
+    deg = deg_full.join(deg_part, "pid", "full").select(
+        "pid", (F.coalesce("d1", F.lit(0)) + F.coalesce("d2", F.lit(0))).alias("degree"))
     core = (p.join(deg, "pid", "left")
             .withColumn("core", (F.col("cell_n") >= min_samples) |
                         (F.coalesce("degree", F.lit(0)) >= min_samples))
             .drop("degree").checkpoint(eager=True))
     cores = core.filter("core")
-    # cell graph: edges between neighbouring cells holding a core pair within eps
-    cc = neighbour_cells(cores.select("cell", *cols)).alias("a").join(
+    ccells = cores.select("cell").distinct().checkpoint(eager=True)
+    # cell graph: two neighbouring core cells are joined when every cross pair is
+    # within eps (farthest corners) or, otherwise, when some core pair is
+    cpairs = (neighbour_cells(ccells).join(ccells.select(F.col("cell").alias("ncell")), "ncell")
+              .filter(F.col("cell") != F.col("ncell")))
+    far2 = sum(F.pow((F.abs(F.element_at("cell", k + 1) - F.element_at("ncell", k + 1)) + 1) * side, 2)
+               for k in range(d))
+    cpairs = cpairs.withColumn("_full", far2 <= eps * eps)
+    full_edges = cpairs.filter("_full").select(F.col("cell").alias("src"), F.col("ncell").alias("dst"))
+    cc = cores.select("cell", *cols).join(cpairs.filter(~F.col("_full")).select("cell", "ncell"), "cell").alias("a").join(
         cores.select(F.col("cell").alias("ncell"), *[F.col(c).alias(f"b_{c}") for c in cols]).alias("b"),
         "ncell")
     d2c = sum((F.col(f"a.{c}") - F.col(f"b.b_{c}")) ** 2 for c in cols)
-    edges = (cc.filter((F.col("a.cell") != F.col("ncell")) & (d2c <= eps * eps))
-             .select(F.col("a.cell").alias("src"), F.col("ncell").alias("dst")).distinct()
-             .checkpoint(eager=True))
-    ccells = cores.select("cell").distinct()
+    part_edges = cc.filter(d2c <= eps * eps).select(F.col("a.cell").alias("src"), F.col("ncell").alias("dst"))
+    edges = full_edges.unionByName(part_edges).distinct().checkpoint(eager=True)
     labels = ccells.select("cell", F.xxhash64(F.col("cell")).alias("label")).checkpoint(eager=True)
     for _ in range(MAX_ROUNDS):
         prop = (edges.join(labels.withColumnRenamed("cell", "src"), "src")
@@ -103,11 +127,17 @@ def dbscan_labels(df: DataFrame, cols: list[str] | None = None, eps: float = EPS
         if changed == 0:
             break
     core_l = cores.join(labels, "cell").select("pid", "label")
-    border_c = neighbour_cells(core.filter(~F.col("core")).select("pid", "cell", *cols)).alias("a").join(
-        cores.join(labels, "cell").select(F.col("cell").alias("ncell"), "label",
-                                          *[F.col(c).alias(f"b_{c}") for c in cols]).alias("b"), "ncell")
+    # border points: whole core cells within eps give their label directly
+    border = core.filter(~F.col("core")).select("pid", "cell", *cols)
+    bn = neighbour_cells(border).join(labels.select(F.col("cell").alias("ncell"), "label"), "ncell")
+    bn = bn.withColumn("_full", box_far2(cols, F.col("ncell")) <= eps * eps)
+    b_full = bn.filter("_full").groupBy("pid").agg(F.min("label").alias("label"))
+    bc = bn.filter(~F.col("_full")).select("pid", "ncell", *cols).alias("a").join(
+        cores.select(F.col("cell").alias("ncell"), *[F.col(c).alias(f"b_{c}") for c in cols]).alias("b"),
+        "ncell").join(labels.select(F.col("cell").alias("ncell"), "label"), "ncell")
     d2b = sum((F.col(f"a.{c}") - F.col(f"b.b_{c}")) ** 2 for c in cols)
-    border_l = border_c.filter(d2b <= eps * eps).groupBy("pid").agg(F.min("label").alias("label"))
+    b_part = bc.filter(d2b <= eps * eps).groupBy("pid").agg(F.min("label").alias("label"))
+    border_l = b_full.unionByName(b_part).groupBy("pid").agg(F.min("label").alias("label"))
     lab = core_l.unionByName(border_l)
     return (core.join(lab, "pid", "left")
             .select(*cols, "w", "core", F.coalesce("label", F.lit(-1)).alias("label")))
