@@ -7,14 +7,14 @@ in both (all from group-by counts).  ``A`` is a strict 2-D dominance count:
 
 1. cells ``(x, y, c)`` are range-partitioned on x into blocks (equal x share
    a block) and written through the reliable checkpoint;
-2. inside each block a weighted Fenwick tree over local y ranks counts the
-   dominated pairs of the block (one pandas task per block, bounded by the
-   range size);
-3. the blocked cells are range-partitioned on y; each y-range starts from the
+2. inside each block the dominated pairs are counted by a vectorised
+   divide-and-conquer over the x groups (one pandas task per block, bounded
+   by the range size);
+3. the blocked cells are range-partitioned on y; each y-range adds the
    per-block counts of all earlier y-ranges (a table of ``Q x B`` integers,
-   bounded by the partition counts) and sweeps its cells in y order with a
-   Fenwick tree over block ids, counting points of strictly earlier blocks
-   with strictly smaller y.
+   bounded by the partition counts) and counts, with the same vectorised
+   routine keyed by block id, points of strictly earlier blocks with strictly
+   smaller y inside the range.
 
 Total work is O(n log n) and no task holds more than one range.
 """
@@ -34,46 +34,46 @@ from statloom.session import ensure_checkpoint_dir
 CELLS_PER_BLOCK = 500_000
 
 
-class _Fenwick:
-    def __init__(self, n: int):
-        self.n = n
-        self.t = np.zeros(n + 1, dtype=np.int64)
+def dominance_weighted(g: np.ndarray, r: np.ndarray, c: np.ndarray) -> int:
+    """``sum_j c_j * sum_i c_i [g_i < g_j and r_i < r_j]`` for integer keys, vectorised.
 
-    def add(self, i: int, v: int):  # 1-based
-        t, n = self.t, self.n
-        while i <= n:
-            t[i] += v
-            i += i & -i
-
-    def prefix(self, i: int) -> int:  # sum of 1..i
-        s = 0
-        t = self.t
-        while i > 0:
-            s += t[i]
-            i -= i & -i
-        return int(s)
+    Divide and conquer over the group key, one level at a time: at level L
+    the groups split into pairs of halves (``g >> (L+1)``, side ``(g >> L) & 1``);
+    within every pair, left points with a strictly smaller ``r`` are counted for
+    each right point by one sort and a cumulative sum.  O(n log^2 n) numpy
+    work, no per-point Python.
+    """
+    if len(g) < 2:
+        return 0
+    g = np.asarray(g, dtype=np.int64)
+    g = g - g.min()
+    r = np.asarray(r, dtype=np.int64)
+    c = np.asarray(c, dtype=np.int64)
+    total = 0
+    levels = int(g.max()).bit_length()
+    for L in range(levels):
+        pair = g >> (L + 1)
+        side = (g >> L) & 1
+        # order: pair, then r, right before left on equal r (strict inequality)
+        order = np.lexsort((-side, r, pair))
+        p_s, s_s, c_s = pair[order], side[order], c[order]
+        left_w = np.where(s_s == 0, c_s, 0)
+        cum = np.cumsum(left_w)
+        start = np.r_[0, np.flatnonzero(np.diff(p_s)) + 1]
+        base = np.repeat(cum[start] - left_w[start], np.diff(np.r_[start, len(p_s)]))
+        before = cum - left_w - base          # left weight strictly before this point in its pair
+        total += int(np.sum(np.where(s_s == 1, c_s * before, 0)))
+    return total
 
 
 def _within_block(it):
     frames = [pdf for pdf in it]
     if not frames:
         return
-    pdf = pd.concat(frames).sort_values(["x", "y"], kind="mergesort")
-    x = pdf["x"].to_numpy()
-    c = pdf["c"].to_numpy(np.int64)
-    yr = pd.factorize(pdf["y"], sort=True)[0] + 1
-    fw = _Fenwick(int(yr.max()) if len(yr) else 1)
-    total, i, m = 0, 0, len(pdf)
-    while i < m:
-        j = i
-        while j < m and x[j] == x[i]:
-            j += 1
-        for k in range(i, j):
-            total += int(c[k]) * fw.prefix(int(yr[k]) - 1)
-        for k in range(i, j):
-            fw.add(int(yr[k]), int(c[k]))
-        i = j
-    yield pd.DataFrame({"a": [total]})
+    pdf = pd.concat(frames)
+    g = pd.factorize(pdf["x"], sort=True)[0]
+    r = pd.factorize(pdf["y"], sort=True)[0]
+    yield pd.DataFrame({"a": [dominance_weighted(g, r, pdf["c"].to_numpy(np.int64))]})
 
 
 def _cross_block(offsets: dict, n_blocks: int):
@@ -81,24 +81,18 @@ def _cross_block(offsets: dict, n_blocks: int):
         frames = [pdf for pdf in it]
         if not frames:
             return
-        pdf = pd.concat(frames).sort_values("y", kind="mergesort")
+        pdf = pd.concat(frames)
         q = int(pdf["_q"].iloc[0])
-        fw = _Fenwick(n_blocks)
-        for b, v in offsets.get(q, {}).items():
-            fw.add(b + 1, int(v))
-        y = pdf["y"].to_numpy()
         b = pdf["_b"].to_numpy(np.int64)
         c = pdf["c"].to_numpy(np.int64)
-        total, i, m = 0, 0, len(pdf)
-        while i < m:
-            j = i
-            while j < m and y[j] == y[i]:
-                j += 1
-            for k in range(i, j):
-                total += int(c[k]) * fw.prefix(int(b[k]))  # blocks strictly before b (0-based b)
-            for k in range(i, j):
-                fw.add(int(b[k]) + 1, int(c[k]))
-            i = j
+        # points of earlier y-ranges (all with smaller y) in strictly earlier blocks
+        off = np.zeros(n_blocks + 1, dtype=np.int64)
+        for blk, v in offsets.get(q, {}).items():
+            off[blk + 1] += int(v)
+        before_blocks = np.cumsum(off)[b]    # sum of offsets over blocks < b
+        total = int(np.sum(c * before_blocks))
+        r = pd.factorize(pdf["y"], sort=True)[0]
+        total += dominance_weighted(b, r, c)
         yield pd.DataFrame({"a": [total]})
     return run
 

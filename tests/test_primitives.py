@@ -142,3 +142,14 @@ def test_selection_with_nulls_nan_and_empty_column(spark):
         assert math.isclose(q[("a", p)], np.quantile(a, p))
         assert math.isclose(q[("b", p)], np.quantile(b, p))
         assert q[("e", p)] is None
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(1, 4)), min_size=0, max_size=40))
+def test_dominance_weighted_brute_force(pts):
+    from statloom.operators.kendall import dominance_weighted
+    g = np.array([p[0] for p in pts], dtype=np.int64)
+    r = np.array([p[1] for p in pts], dtype=np.int64)
+    c = np.array([p[2] for p in pts], dtype=np.int64)
+    exp = sum(ci * cj for (gi, ri, ci) in pts for (gj, rj, cj) in pts if gi < gj and ri < rj)
+    assert dominance_weighted(g, r, c) == exp
