@@ -7,6 +7,8 @@ only the p x p matrix reaches the driver (p = number of columns).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -24,6 +26,7 @@ SEED = 42
 LOADING_COMPONENTS = 5
 SCORE_COMPONENTS = 3
 SCORE_ROWS = 100
+FIT_THREADS = 8
 
 
 def _scaled_vectors(df: DataFrame, cols: list[str], key: str | None):
@@ -93,16 +96,23 @@ def kmeans_sweep(df: DataFrame, cols: list[str] | None = None, k_range=K_RANGE,
     vec, _ = _scaled_vectors(df, cols, None)
     vec = vec.select("features").cache()
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
+
+    def fit(kr):
+        k, r = kr
+        m = KMeans(k=k, seed=seed + r, featuresCol="features").fit(vec)
+        return k, r, m.summary.trainingCost, m
+
+    # the fits are independent Spark jobs: submit them concurrently (same seeds,
+    # same models) so the scheduler can overlap their small stages
+    jobs = [(k, r) for k in k_range for r in range(restarts)]
+    with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
+        fitted = list(pool.map(fit, jobs))
     rows = []
     for k in k_range:
-        best = None
-        for r in range(restarts):
-            m = KMeans(k=k, seed=seed + r, featuresCol="features").fit(vec)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, m)
-        sil = ev.evaluate(best[1].transform(vec))
-        rows.append((k, float(best[0]), float(sil)))
+        # lowest cost, ties to the earliest restart
+        _, _, cost, best = min((f for f in fitted if f[0] == k), key=lambda f: (f[2], f[1]))
+        sil = ev.evaluate(best.transform(vec))
+        rows.append((k, float(cost), float(sil)))
     spark = df.sparkSession
     out = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     w = Window.orderBy(F.desc("silhouette"), "k")  # at most 9 rows
@@ -115,11 +125,10 @@ def kmeans_profile(df: DataFrame, k: int, cols: list[str] | None = None, restart
     cols = cols or numeric_columns(df)
     vec, _ = _scaled_vectors(df, cols, None)
     vec = vec.cache()
-    best = None
-    for r in range(restarts):
-        m = KMeans(k=k, seed=seed + r, featuresCol="features").fit(vec)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
+    with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
+        models = list(pool.map(lambda r: KMeans(k=k, seed=seed + r, featuresCol="features").fit(vec),
+                               range(restarts)))
+    best = min(enumerate(models), key=lambda t: (t[1].summary.trainingCost, t[0]))[1]
     # standardised columns were replaced in place; recover originals from centres:
     lab = best.transform(vec)
     st = complete_cases(df.select(*cols), cols).agg(

@@ -230,3 +230,15 @@ def test_dbscan_matches_naive(spark):
     z = (pts - pts.mean(0)) / pts.std(0)
     c, noise_n, core_n = _naive_dbscan(z)
     assert (s.n_clusters, s.n_noise, s.n_core) == (c, noise_n, core_n)
+
+
+def test_kmeans_sweep_finds_three_blobs(spark):
+    from statloom.operators import multivariate as M
+    rng = np.random.default_rng(8)
+    pts = np.vstack([rng.normal(c, 0.1, (40, 2)) for c in [(0, 0), (5, 5), (0, 5)]])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in pts], "x double, y double")
+    sweep = M.kmeans_sweep(df, ["x", "y"], k_range=range(2, 5), restarts=2).collect()
+    best = [r.k for r in sweep if r.is_best]
+    assert best == [3]
+    prof = M.kmeans_profile(df, 3, ["x", "y"], restarts=2).collect()
+    assert sorted(r.size for r in prof) == [40, 40, 40]
