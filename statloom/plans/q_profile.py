@@ -179,3 +179,10 @@ def validate_table(spark, sf):
      for c in ["o_orderstatus", "o_orderpriority"]]))
 def validate_nulls(spark, sf):
     return P.validate_table(frame(spark, sf, "orders_nulls"))
+
+
+@register("duplicate_rows_lineitem", sql="""SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum(c - 1) AS BIGINT) AS duplicate_rows
+FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_suppkey, l_quantity, l_returnflag, l_linestatus)""")
+def duplicate_rows_lineitem(spark, sf):
+    li = frame(spark, sf, "lineitem").select("l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    return P.duplicate_rows(li)
