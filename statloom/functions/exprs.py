@@ -31,37 +31,32 @@ def sig_columns(df: DataFrame, cols: list[str], digits: int = 9) -> DataFrame:
     multiply / add / floor are used, so Spark and the SQL twin
     :func:`sig_sql` produce bit-identical doubles.  Magnitudes below
     ``1e-12`` (numerical zeros such as the skew of a symmetric column) are 0.
-    Staged projections keep every generated expression small.
+    The expressions are SQL strings (one JVM call per stage, instead of one
+    per operator node) in staged projections that keep generated code small.
     """
     if not cols:
         return df
-    ten = F.lit(10.0)
-    tmp = {}
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        tmp[f"_sx{i}"] = x
-        tmp[f"_sk{i}"] = F.floor(F.log10(F.abs(x))).cast("double")
-    df = df.withColumns(tmp)
-    step = {}
-    for i, _ in enumerate(cols):
-        ax, k0 = F.abs(F.col(f"_sx{i}")), F.col(f"_sk{i}")
-        step[f"_sl{i}"] = F.when(k0 >= 0, ax / F.pow(ten, k0)).otherwise(ax * F.pow(ten, -k0))
-    df = df.withColumns(step)
-    step = {}
-    for i, _ in enumerate(cols):
-        lead, k0 = F.col(f"_sl{i}"), F.col(f"_sk{i}")
-        k = k0 + F.when(lead >= 10.0, F.lit(1.0)).when(lead < 1.0, F.lit(-1.0)).otherwise(F.lit(0.0))
-        step[f"_sm{i}"] = F.lit(float(digits - 1)) - k
-    df = df.withColumns(step)
-    out = {}
-    for i, c in enumerate(cols):
-        x, m = F.col(f"_sx{i}"), F.col(f"_sm{i}")
-        r = F.when(m >= 0, F.floor(x * F.pow(ten, m) + 0.5).cast("double") / F.pow(ten, m)
-                   ).otherwise(F.floor(x / F.pow(ten, -m) + 0.5).cast("double") * F.pow(ten, -m))
-        out[c] = (F.when(x.isNull() | F.isnan(x), x).when(F.abs(x) < 1e-12, F.lit(0.0))
-                  .otherwise(r) + F.lit(0.0))
-    df = df.withColumns(out)
-    return df.drop(*[f"_s{t}{i}" for i in range(len(cols)) for t in "xklm"])
+    q = [f"`{c}`" for c in cols]
+    keep = [f"`{c}`" for c in df.columns]
+    s1 = df.selectExpr(*keep, *[f"CAST({c} AS DOUBLE) AS _sx{i}" for i, c in enumerate(q)])
+    s1 = s1.selectExpr("*", *[f"CAST(FLOOR(LOG10(ABS(_sx{i}))) AS DOUBLE) AS _sk{i}" for i in range(len(q))])
+    lead = "(CASE WHEN _sk{i} >= 0 THEN ABS(_sx{i}) / POW(10.0, _sk{i}) ELSE ABS(_sx{i}) * POW(10.0, -_sk{i}) END)"
+    s2 = s1.selectExpr("*", *[
+        f"({float(digits - 1)} - (_sk{i} + CASE WHEN {lead.format(i=i)} >= 10.0 THEN 1.0 "
+        f"WHEN {lead.format(i=i)} < 1.0 THEN -1.0 ELSE 0.0 END)) AS _sm{i}" for i in range(len(q))])
+    out = []
+    pos = {c: i for i, c in enumerate(cols)}
+    for c in df.columns:
+        if c not in pos:
+            out.append(f"`{c}`")
+            continue
+        i = pos[c]
+        x, m = f"_sx{i}", f"_sm{i}"
+        r = (f"(CASE WHEN {m} >= 0 THEN CAST(FLOOR({x} * POW(10.0, {m}) + 0.5) AS DOUBLE) / POW(10.0, {m}) "
+             f"ELSE CAST(FLOOR({x} / POW(10.0, -{m}) + 0.5) AS DOUBLE) * POW(10.0, -{m}) END)")
+        out.append(f"(CASE WHEN {x} IS NULL OR isnan({x}) THEN {x} WHEN ABS({x}) < 1e-12 THEN 0.0 "
+                   f"ELSE {r} END + 0.0) AS `{c}`")
+    return s2.selectExpr(*out)
 
 
 def sig_sql(expr: str, digits: int = 9) -> str:
