@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import ann, bpe, mixing, simhash, vecdedup
+from statloom.llm import ann, bpe, mixing, simhash, urlfilter, vecdedup
 from statloom.llm.common import read_table
 
 #: Where the public tokenizers' files lie on the driver.
@@ -22,6 +22,15 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+#: The rules of op3.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urlfilter.train(urlfilter.labelled(spark))
+    return urlfilter.judge(read_table(spark, sf_dir, "pages"), URL_RULES, model)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -35,6 +44,6 @@ def op10_vecdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_ann": op2_ann, "op10_vecdedup": op10_vecdedup, "op1_bpe": op1_bpe, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing}
+QUERIES = {"op3_urlfilter": op3_urlfilter, "op2_ann": op2_ann, "op10_vecdedup": op10_vecdedup, "op1_bpe": op1_bpe, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing}
 
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
