@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import ann, bpe, mixing, simhash, urlfilter, vecdedup
+from statloom.llm import ann, bpe, mixing, simhash, toxicity, urlfilter, vecdedup
 from statloom.llm.common import read_table
 
 #: Where the public tokenizers' files lie on the driver.
@@ -40,10 +40,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.score(docs, toxicity.train(*toxicity.training_sample(docs, labels)))
+
+
 def op10_vecdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op3_urlfilter": op3_urlfilter, "op2_ann": op2_ann, "op10_vecdedup": op10_vecdedup, "op1_bpe": op1_bpe, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing}
+QUERIES = {"op7_toxicity": op7_toxicity, "op3_urlfilter": op3_urlfilter, "op2_ann": op2_ann, "op10_vecdedup": op10_vecdedup, "op1_bpe": op1_bpe, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing}
 
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
