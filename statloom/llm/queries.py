@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import ann, bpe, licenses, mixing, simhash, toxicity, urlfilter, vecdedup
+from statloom.llm import ann, bpe, lattice_lm, licenses, mixing, simhash, toxicity, urlfilter, vecdedup
 from statloom.llm.common import read_table
 
 #: Where the public tokenizers' files lie on the driver.
@@ -49,10 +49,14 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op10_vecdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op8_licenses": op8_licenses, "op7_toxicity": op7_toxicity, "op3_urlfilter": op3_urlfilter, "op2_ann": op2_ann, "op10_vecdedup": op10_vecdedup, "op1_bpe": op1_bpe, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing}
+QUERIES = {"op9_lattice_lm": op9_lattice_lm, "op8_licenses": op8_licenses, "op7_toxicity": op7_toxicity, "op3_urlfilter": op3_urlfilter, "op2_ann": op2_ann, "op10_vecdedup": op10_vecdedup, "op1_bpe": op1_bpe, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing}
 
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
