@@ -159,3 +159,22 @@ def mix(sized: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES) -> Data
     copies = F.coalesce(F.col("k.copies"), F.lit(0))
     return out.select("d.doc_id", "d.size", "d.source", "d.source_size", "d.target",
                       (F.col("d.size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+         weights=WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, each as often as the mix reads it."""
+    def key(doc_id, source, size):
+        return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), size.cast("string"),
+                           F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source)))
+
+    mixed = mix(sizes(docs, id_col, text_col, source_col), weights, max_passes)
+    taken = mixed.groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("_key")).agg(
+        F.sum("copies").alias("_copies"), F.count("*").alias("_alike")).where("_copies > 0")
+    rows = docs.withColumn("_key", key(F.col(id_col).cast("long"), F.col(source_col).cast("string"), word_count(F.col(text_col))))
+    # rows alike in id, source and size share their copies out evenly
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(text_col))))
+    rows = rows.join(taken, "_key")
+    copies = F.floor(F.col("_copies") / F.col("_alike")) + (F.col("_nth") <= F.col("_copies") % F.col("_alike")).cast("int")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(max_passes)))).where(
+        F.col("_copy") <= copies).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import ann, bpe, lattice_lm, licenses, mixing, simhash, toxicity, urlfilter, vecdedup
+from statloom.llm import ann, bpe, html_extract, lattice_lm, licenses, mixing, simhash, toxicity, urlfilter, vecdedup
 from statloom.llm.common import read_table
 
 #: Where the public tokenizers' files lie on the driver.
@@ -31,6 +31,10 @@ def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read_table(spark, sf_dir, "pages"), URL_RULES, model)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,6 @@ def op10_vecdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op9_lattice_lm": op9_lattice_lm, "op8_licenses": op8_licenses, "op7_toxicity": op7_toxicity, "op3_urlfilter": op3_urlfilter, "op2_ann": op2_ann, "op10_vecdedup": op10_vecdedup, "op1_bpe": op1_bpe, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing}
+QUERIES = {"op4_html": op4_html, "op9_lattice_lm": op9_lattice_lm, "op8_licenses": op8_licenses, "op7_toxicity": op7_toxicity, "op3_urlfilter": op3_urlfilter, "op2_ann": op2_ann, "op10_vecdedup": op10_vecdedup, "op1_bpe": op1_bpe, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing}
 
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL}

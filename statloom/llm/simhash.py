@@ -222,3 +222,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
         "fp", F.coalesce("component", "node").alias("component_id"))
     return rows.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, all columns: one document of each component stays, the one of the smallest id.
+
+    Rows without an id cannot be told apart by it and all stay.
+    """
+    found = near_duplicates(docs, id_col=id_col, **options)
+    heads = found.where("component_id = doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(heads, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)

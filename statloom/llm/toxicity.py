@@ -345,3 +345,21 @@ def score(docs: DataFrame, net: Net | None, toxic_at: float = TOXIC_AT) -> DataF
     scored = doc_texts(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
                          F.when(F.col("score") >= toxic_at, 1).otherwise(0).alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, net: Net | None, toxic_at: float = TOXIC_AT, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``toxic_at``."""
+    held = docs.sparkSession.sparkContext.broadcast(net)
+    at_text = docs.columns.index(text_col)
+
+    def run(batches):
+        scorer = Scorer(held.value) if held.value else None
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                if scorer:
+                    got = scorer.score([t or "" for t in part.column(at_text).to_pylist()])
+                    part = part.filter(pa.array(got < toxic_at))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)
