@@ -23,6 +23,8 @@ empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,6 +41,8 @@ BUDGET = 3
 #: Fingerprints that one task joins; larger subtries are split by SPLIT_BITS more bits.
 UNIT = 50_000
 SPLIT_BITS = 4
+#: Fingerprints of a block that one Python call joins about, unit by unit.
+BUNDLE = 20_000
 #: Node pairs followed at a time inside a task.
 CHUNK = 200_000
 
@@ -77,17 +81,20 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED,
 def trie_pairs(left: np.ndarray, right: np.ndarray | None, top: int, budget: int):
     """Index pairs of sorted uint64 keys within ``budget`` differing bits, in chunks.
 
-    ``right`` None: pairs inside ``left``.  The first ``top`` bits are known to
-    differ by the caller's count, or to be equal; node pairs start below them.
+    ``right`` None: the pairs inside every subtrie of ``left``, keys that agree in
+    the first ``top`` bits.  Else ``left`` and ``right`` are one subtrie each.
     """
     same = right is None
     other = left if same else right
     if not len(left) or not len(other):
         return
-    start = np.array([[0, len(left), 0, len(other), 0]], np.int64)
-    if not same:
-        high = np.uint64(64 - top)
-        start[0, 4] = int(left[0] >> high ^ other[0] >> high).bit_count() if top else 0
+    high = np.uint64(64 - top)
+    if same:
+        first = np.flatnonzero(np.r_[True, left[1:] >> high != left[:-1] >> high]) if top else np.array([0])
+        last = np.r_[first[1:], len(left)]
+        start = np.stack((first, last, first, last, np.zeros_like(first)), 1)
+    else:
+        start = np.array([[0, len(left), 0, len(other), int(left[0] >> high ^ other[0] >> high).bit_count()]], np.int64)
     stack = [(top, start)]
     while stack:
         depth, p = stack.pop()
@@ -153,6 +160,7 @@ def linked_fingerprints(fps: DataFrame, budget: int = BUDGET, unit: int = UNIT)
     # a node pair is (block, p, q): prefixes of `top` bits, p <= q; side 0 lies under p, side 1 under q
     now = turned.withColumns({"p": F.shiftrightunsigned("key", 64 - width), "side": F.lit(0)}).withColumn("q", F.col("p"))
     top, done, keys = width, [], ["block", "p", "q"]
+    bundles = max(1, math.ceil(fps.count() / BUNDLE))
     while True:
         now = materialize(now)
         sizes = now.groupBy(*keys).agg(F.count("*").alias("n"), F.max("side").alias("hi"), F.min("side").alias("lo"))
@@ -160,9 +168,9 @@ def linked_fingerprints(fps: DataFrame, budget: int = BUDGET, unit: int = UNIT)
         large = materialize(sizes.where(F.col("n") > unit).select(*keys)) if top + SPLIT_BITS <= 64 else None
         rest = now.join(sizes.select(*keys), keys, "left_semi")
         if large is None or large.isEmpty():
-            done.append(_join_units(rest, top, budget))
+            done.append(_join_units(rest, top, budget, bundles))
             break
-        done.append(_join_units(rest.join(large, keys, "left_anti"), top, budget))
+        done.append(_join_units(rest.join(large, keys, "left_anti"), top, budget, bundles))
         top += SPLIT_BITS
         now = _split(rest.join(large, keys, "left_semi"), top, budget)
     edges = done[0]
@@ -188,22 +196,32 @@ def _split(rows: DataFrame, top: int, budget: int) -> DataFrame:
                       F.when(first, F.col("other")).otherwise(F.col("kid")).alias("q"))
 
 
-def _join_units(rows: DataFrame, top: int, budget: int) -> DataFrame:
+def _join_units(rows: DataFrame, top: int, budget: int, bundles: int) -> DataFrame:
+    """Star edges of all units; units of a block are bundled, so that a Python call joins many small ones at once."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["key"].to_numpy(np.int64).view(np.uint64)
-        node, side = pdf["node"].to_numpy(np.int64), pdf["side"].to_numpy()
-        order = np.lexsort((key, side))
-        key, node, side = key[order], node[order], side[order]
-        cut = int((side == 0).sum())
-        if pdf["p"].iloc[0] == pdf["q"].iloc[0]:
-            label = star_edges(len(key), trie_pairs(key, None, top, budget))
-        else:
-            pairs = ((a, b + cut) for a, b in trie_pairs(key[:cut], key[cut:], top, budget))
-            label = star_edges(len(key), pairs)
-        tied = np.flatnonzero(label != np.arange(len(key)))
-        return pd.DataFrame({"a": node[tied], "b": node[label[tied]]})
-
-    return rows.groupBy("block", "p", "q").applyInPandas(run, "a long, b long")
+        twin = (pdf["p"] == pdf["q"]).to_numpy()
+        found = []
+
+        def add(own, cut):
+            key, node = own["key"].to_numpy(np.int64).view(np.uint64), own["node"].to_numpy(np.int64)
+            if cut is None:
+                label = star_edges(len(key), trie_pairs(key, None, top, budget))
+            else:
+                label = star_edges(len(key), ((a, b + cut) for a, b in trie_pairs(key[:cut], key[cut:], top, budget)))
+            tied = np.flatnonzero(label != np.arange(len(key)))
+            found.append(pd.DataFrame({"a": node[tied], "b": node[label[tied]]}))
+
+        def ordered(own):
+            return own.iloc[np.lexsort((own["key"].to_numpy(np.int64).view(np.uint64), own["side"]))]
+
+        if twin.any():
+            add(ordered(pdf[twin]), None)
+        for _, own in pdf[~twin].groupby(["p", "q"]):
+            add(ordered(own), int((own["side"] == 0).sum()))
+        return pd.concat(found)
+
+    bundle = F.pmod(F.xxhash64("p", "q"), F.lit(bundles)).alias("bundle")
+    return rows.groupBy("block", bundle).applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, budget: int = BUDGET,
