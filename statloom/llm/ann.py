@@ -188,7 +188,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TR
 
     def rerank(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(e):
-            return pd.DataFrame({"query_id": [], "ids": [], "score": []})
+            return pd.DataFrame([], columns=["query_id", "ids", "score"])
         x, y, ids = _stack(e["v"]), _stack(q["v"]), e["ids"].to_numpy()
         near, xx = k + 1, (x * x).sum(1)
         rows = []

@@ -118,6 +118,7 @@ def vocabulary(path: str) -> tuple[dict[str, float], list[float]]:
         if START not in piece[1:]:
             pieces[piece] = -math.log(1.0 - sp.get_score(i))
             ranks.append(-sp.get_score(i))
+    pieces.setdefault(START, -math.log(max(ranks) + 2))  # a word may start with a character that joins no start mark
     total = math.log(sum(map(math.exp, pieces.values())) + 256 / (max(ranks) + 2))
     return {p: w - total for p, w in pieces.items()}, [-math.log(max(ranks) + 2) - total] * 256
 

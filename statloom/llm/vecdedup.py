@@ -132,9 +132,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_pivot:
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         side = pdf["side"].to_numpy()
         a, b = pdf[side == 0], pdf[side == 1]
-        empty = pd.DataFrame({"key": [], "links": [], "a": [], "b": []})
         if not len(a) or not len(b):
-            return empty
+            return pd.DataFrame([], columns=["key", "links", "a", "b"])
         x, y = np.stack(a["u"].tolist()), np.stack(b["u"].tolist())
         nodes, weight = b["node"].to_numpy(), b["copies"].to_numpy(np.int64)
         of = {k: i for i, k in enumerate(b["key"])}
