@@ -82,8 +82,9 @@ def _running(df: DataFrame, groups: list[str], bucket: str, order: list, value:
     upto = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
     sums = sums.withColumn("_before", F.sum("_s").over(upto.orderBy(bucket).rowsBetween(
         Window.unboundedPreceding, 0)) - F.col("_s")).drop("_s")
-    if limit is not None:
-        sums = sums.where(F.col("_before") <= F.lit(limit))
+    if limit is not None:  # rows behind the limit leave before the shuffle
+        last = sums.where(F.col("_before") <= F.lit(limit)).agg(F.max(bucket)).first()[0]
+        df = df.where(F.col(bucket) <= F.lit(-1 if last is None else last))
     keys = [*groups, bucket]
     inside = F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return df.join(sums, keys).withColumn(out, inside + F.col("_before")).drop("_before")
