@@ -24,6 +24,13 @@ def num(c) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """The frame with NaN turned into NULL in its floating-point columns (one missing value, not two)."""
+    cols = {f.name: F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)) for f in df.schema.fields
+            if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    return df.withColumns(cols) if cols else df
+
+
 def sig_columns(df: DataFrame, cols: list[str], digits: int = 9) -> DataFrame:
     """Round ``cols`` to ``digits`` significant digits (stable value hashing).
 

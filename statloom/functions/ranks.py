@@ -5,9 +5,9 @@ ranks are computed on *value cells* ``(group..., value, cnt)`` (a map-side
 combined count, so repeated values cost one row) and, when the cell table is
 larger than ``WINDOW_CELL_BOUND``, by range partitioning the cells, summing
 each range partition (a table of about ``P`` rows), and adding those offsets
-to a per-partition running sum.  Range bounds are sampled, so the cell table
-is first written through the reliable checkpoint: a recomputation after an
-executor loss reads the same cells and draws the same bounds.
+to a per-partition running sum.  Range bounds are sampled anew by every
+exchange, so the ranged cells are written once, with their partition number,
+through the reliable checkpoint; offsets and running sums both read that copy.
 
 Equal values always share one cell, so average ranks for ties come out of
 ``cum_before + (cnt + 1) / 2`` with no extra pass.
@@ -63,8 +63,10 @@ def cumulate(cells: DataFrame, group: list[str], value: str = "value",
     total = cells.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                 -(-total // CELLS_PER_RANGE_PARTITION))
+    # offsets and local sums must see the same ranges: the ranged rows are
+    # written once, with their partition number, and both frames read that
     ranged = (cells.repartitionByRange(parts, *group, value)
-              .withColumn("_pid", F.spark_partition_id()))
+              .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
     part_tot = ranged.groupBy("_pid", *group).agg(F.sum(cnt).alias("_psum"))
     wo = Window.partitionBy(*group).orderBy("_pid")
     offsets = (part_tot

@@ -25,7 +25,6 @@ from statloom.session import ensure_parallelism
 
 ACCURACY = 10_000
 COLLECT_LIMIT = 50_000
-MAX_ROUNDS = 8
 
 
 def _in(c, L, U):
@@ -54,9 +53,6 @@ def _counts_below(x: DataFrame, cols: list[str], thresholds: dict[int, list[floa
     items = [(i, sorted(set(ts))) for i, ts in thresholds.items() if ts]
     if not items:
         return {}
-    cols_b = [F.struct(F.lit(i).alias("ci"),
-                       F.when(F.col(cols[i]).isNotNull(), _bucket(F.col(cols[i]), ts, 0, len(ts))).alias("bk"))
-              for i, ts in items]
     vals = [F.col(cols[i]) for i, _ in items]
     cols_b = [F.struct(F.lit(i).alias("ci"),
                        F.when(v.isNotNull(), _bucket(v, ts, 0, len(ts))).alias("bk"), v.alias("v"))
@@ -112,7 +108,7 @@ def _select(spark, x, cols, probs, accuracy, collect_limit):
                 cand = (approx[min(1.0, max(0.0, p - eps))], approx[min(1.0, max(0.0, p + eps))])
                 targets[(i, k)] = {"L": None, "U": None, "below": 0, "upto": n, "m": n,
                                    "cand": cand if n > collect_limit else None}
-    for _ in range(MAX_ROUNDS):
+    while True:  # until every bracket is small or can shrink no further
         pending = [t for t, st in targets.items() if st["cand"] is not None]
         if not pending:
             break

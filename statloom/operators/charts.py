@@ -85,4 +85,4 @@ def chart_pie(df: DataFrame, label: str, value: str | None = None) -> DataFrame:
     v = F.sum(value) if value else F.count(F.lit(1))
     g = df.groupBy(label).agg(v.cast("double").alias("total"))
     grand = df.agg(v.cast("double")).first()[0]  # one scalar
-    return g.select(label, "total", (F.col("total") / F.lit(grand)).alias("share"))
+    return g.select(label, "total", F.try_divide(F.col("total"), F.lit(grand)).alias("share"))

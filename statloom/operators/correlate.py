@@ -17,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.functions.exprs import clean_numeric, numeric_columns, stack_long
+from statloom.functions.exprs import clean_numeric, nan_to_null, numeric_columns, stack_long
 from statloom.functions.ranks import ranked_cells
 from statloom.functions.special import t_pvalue_udf
 
@@ -55,7 +55,7 @@ def corr_columns(df: DataFrame, cols: list[str] | None = None,
     base = spark.createDataFrame([(i, c, reasons.get(c)) for i, c in enumerate(cols)],
                                  "ordinal int, column_name string, name_reason string")
     if rest and max_unique_ratio is not None:
-        wide = df.agg(F.count(F.lit(1)).alias("_rows"),
+        wide = nan_to_null(df).agg(F.count(F.lit(1)).alias("_rows"),
                       *[F.countDistinct(c).alias(f"d{i}") for i, c in enumerate(rest)])
         uniq = wide.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("column_name"),
@@ -84,6 +84,12 @@ def pair_stats(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]] | No
     x = clean_numeric(df, used)
     means = x.agg(*[F.avg(c).alias(c) for c in used]).first()
     shift = {c: float(means[c]) if means[c] is not None else 0.0 for c in used}
+
+    def spread(squares, total, n):
+        """Sum of squared deviations; 0 where only rounding noise of a constant is left."""
+        dev = squares - F.try_divide(total * total, n)
+        return F.when(dev > squares * 1e-13, dev).otherwise(F.when(n > 0, F.lit(0.0)))
+
     aggs = []
     for i, (a, b) in enumerate(pairs):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
@@ -99,43 +105,28 @@ def pair_stats(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]] | No
         sa, sb = F.col(f"a{i}"), F.col(f"b{i}")
         structs.append(F.struct(
             F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"n{i}").cast("long").alias("n"),
-            (F.lit(shift[a]) + sa / n).alias("mean1"), (F.lit(shift[b]) + sb / n).alias("mean2"),
-            (F.col(f"aa{i}") - sa * sa / n).alias("sxx"), (F.col(f"bb{i}") - sb * sb / n).alias("syy"),
-            (F.col(f"ab{i}") - sa * sb / n).alias("sxy")))
+            (F.lit(shift[a]) + F.try_divide(sa, n)).alias("mean1"),
+            (F.lit(shift[b]) + F.try_divide(sb, n)).alias("mean2"),
+            spread(F.col(f"aa{i}"), sa, n).alias("sxx"), spread(F.col(f"bb{i}"), sb, n).alias("syy"),
+            (F.col(f"ab{i}") - F.try_divide(sa * sb, n)).alias("sxy")))
     return wide.select(F.inline(F.array(*structs)))
 
 
 def _r(ps: DataFrame) -> DataFrame:
     den = F.sqrt(F.col("sxx") * F.col("syy"))
-    r = F.when((den > 0) & (F.col("n") > 1), F.col("sxy") / den)
-    return ps.select("var1", "var2", "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
-
-
-ONE_PASS_MAX_PAIRS = 12
+    r = F.when(F.col("n") > 1, F.try_divide(F.col("sxy"), den))
+    # greatest and least skip nulls: an undefined r must stay null
+    return ps.select("var1", "var2", "n", F.when(
+        r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
 
 
 def corr_pearson(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """R2: ``(var1, var2, n, r)`` for every pair i < j (schema order).
 
-    Few pairs: one scan with Spark's numerically stable ``corr`` aggregate
-    (pairwise complete).  Many pairs: the two-pass shifted sums, whose plain
-    sums keep a wide aggregate small enough to compile.
+    r is null where it is undefined: no common rows, or a constant column.
     """
     cols = cols or numeric_columns(df)
-    pairs = list(combinations(cols, 2))
-    if len(pairs) > ONE_PASS_MAX_PAIRS:
-        return _r(pair_stats(df, cols))
-    x = clean_numeric(df, cols)
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggs += [F.sum(both.cast("long")).alias(f"n{i}"), F.corr(a, b).alias(f"r{i}")]
-    wide = x.agg(*aggs)
-    return wide.select(F.inline(F.array(*[F.struct(
-        F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-        F.coalesce(F.col(f"n{i}"), F.lit(0)).cast("long").alias("n"),
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"r{i}"))).alias("r"))
-        for i, (a, b) in enumerate(pairs)])))
+    return _r(pair_stats(df, cols))
 
 
 def with_ranks(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
@@ -183,7 +174,7 @@ def corr_significant(df: DataFrame, cols: list[str] | None = None, screen: bool
                 "direction string" + (", p_value double" if with_p else ""))
     pr = corr_pearson(df, cols)
     n = F.col("n").cast("double")
-    t = F.col("r") * F.sqrt((n - 2) / (1 - F.col("r") * F.col("r")))
+    t = F.col("r") * F.sqrt(F.try_divide(n - 2, 1 - F.col("r") * F.col("r")))
     cand = (pr.filter((F.abs("r") > SIG_MIN) & (F.abs("r") < SIG_MAX) & (F.col("n") > 3))
             .withColumn("t_stat", t)
             .withColumn("p_value", t_pvalue_udf(F.col("t_stat"), n - 2))

@@ -14,8 +14,8 @@ cell are within ``eps``, so
   two core cells whose farthest corners are within ``eps`` are linked without
   pairs; point pairs are formed only for partially covered cells;
 * clusters are connected components of the *cell* graph whose edges join
-  cells with a pair of core points within ``eps``; they come from iterated
-  min-label propagation with a reliable checkpoint after every round.
+  cells with a pair of core points within ``eps``; alternating star rounds
+  contract it until nothing changes (``functions.components``).
 
 Border points join the smallest label among their core neighbours; the rest
 is noise (label -1).
@@ -29,13 +29,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.functions.components import connected_components
 from statloom.functions.exprs import numeric_columns
 from statloom.operators.prepare import complete_cases, standardize
 from statloom.session import ensure_checkpoint_dir
 
 EPS = 0.5
 MIN_SAMPLES = 5
-MAX_ROUNDS = 200
 
 
 def _offsets(d: int, side: float, eps: float) -> list[tuple[int, ...]]:
@@ -48,10 +48,6 @@ def _offsets(d: int, side: float, eps: float) -> list[tuple[int, ...]]:
     return out
 
 
-def _dist2(cols, a, b):
-    return sum((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) ** 2 for c in cols)
-
-
 def dbscan_labels(df: DataFrame, cols: list[str] | None = None, eps: float = EPS,
                   min_samples: int = MIN_SAMPLES) -> DataFrame:
     """``(vector columns..., w, core, label)`` per distinct standardised vector."""
@@ -113,19 +109,10 @@ def dbscan_labels(df: DataFrame, cols: list[str] | None = None, eps: float = EPS
         "ncell")
     d2c = sum((F.col(f"a.{c}") - F.col(f"b.b_{c}")) ** 2 for c in cols)
     part_edges = cc.filter(d2c <= eps * eps).select(F.col("a.cell").alias("src"), F.col("ncell").alias("dst"))
-    edges = full_edges.unionByName(part_edges).distinct().checkpoint(eager=True)
-    labels = ccells.select("cell", F.xxhash64(F.col("cell")).alias("label")).checkpoint(eager=True)
-    for _ in range(MAX_ROUNDS):
-        prop = (edges.join(labels.withColumnRenamed("cell", "src"), "src")
-                .groupBy(F.col("dst").alias("cell")).agg(F.min("label").alias("nl")))
-        new = (labels.join(prop, "cell", "left")
-               .select("cell", F.least("label", F.coalesce("nl", "label")).alias("label"))
-               .checkpoint(eager=True))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "cell").filter(
-            F.col("label") != F.col("old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            break
+    edges = full_edges.unionByName(part_edges).select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"))
+    comp = connected_components(edges)
+    own = ccells.withColumn("node", F.xxhash64("cell"))
+    labels = own.join(comp, "node", "left").select("cell", F.coalesce("component", "node").alias("label"))
     core_l = cores.join(labels, "cell").select("pid", "label")
     # border points: whole core cells within eps give their label directly
     border = core.filter(~F.col("core")).select("pid", "cell", *cols)

@@ -89,6 +89,12 @@ def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
         raise ValueError("n >= 3 required")
     if x[-1] - x[0] == 0:
         return 1.0, 1.0
+    w = min(float((shapiro_coefficients(n) @ x) ** 2 / ((x - x.mean()) @ (x - x.mean()))), 1.0)
+    return w, shapiro_p(n, w)
+
+
+def shapiro_coefficients(n: int) -> np.ndarray:
+    """Weights of the order statistics 1..n."""
     i = np.arange(1, n + 1)
     m = np.array([norm_ppf(p) for p in (i - 0.375) / (n + 0.25)])
     mm = float(m @ m)
@@ -107,47 +113,71 @@ def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
             phi = (mm - 2 * m[-1] ** 2) / (1 - 2 * an ** 2)
             a = m / math.sqrt(phi)
             a[-1], a[0] = an, -an
-    w = float((a @ x) ** 2 / ((x - x.mean()) @ (x - x.mean())))
-    w = min(w, 1.0)
+    return a
+
+
+def shapiro_p(n: int, w: float) -> float:
     if n == 3:
-        p = max(0.0, 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
-        return w, p
+        return max(0.0, 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     ln1w = math.log(1.0 - w) if w < 1 else -math.inf
     if n <= 11:
         g = _poly([-2.273, 0.459], n)
         mu = _poly([0.5440, -0.39978, 0.025054, -6.714e-4], n)
         sigma = math.exp(_poly([1.3822, -0.77857, 0.062767, -0.0020322], n))
         if ln1w >= g:
-            return w, 1e-99
+            return 1e-99
         z = (-math.log(g - ln1w) - mu) / sigma
     else:
         ln = math.log(n)
         mu = _poly([-1.5861, -0.31082, -0.083751, 0.0038915], ln)
         sigma = math.exp(_poly([-0.4803, -0.082676, 0.0030302], ln))
         z = (ln1w - mu) / sigma
-    return w, float(norm_sf(z))
+    return float(norm_sf(z))
 
 
-SW_SCHEMA = "column_name string, n long, statistic double, p_value double"
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _coefficients_udf(n: pd.Series) -> pd.Series:
+    return n.map(lambda k: shapiro_coefficients(int(k)).tolist())
+
+
+@F.pandas_udf(T.DoubleType())
+def _shapiro_p_udf(n: pd.Series, w: pd.Series) -> pd.Series:
+    return pd.Series([shapiro_p(int(k), float(x)) if x == x else None for k, x in zip(n, w)])
 
 
-def normality_shapiro(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def normality_shapiro(df: DataFrame, cols: list[str] | None = None, status: bool = False) -> DataFrame:
     """Shapiro-Wilk per column with 20 < n < 5000.
 
-    The gate bounds every group at 5000 values, so each column is handed to
-    one grouped pandas task (the coefficients depend on all order statistics).
+    W is an aggregate over ranked value cells: each order statistic meets its
+    coefficient by (column, position), so no column is gathered in one task.
+    A constant column has W = 1, p = 1.  ``status`` adds a row, with a reason,
+    for every column outside the gate.
     """
     cols = cols or numeric_columns(df)
     long = stack_long(clean_numeric(df, cols), cols)
-    sizes = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("_n"))
-    ok = sizes.filter((F.col("_n") > MIN_N) & (F.col("_n") < SHAPIRO_MAX))
-    sel = long.join(F.broadcast(ok), "column_name")  # one row per column
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(pdf["value"].to_numpy(float))
-        return pd.DataFrame([{"column_name": pdf["column_name"].iloc[0], "n": len(pdf),
-                              "statistic": w, "p_value": p}])
-    return sel.select("column_name", "value").groupBy("column_name").applyInPandas(run, SW_SCHEMA)
+    sizes = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    ok = sizes.filter((F.col("n") > MIN_N) & (F.col("n") < SHAPIRO_MAX))
+    weights = ok.select("column_name", F.posexplode(_coefficients_udf("n")).alias("pos", "a"))
+    inside = long.join(F.broadcast(ok.select("column_name", "mean")), "column_name")  # one row per column
+    cum = cumulate(value_cells(inside, ["column_name", "mean"]), ["column_name", "mean"])
+    each = cum.select("column_name", "value", "mean", F.explode(F.sequence(
+        F.col("cum_before").cast("int"), (F.col("cum_before") + F.col("cnt") - 1).cast("int"))).alias("pos"))
+    d = F.col("value") - F.col("mean")
+    g = each.join(weights, ["column_name", "pos"]).groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("a") * d).alias("_b"), F.sum(d * d).alias("_ss"),
+        (F.min("value") == F.max("value")).alias("_flat"))
+    w = F.when(F.col("_flat"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.try_divide(F.col("_b") * F.col("_b"), F.col("_ss"))))
+    out = g.select("column_name", "n", w.alias("statistic"), "_flat")
+    out = out.select("column_name", "n", "statistic", F.when(F.col("_flat"), F.lit(1.0)).otherwise(
+        _shapiro_p_udf("n", "statistic")).alias("p_value"))
+    if not status:
+        return out
+    base = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string").join(
+        sizes.select("column_name", F.col("n").alias("_n")), "column_name", "left")
+    n = F.coalesce("_n", F.lit(0))
+    return base.join(out.drop("n"), "column_name", "left").select(
+        "column_name", n.alias("n"), "statistic", "p_value",
+        F.when(n <= MIN_N, "too_few_values").when(n >= SHAPIRO_MAX, "too_many_values").otherwise("ok").alias("status"))
 
 
 def _norm_tails(z: Column) -> tuple[Column, Column]:
@@ -179,16 +209,16 @@ def normality_anderson(df: DataFrame, cols: list[str] | None = None) -> DataFram
                                          F.stddev_samp("value").alias("std"))
     cum = cumulate(value_cells(long, ["column_name"]), ["column_name"])
     j = cum.join(F.broadcast(st), "column_name").filter(F.col("n") > MIN_N)
-    z = (F.col("value") - F.col("mean")) / F.col("std")
+    z = F.try_divide(F.col("value") - F.col("mean"), F.col("std"))  # null for a constant column
     lnf, lnsf = _norm_tails(z)
     a = F.col("cum_before") + 1
     b = F.col("cum_before") + F.col("cnt")
     n = F.col("n")
     w_f = (b * b - (a - 1) * (a - 1)).cast("double")                 # sum of (2i - 1)
     w_s = ((2 * n + 1) * F.col("cnt") - (b * (b + 1) - (a - 1) * a)).cast("double")  # sum (2n - 2i + 1)
-    g = j.groupBy("column_name", "n").agg(F.sum(w_f * lnf + w_s * lnsf).alias("_s"))
+    g = j.groupBy("column_name", "n").agg(F.sum(F.when(z.isNotNull(), w_f * lnf + w_s * lnsf)).alias("_s"))
     nn = F.col("n").cast("double")
-    a2 = -nn - F.col("_s") / nn
+    a2 = -nn - F.col("_s") / nn  # null for a constant column
     denom = 1.0 + 4.0 / nn - 25.0 / (nn * nn)
     crit = [F.round(F.lit(v) / denom, 3).alias(f"crit_{str(l).replace('.', '_')}")
             for v, l in zip(AD_BASE, AD_LEVELS)]
@@ -223,11 +253,11 @@ def normality_ks(df: DataFrame, cols: list[str] | None = None, with_p: bool = Tr
                                          F.stddev_samp("value").alias("std"))
     cum = cumulate(value_cells(long, ["column_name"]), ["column_name"])
     j = cum.join(F.broadcast(st), "column_name").filter(F.col("n") > MIN_N)
-    f = norm_cdf((F.col("value") - F.col("mean")) / F.col("std"))
+    f = norm_cdf(F.try_divide(F.col("value") - F.col("mean"), F.col("std")))  # null for a constant column
     nn = F.col("n").cast("double")
     dplus = (F.col("cum_before") + F.col("cnt")) / nn - f
     dminus = f - F.col("cum_before") / nn
-    g = j.groupBy("column_name", "n").agg(F.max(F.greatest(dplus, dminus)).alias("statistic"))
+    g = j.groupBy("column_name", "n").agg(F.max(F.when(f.isNotNull(), F.greatest(dplus, dminus))).alias("statistic"))
     return g.withColumn("p_value", _ks_p_udf("statistic", "n")) if with_p else g
 
 
@@ -264,14 +294,16 @@ def normality_tests(df: DataFrame, cols: list[str] | None = None, confidence: fl
 
 # --- two-sample comparisons (H2-H4) -----------------------------------------
 
+MAX_COMPARED = 4   # columns compared when the caller names none
+
+
 def _pairs(cols: list[str]) -> list[tuple[str, str]]:
-    return [(cols[i], cols[j]) for i in range(min(3, len(cols) - 1))
-            for j in range(i + 1, min(4, len(cols)))]
+    return list(combinations(cols, 2))
 
 
 def t_test_pairs(df: DataFrame, cols: list[str] | None = None, with_p: bool = True) -> DataFrame:
     """H2 + H4: pooled two-sample t-test between columns and Cohen-style effect size."""
-    cols = cols or numeric_columns(df)
+    cols = cols or numeric_columns(df)[:MAX_COMPARED]
     pairs = _pairs(cols)
     used = list(dict.fromkeys(c for p in pairs for c in p))
     st = stack_long(clean_numeric(df, used), used).groupBy("column_name").agg(
@@ -285,9 +317,9 @@ def t_test_pairs(df: DataFrame, cols: list[str] | None = None, with_p: bool = Tr
     j = pr.join(a, "var1").join(b, "var2")
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     dof = n1 + n2 - 2
-    sp2 = ((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2")) / dof
-    t = (F.col("m1") - F.col("m2")) / F.sqrt(sp2 * (1.0 / n1 + 1.0 / n2))
-    eff = (F.col("m1") - F.col("m2")) / F.sqrt((F.col("v1") + F.col("v2")) / 2.0)
+    sp2 = F.try_divide((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2"), dof)
+    t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(sp2 * (1.0 / n1 + 1.0 / n2)))
+    eff = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt((F.col("v1") + F.col("v2")) / 2.0))
     out = j.select("var1", "var2", F.lit("t_test").alias("test"), t.alias("statistic"),
                    dof.alias("df"), eff.alias("effect_size"))
     return out.withColumn("p_value", t_pvalue_udf("statistic", "df")) if with_p else out
@@ -296,7 +328,7 @@ def t_test_pairs(df: DataFrame, cols: list[str] | None = None, with_p: bool = Tr
 def mann_whitney(df: DataFrame, cols: list[str] | None = None, with_p: bool = True) -> DataFrame:
     """H3: Mann-Whitney U between columns; two-sided normal p with tie
     correction and continuity.  Ranks over the union come from value cells."""
-    cols = cols or numeric_columns(df)
+    cols = cols or numeric_columns(df)[:MAX_COMPARED]
     pairs = _pairs(cols)
     used = list(dict.fromkeys(c for p in pairs for c in p))
     long = stack_long(clean_numeric(df, used), used)
@@ -320,19 +352,19 @@ def mann_whitney(df: DataFrame, cols: list[str] | None = None, with_p: bool = Tr
     u1 = F.col("r1") - n1 * (n1 + 1) / 2.0
     u = F.greatest(u1, n1 * n2 - u1)
     mu = n1 * n2 / 2.0
-    sigma = F.sqrt(n1 * n2 / 12.0 * ((nn + 1) - F.col("ties") / (nn * (nn - 1))))
-    z = (u - mu - 0.5) / sigma
+    sigma = F.sqrt(n1 * n2 / 12.0 * ((nn + 1) - F.try_divide(F.col("ties"), nn * (nn - 1))))
+    z = F.try_divide(u - mu - 0.5, sigma)
     out = g.join(pr, "pair").select("var1", "var2", F.lit("mann_whitney").alias("test"),
                                     u1.alias("statistic"), z.alias("z"))
-    return (out.withColumn("p_value", F.least(F.lit(1.0), norm_pvalue_two_sided_udf(F.col("z"))))
+    return (out.withColumn("p_value", F.when(F.col("z").isNotNull(), F.least(F.lit(1.0), norm_pvalue_two_sided_udf(F.col("z")))))
             if with_p else out)
 
 
 def compare_pairs(df: DataFrame, cols: list[str] | None = None, confidence: float = 0.95) -> DataFrame:
     """H2/H3 dispatch: t-test when both columns pass the normality gate, else Mann-Whitney."""
-    cols = cols or numeric_columns(df)
+    cols = cols or numeric_columns(df)[:MAX_COMPARED]
     alpha = 1.0 - confidence
-    norm = {r[0]: r[1] for r in normality_tests(df, cols[:10], confidence)
+    norm = {r[0]: r[1] for r in normality_tests(df, cols, confidence)
             .select("column_name", "is_normal").collect()}
     tt = t_test_pairs(df, cols).select("var1", "var2", "test", "statistic", "p_value")
     mw = mann_whitney(df, cols).select("var1", "var2", "test", "statistic", "p_value")
@@ -352,8 +384,8 @@ def anova_oneway(df: DataFrame, cat_cols: list[str] | None = None, num_cols: lis
 
     Needs 2-10 levels, groups with more than 5 values, at least 2 groups.
     """
-    cat_cols = (cat_cols or string_columns(df))[:3]
-    num_cols = (num_cols or numeric_columns(df))[:3]
+    cat_cols = cat_cols or string_columns(df)[:3]
+    num_cols = num_cols or numeric_columns(df)[:3]
     parts = []
     for cat in cat_cols:
         x = clean_numeric(df, num_cols, keep=[cat]).filter(F.col(cat).isNotNull())
@@ -373,7 +405,7 @@ def anova_oneway(df: DataFrame, cat_cols: list[str] | None = None, num_cols: lis
             F.sum(F.col("n") * F.pow(F.col("m") - F.col("gm"), 2)).alias("ssb"),
             F.sum((F.col("n") - 1) * F.coalesce(F.col("v"), F.lit(0.0))).alias("ssw"))
         k, nn = F.col("k").cast("double"), F.col("_nn").cast("double")
-        fstat = (F.col("ssb") / (k - 1)) / (F.col("ssw") / (nn - k))
+        fstat = F.try_divide(F.try_divide(F.col("ssb"), k - 1), F.try_divide(F.col("ssw"), nn - k))
         parts.append(ss.filter(F.col("k") >= 2).select(
             F.lit(cat).alias("categorical"), F.col("column_name").alias("numeric"),
             fstat.alias("statistic"), (k - 1).alias("df_between"), (nn - k).alias("df_within"),
@@ -401,11 +433,12 @@ def importance_correlation(df: DataFrame, cols: list[str] | None = None, target:
     feats = [c for c in cols if c != target]
     cc = clean_numeric(df, cols).na.drop(subset=cols)
     ps = pair_stats(cc, cols, [(f, target) for f in feats])
-    r = F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))
+    r = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
     n = F.col("n").cast("double")
     out = ps.select(F.col("var1").alias("feature"), F.lit(target).alias("target"), "n",
                     F.abs(r).alias("abs_r"), r.alias("r"))
-    out = out.withColumn("t_stat", F.col("r") * F.sqrt((n - 2) / (1 - F.col("r") * F.col("r"))))
+    out = out.withColumn("t_stat", F.col("r") * F.sqrt(
+        F.try_divide(n - 2, F.greatest(1 - F.col("r") * F.col("r"), F.lit(0.0)))))
     return out.withColumn("p_value", t_pvalue_udf("t_stat", n - 2)).drop("r") if with_p else out.drop("r")
 
 
@@ -474,17 +507,20 @@ def chi_square(df: DataFrame, a: str, b: str, with_p: bool = True) -> DataFrame:
 def kruskal_wallis(df: DataFrame, group: str, value: str, with_p: bool = True) -> DataFrame:
     """Kruskal-Wallis H across the levels of ``group`` (advertised, 2.13), tie-corrected."""
     x = clean_numeric(df, [value], keep=[group]).filter(F.col(group).isNotNull() & F.col(value).isNotNull())
-    cells = x.groupBy(F.lit(0).alias("_g"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
+    # one row per (group, value): a value that a third of the rows share is a handful of cells
+    own = x.groupBy(group, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    cells = own.groupBy(F.lit(0).alias("_g"), "value").agg(F.sum("c").cast("long").alias("cnt"))
     cum = cumulate(cells, ["_g"])
     ranked = cum.select("value", (F.col("cum_before") + (F.col("cnt") + 1) / 2.0).alias("rank"),
                         "cnt", "n")
-    j = x.join(ranked, x[value] == ranked["value"])
-    g = j.groupBy(group).agg(F.sum("rank").alias("rs"), F.count(F.lit(1)).alias("ni"), F.max("n").alias("_nn"))
+    j = own.join(ranked, "value")
+    g = j.groupBy(group).agg(F.sum(F.col("rank") * F.col("c")).alias("rs"), F.sum("c").alias("ni"), F.max("n").alias("_nn"))
     t_sum = ranked.agg(F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt"))).first()[0] or 0.0
     h = g.agg(F.sum(F.col("rs") * F.col("rs") / F.col("ni")).alias("_s"), F.max("_nn").alias("_nn"),
               F.count(F.lit(1)).alias("k")).withColumn("t", F.lit(float(t_sum)))
     nn = F.col("_nn").cast("double")
-    hstat = (12.0 / (nn * (nn + 1)) * F.col("_s") - 3 * (nn + 1)) / (1 - F.col("t") / (nn * nn * nn - nn))
+    hstat = F.try_divide(F.try_divide(F.lit(12.0), nn * (nn + 1)) * F.col("_s") - 3 * (nn + 1),
+                         1 - F.try_divide(F.col("t"), nn * nn * nn - nn))
     out = h.select(F.lit(group).alias("group"), F.lit(value).alias("value"), hstat.alias("statistic"),
                    (F.col("k") - 1).cast("double").alias("df"))
     if with_p:

@@ -140,7 +140,7 @@ def kmeans_profile(df: DataFrame, k: int, cols: list[str] | None = None, restart
 
 
 def famd(df: DataFrame, num_cols: list[str], cat_cols: list[str], n_components: int = 10,
-         key: str | None = None, max_levels: int = 50) -> dict[str, DataFrame]:
+         key: str | None = None, max_levels: int = 500) -> dict[str, DataFrame]:
     """M2: PCA on [z-scores, (indicator - share) / sqrt(share)] (Pages 2004).
 
     Returns ``famd_inertia`` (share and cumulative per component),

@@ -57,7 +57,7 @@ def outliers_zscore(df: DataFrame, key: str, cols: list[str] | None = None,
     st = long.groupBy("column_name").agg(F.avg("value").alias("mean"),
                                          F.stddev_pop("value").alias("std"),
                                          F.count(F.lit(1)).alias("n"))
-    z = F.abs(F.col("value") - F.col("mean")) / F.col("std")
+    z = F.abs(F.try_divide(F.col("value") - F.col("mean"), F.col("std")))  # null for a constant column
     flagged = long.join(F.broadcast(st), "column_name").filter((F.col("std") > 0) & (z > limit))
     counts = flagged.groupBy("column_name").agg(F.count(F.lit(1)).alias("count"))
     out = (st.join(counts, "column_name", "left")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.functions.exprs import clean_numeric, numeric_columns, string_columns
+from statloom.functions.exprs import nan_to_null, clean_numeric, numeric_columns, string_columns
 from statloom.functions.ranks import quantile_wide
 from statloom.session import ensure_checkpoint_dir
 
@@ -28,15 +28,15 @@ ONE_HOT_MAX_LEVELS = 10
 SAMPLE_SEED = 42
 SAMPLE_SIZE = 10000
 
-DATETIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy",
-                    "MM/dd/yyyy", "yyyy-MM-dd'T'HH:mm:ss"]
+DATETIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy",
+                    "dd/MM/yyyy", "yyyy-MM-dd'T'HH:mm:ss"]
 
 
 def _null_shares(df: DataFrame, cols: list[str]) -> dict[str, float]:
     """Null share per column (one aggregation, schema-sized collect)."""
     if not cols:
         return {}
-    r = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    r = nan_to_null(df).agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(cols)]).first()
     n = r["_n"] or 0
     return {c: ((n - r[f"c{i}"]) / n if n else 0.0) for i, c in enumerate(cols)}
 
@@ -148,8 +148,22 @@ def parse_datetime_expr(c: Column) -> Column:
 
 
 def parse_datetime(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Text -> timestamp, failures to null."""
-    return df.withColumns({c: parse_datetime_expr(F.col(c)) for c in cols})
+    """Text -> timestamp, failures to null.
+
+    One format per column: the one that reads most of its values (ISO text
+    first, month before day on ties), so slash dates are never read both ways.
+    """
+    if not cols:
+        return df
+    every = [None, *DATETIME_FORMATS]
+
+    def read(c, fmt):
+        s = F.col(c).cast("string")
+        return F.try_to_timestamp(s) if fmt is None else F.try_to_timestamp(s, F.lit(fmt))
+
+    r = df.agg(*[F.count(read(c, f)).alias(f"n{i}_{j}") for i, c in enumerate(cols) for j, f in enumerate(every)]).first()
+    best = {c: max(range(len(every)), key=lambda j: (r[f"n{i}_{j}"], -j)) for i, c in enumerate(cols)}
+    return df.withColumns({c: read(c, every[j]) for c, j in best.items()})
 
 
 def datetime_features(df: DataFrame, col: str, parse: bool = False) -> DataFrame:
@@ -217,7 +231,7 @@ def _levels(df: DataFrame, col: str, limit: int) -> list | None:
 
 def label_encode_binary(df: DataFrame, col: str) -> DataFrame:
     """C11: exactly two levels -> sorted class index; nulls become a third class."""
-    lv = _levels(df, col, 2)
+    lv = _levels(df.select(F.col(col).cast("string").alias(col)), col, 2)
     if lv is None or len(lv) != 2:
         return df
     has_null = df.filter(F.col(col).isNull()).limit(1).count() > 0

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.functions.exprs import explode_structs, safe_div
+from statloom.functions.exprs import nan_to_null, explode_structs, safe_div
 from statloom.session import ensure_parallelism
 
 # ---------------------------------------------------------------------------
@@ -111,7 +111,7 @@ def unique_ratio(df: DataFrame, exact: bool = True) -> DataFrame:
     """P5: ``(column_name, n_distinct, unique_ratio)``; nulls are not a value,
     the denominator is all rows.  ``exact=False`` uses HyperLogLog++."""
     dc = F.countDistinct if exact else F.approx_count_distinct
-    wide = ensure_parallelism(df).agg(F.count(F.lit(1)).alias("_rows"),
+    wide = nan_to_null(ensure_parallelism(df)).agg(F.count(F.lit(1)).alias("_rows"),
                   *[dc(F.col(c)).alias(f"d{i}") for i, c in enumerate(df.columns)])
     return explode_structs(wide, [F.struct(
         F.lit(c).alias("column_name"), F.col(f"d{i}").cast("long").alias("n_distinct"),
@@ -120,8 +120,8 @@ def unique_ratio(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def _parse_ts(v):
-    return F.coalesce(F.try_to_timestamp(v), F.try_to_timestamp(v, F.lit("yyyy/MM/dd")),
-                      F.try_to_timestamp(v, F.lit("dd/MM/yyyy")))
+    from statloom.operators.prepare import parse_datetime_expr
+    return parse_datetime_expr(v)
 
 
 def column_types(df: DataFrame, key: str, sample: int = 10) -> DataFrame:
@@ -196,16 +196,12 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
 
     One aggregation computes distinct counts and null counts together.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
     dc = F.countDistinct if exact else F.approx_count_distinct
 
     def miss(c):
-        m = F.col(c).isNull()
-        if isinstance(types[c], (T.FloatType, T.DoubleType)):
-            m = m | F.isnan(c)
-        return F.sum(m.cast("long"))
+        return F.sum(F.col(c).isNull().cast("long"))
 
-    wide = ensure_parallelism(df).agg(
+    wide = nan_to_null(ensure_parallelism(df)).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[a for i, c in enumerate(df.columns) for a in (dc(F.col(c)).alias(f"d{i}"), miss(c).alias(f"m{i}"))])
     prof = explode_structs(wide, [F.struct(
@@ -253,6 +249,7 @@ def validate_table(df: DataFrame) -> DataFrame:
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     sel = df.select(*[F.col(f"`{c}`") for c in cols]) if not dup else df.toDF(
         *[f"_c{i}" for i in range(len(df.columns))])
+    sel = nan_to_null(sel)
     names = cols if not dup else [f"_c{i}" for i in range(len(df.columns))]
     shown = cols if not dup else df.columns
     aggs = [F.count(F.lit(1)).alias("_rows")]

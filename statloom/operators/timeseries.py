@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.functions.exprs import numeric_columns, time_columns
+from statloom.functions.exprs import num, numeric_columns, time_columns
 
 # Fixed values that must equal the reference's behaviour.
 DERIVED_SUFFIXES = ["_year", "_month", "_day", "_quarter", "_dayofweek", "_weekend", "_days_since",
@@ -27,8 +27,8 @@ MIN_DECOMPOSE = 24
 MAX_LAGS = 40
 
 
-def ts_columns(df: DataFrame, date_col: str | None = None) -> DataFrame:
-    """``(role, column_name, ordinal)``: the time column and up to 5 value columns.
+def ts_columns(df: DataFrame, date_col: str | None = None, max_series: int = MAX_SERIES) -> DataFrame:
+    """``(role, column_name, ordinal)``: the time column and up to ``max_series`` value columns.
 
     Only typed timestamps (or the named column) qualify as the time axis.
     Value columns: numeric, not a derived date/encoding column, more than one
@@ -44,9 +44,10 @@ def ts_columns(df: DataFrame, date_col: str | None = None) -> DataFrame:
     valid = df.filter(F.col(tc).isNotNull())
     ok = []
     if cand:
-        r = valid.agg(*[a for i, c in enumerate(cand) for a in (
-            F.countDistinct(c).alias(f"d{i}"), F.stddev_samp(c).alias(f"s{i}"))]).first()
-        ok = [c for i, c in enumerate(cand) if r[f"d{i}"] > 1 and (r[f"s{i}"] or 0) > 0][:MAX_SERIES]
+        # more than one distinct value <=> min < max: no distinct count needed
+        r = valid.select(*[num(c).alias(c) for c in cand]).agg(*[a for i, c in enumerate(cand) for a in (
+            (F.min(c) < F.max(c)).alias(f"d{i}"), F.stddev_samp(c).alias(f"s{i}"))]).first()
+        ok = [c for i, c in enumerate(cand) if r[f"d{i}"] and (r[f"s{i}"] or 0) > 0][:max_series]
     rows = [("time", tc, 0)] + [("value", c, i + 1) for i, c in enumerate(ok)]
     return spark.createDataFrame(rows, schema)
 
@@ -86,8 +87,9 @@ def ts_trend(series: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     g = p.groupBy("series").agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope("v", "pos").alias("slope"),
         F.regr_intercept("v", "pos").alias("intercept"),
-        F.var_pop("v").alias("_vy"), F.corr("v", "pos").alias("_r"))
-    r2 = F.when(F.col("_vy") == 0, F.lit(0.0)).otherwise(F.col("_r") * F.col("_r"))
+        F.var_pop("v").alias("_vy"), F.var_pop("pos").alias("_vx"))
+    # a constant series has nothing to explain: 0
+    r2 = F.coalesce(F.try_divide(F.col("slope") * F.col("slope") * F.col("_vx"), F.col("_vy")), F.lit(0.0))
     return g.filter(F.col("n") >= min_points).select(
         "series", "n", "slope", "intercept", r2.alias("r2"),
         F.when(F.col("slope") > 0, "increasing").when(F.col("slope") < 0, "decreasing")
@@ -162,7 +164,7 @@ def ts_acf(series: DataFrame, max_lags: int = MAX_LAGS) -> DataFrame:
         F.sum(F.col("_d") * F.col("_dk")).alias("_num"))
     den = p.groupBy("series").agg(F.sum(F.col("_d") * F.col("_d")).alias("_den"))
     out = num.join(den, "series").select(
-        "series", "lag", (F.col("_num") / F.col("_den")).alias("acf"), "n")
+        "series", "lag", F.try_divide("_num", "_den").alias("acf"), "n")  # null for a constant series
     return out.withColumn("significant", F.abs("acf") > 2.0 / F.sqrt(F.col("n").cast("double")))
 
 

@@ -17,6 +17,9 @@ from statloom.operators import hypothesis as H
 from statloom.operators import multivariate as M
 from statloom.operators import outliers as O
 from statloom.operators import timeseries as TS
+from statloom.operators.dbscan import dbscan_summary
+from statloom.operators.iforest import outliers_isolation_forest
+from statloom.operators.kendall import corr_kendall
 from statloom.operators.prepare import AnalysisParams
 
 DEFAULT_ANALYSES = ("descriptive", "correlations")
@@ -33,6 +36,15 @@ def analyze(df: DataFrame, params: AnalysisParams | None = None, key: str | None
     nums = [c for c in numeric_columns(df) if c != key]
     cats = string_columns(df)
     out: dict[str, DataFrame] = {}
+
+    def block(name: str, make) -> None:
+        """A block that cannot run on this table gives a one-row status frame instead of ending the analysis."""
+        try:
+            got = make()
+        except Exception as e:  # noqa: BLE001
+            got = {f"{name}_status": df.sparkSession.createDataFrame([(name, str(e)[:500])], "block string, reason string")}
+        out.update(got if isinstance(got, dict) else {name: got})
+
     if "descriptive" in kinds:
         if nums:
             out["descriptive_numeric"] = D.describe_full(df, nums)
@@ -44,6 +56,7 @@ def analyze(df: DataFrame, params: AnalysisParams | None = None, key: str | None
         if len(kept) >= 2:
             out["pearson"] = R.corr_pearson(df, kept)
             out["spearman"] = R.corr_spearman(df, kept)
+            block("kendall", lambda: corr_kendall(df, kept))
             out["significant_correlations"] = R.corr_significant(df, kept, screen=False)
             out["target_correlations"] = R.corr_target(df, kept, screen=False)
     if "distributions" in kinds and nums:
@@ -53,6 +66,7 @@ def analyze(df: DataFrame, params: AnalysisParams | None = None, key: str | None
     if "outliers" in kinds and nums and key:
         out["outliers_iqr"] = O.outliers_iqr(df, key, nums)
         out["outliers_zscore"] = O.outliers_zscore(df, key, nums)
+        block("outliers_isolation_forest", lambda: outliers_isolation_forest(df, key, nums))
     if "time_series" in kinds:
         tcols = time_columns(df)
         if tcols:
@@ -65,20 +79,29 @@ def analyze(df: DataFrame, params: AnalysisParams | None = None, key: str | None
                 out["ts_acf_summary"] = TS.ts_acf_summary(ser)
                 out["ts_adf"] = TS.ts_adf(ser)
                 out["ts_range"] = TS.ts_range(df, tcols[0])
+                block("ts_strength", lambda: TS.ts_strength(ser, 7))
     if "hypothesis_tests" in kinds and nums:
         alpha_conf = params.confidence_level
-        out["normality"] = H.normality_tests(df, nums[:10], alpha_conf)
+        block("normality", lambda: H.normality_tests(df, nums[:10], alpha_conf))
         if len(nums) >= 2:
-            out["comparisons"] = H.compare_pairs(df, nums, alpha_conf)
+            block("comparisons", lambda: H.compare_pairs(df, nums[:H.MAX_COMPARED], alpha_conf))
         if cats:
-            out["anova"] = H.anova_oneway(df, cats, nums)
+            block("anova", lambda: H.anova_oneway(df, cats[:3], nums[:3]))
     if "pca" in adv and len(nums) > 2:
-        out.update(M.pca(df, nums, key))
+        block("pca", lambda: M.pca(df, nums, key))
     if "famd" in adv and nums and cats:
-        out.update(M.famd(df, nums, cats[:3]))
+        block("famd", lambda: M.famd(df, nums, cats))
     if "clustering" in adv and len(nums) > 1:
-        out["kmeans_sweep"] = M.kmeans_sweep(df, nums)
+        block("clustering", lambda: _clusters(df, nums))
     if "regression" in adv and len(nums) > 1:
-        out["mutual_information"] = H.mutual_information(df, nums)
-        out["importance_correlation"] = H.importance_correlation(df, nums)
+        block("mutual_information", lambda: H.mutual_information(df, nums))
+        block("importance_correlation", lambda: H.importance_correlation(df, nums))
     return out
+
+
+def _clusters(df: DataFrame, nums: list[str]) -> dict[str, DataFrame]:
+    """The sweep, the profile of its best k, and DBSCAN."""
+    sweep = M.kmeans_sweep(df, nums)
+    best = sweep.filter("is_best").first()["k"]
+    return {"kmeans_sweep": sweep, "kmeans_profile": M.kmeans_profile(df, best, nums),
+            **{f"dbscan_{k}": v for k, v in dbscan_summary(df, nums).items()}}

@@ -45,16 +45,23 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return ensure_parallelism(spark.read.format(fmt).load(path))
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, encoding: str | None = None) -> DataFrame:
-    """CSV with a header; types inferred unless ``schema`` is given."""
+def read_csv(spark: SparkSession, path: str, schema=None, encoding: str | None = None,
+             multi_line: bool = True) -> DataFrame:
+    """CSV with a header; types inferred unless ``schema`` is given.
+
+    Quotes inside quotes are doubled, and quoted fields may hold newlines.
+    ``multi_line=False`` lets Spark split large files inside, for data known
+    to have no newline in a field.
+    """
     enc = encoding or detect_encoding(spark, path)
     r = spark.read.option("header", True).option("encoding", enc).option("mode", "PERMISSIVE")
+    r = r.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     return r.csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -79,7 +86,7 @@ def export_bundle(results: dict[str, DataFrame], path: str, fmt: str = "parquet"
     for name, df in results.items():
         p = f"{path.rstrip('/')}/{name}"
         w = df.write.mode("overwrite")
-        (w.option("header", True).csv(p) if fmt == "csv" else w.format(fmt).save(p))
+        (w.option("header", True).option("escape", '"').csv(p) if fmt == "csv" else w.format(fmt).save(p))
         out[name] = p
     return out
 
