@@ -31,19 +31,19 @@ from pyspark.sql import functions as F
 
 from statloom.llm.ann import usable
 from statloom.llm.common import materialize
-from statloom.llm.components import connected_components
+from statloom.functions.components import connected_components
 from statloom.llm.simhash import star_edges
 
 THRESHOLD = 0.98
 #: Vectors a pivot stands for, and the most pivots there are.
-PER_PIVOT = 1_000
+PER_PIVOT = 5_000
 MAX_PIVOTS = 2_048
 CELL = 4_096
 ROWS = 256
 
 
 def _units(column) -> np.ndarray:
-    """Unit vectors; scaled by the largest component first, so that no square overflows or vanishes."""
+    """Unit vectors in double precision; scaled by the largest component first, so that no square overflows or vanishes."""
     x = np.stack([np.asarray(v, np.float64) for v in column])
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -65,7 +65,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_pivot:
     spark = vectors.sparkSession
     r = math.sqrt(2 - 2 * threshold) * (1 + 1e-9) + 1e-12
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"),
-                          F.col(vec_col).cast("array<double>").alias("v"))
+                          F.col(vec_col).alias("v"))
     rows = rows.withColumn("ok", usable(F.col("v")) & F.col("label").isNotNull())
     # the copies of a vector share its hash; equal hashes are told apart by the vector itself
     rows = materialize(rows.withColumn("h", F.when(F.col("ok"), F.xxhash64("label", "v"))))
@@ -114,27 +114,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_pivot:
                 go &= dist ** 2 - near ** 2 <= 2 * gap * r + slack
                 go[np.arange(len(own)), home] = True
                 i, c = np.nonzero(go)
-                got = pdf.iloc[own[i]]
-                yield pd.DataFrame({"key": got["key"], "label": got["label"], "node": got["node"],
-                                    "copies": got["copies"], "u": list(u[i]), "dim": d, "cell": c,
-                                    "home": home[i] == c})
+                for s in range(0, len(i), 2_000):
+                    at, cs = i[s:s + 2_000], c[s:s + 2_000]
+                    got = pdf.iloc[own[at]]
+                    yield pd.DataFrame({"key": got["key"], "label": got["label"], "node": got["node"],
+                                        "copies": got["copies"], "u": [x.tobytes() for x in u[at]], "dim": d, "cell": cs,
+                                        "home": home[at] == cs})
 
     member = materialize(held.select("key", "label", "node", "copies", "v").mapInPandas(
-        assign, "key long, label string, node long, copies long, u array<double>, dim int, cell int, home boolean"))
+        assign, "key long, label string, node long, copies long, u binary, dim int, cell int, home boolean"))
     keys = ["label", "dim", "cell"]
     sizes = member.groupBy(*keys).agg(F.ceil(F.count("*") / cell).cast("int").alias("blks"))
     member = member.join(sizes, keys).withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blks")).cast("int"))
     # block pair (i, j): the home vectors of block i against all members of block j
-    every = F.sequence(F.lit(0), F.col("blks") - 1)
-    left = member.where("home").withColumns({"j": F.explode(every), "i": F.col("blk"), "side": F.lit(0)})
-    right = member.withColumns({"i": F.explode(every), "j": F.col("blk"), "side": F.lit(1)})
+    # (side 1: member only, 2: also a home vector of the pair, 0: home vector only)
+    k = F.explode(F.sequence(F.lit(0), F.col("blks") - 1)).alias("k")
+    each = member.select("*", k)
+    right = each.withColumns({"i": F.col("k"), "j": F.col("blk"),
+                              "side": F.when(F.col("home") & (F.col("k") == F.col("blk")), 2).otherwise(1)})
+    left = each.where("home AND k <> blk").withColumns({"i": F.col("blk"), "j": F.col("k"), "side": F.lit(0)})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         side = pdf["side"].to_numpy()
-        a, b = pdf[side == 0], pdf[side == 1]
+        a, b = pdf[side != 1], pdf[side != 0]
         if not len(a) or not len(b):
             return pd.DataFrame([], columns=["key", "links", "a", "b"])
-        x, y = np.stack(a["u"].tolist()), np.stack(b["u"].tolist())
+        x, y = (np.frombuffer(b"".join(f["u"])).reshape(len(f), -1) for f in (a, b))
         nodes, weight = b["node"].to_numpy(), b["copies"].to_numpy(np.int64)
         of = {k: i for i, k in enumerate(b["key"])}
         at = np.array([of.get(k, -1) for k in a["key"]])
