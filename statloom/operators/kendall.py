@@ -10,17 +10,22 @@ in both (all from group-by counts).  ``A`` is a strict 2-D dominance count:
 2. inside each block the dominated pairs are counted by a vectorised
    divide-and-conquer over the x groups (one pandas task per block, bounded
    by the range size);
-3. the blocked cells are range-partitioned on y; each y-range adds the
-   per-block counts of all earlier y-ranges (a table of ``Q x B`` integers,
-   bounded by the partition counts) and counts, with the same vectorised
-   routine keyed by block id, points of strictly earlier blocks with strictly
-   smaller y inside the range.
-
-Total work is O(n log n) and no task holds more than one range.
+3. the blocked cells are range-partitioned on y; inside a y-range the same
+   routine, keyed by block id, counts points of strictly earlier blocks with
+   strictly smaller y;
+4. points of strictly earlier blocks *and* strictly earlier y-ranges are a
+   dominance count over the ``Q x B`` grid of (block, range) counts, far
+   smaller than the cells: the whole procedure is applied to it again.
+
+Total work is O(n log^2 n), no task holds more than one range and nothing but
+scalars reaches the driver.  Counts of pairs pass 2^63 on large tables, so
+they are summed as decimals and as Python integers.
 """
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
 from itertools import combinations
 
 import numpy as np
@@ -62,45 +67,37 @@ def dominance_weighted(g: np.ndarray, r: np.ndarray, c: np.ndarray) -> int:
         start = np.r_[0, np.flatnonzero(np.diff(p_s)) + 1]
         base = np.repeat(cum[start] - left_w[start], np.diff(np.r_[start, len(p_s)]))
         before = cum - left_w - base          # left weight strictly before this point in its pair
-        total += int(np.sum(np.where(s_s == 1, c_s * before, 0)))
+        right = s_s == 1
+        total += _exact_dot(c_s[right], before[right])
     return total
 
 
-def _within_block(it):
-    frames = [pdf for pdf in it]
-    if not frames:
-        return
-    pdf = pd.concat(frames)
-    g = pd.factorize(pdf["x"], sort=True)[0]
-    r = pd.factorize(pdf["y"], sort=True)[0]
-    yield pd.DataFrame({"a": [dominance_weighted(g, r, pdf["c"].to_numpy(np.int64))]})
+def _exact_dot(a: np.ndarray, b: np.ndarray) -> int:
+    """Sum of products of counts, in 64 bits where they suffice."""
+    if float(a.astype(float) @ b.astype(float)) < 2.0 ** 62:
+        return int(a @ b)
+    return int(a.astype(object) @ b.astype(object))
 
 
-def _cross_block(offsets: dict, n_blocks: int):
+def _count(keys: list[str]):
+    """Dominated pairs of the cells of one task, by two columns, as one decimal."""
     def run(it):
         frames = [pdf for pdf in it]
         if not frames:
             return
         pdf = pd.concat(frames)
-        q = int(pdf["_q"].iloc[0])
-        b = pdf["_b"].to_numpy(np.int64)
-        c = pdf["c"].to_numpy(np.int64)
-        # points of earlier y-ranges (all with smaller y) in strictly earlier blocks
-        off = np.zeros(n_blocks + 1, dtype=np.int64)
-        for blk, v in offsets.get(q, {}).items():
-            off[blk + 1] += int(v)
-        before_blocks = np.cumsum(off)[b]    # sum of offsets over blocks < b
-        total = int(np.sum(c * before_blocks))
-        r = pd.factorize(pdf["y"], sort=True)[0]
-        total += dominance_weighted(b, r, c)
-        yield pd.DataFrame({"a": [total]})
+        g, r = (pd.factorize(pdf[k], sort=True)[0] for k in keys)
+        yield pd.DataFrame({"a": [Decimal(dominance_weighted(g, r, pdf["c"].to_numpy(np.int64)))]})
     return run
 
 
+def _total(df: DataFrame, keys: list[str]) -> int:
+    return int(df.select(*keys, "c").mapInPandas(_count(keys), "a decimal(38,0)").agg(F.sum("a")).first()[0] or 0)
+
+
 def dominance_count(cells: DataFrame, cells_per_block: int = CELLS_PER_BLOCK) -> int:
     """``A = sum c_i c_j [x_i < x_j and y_i < y_j]`` over cells ``(x, y, c)``."""
-    spark = cells.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(cells.sparkSession)
     cells = cells.checkpoint(eager=True)
     m = cells.count()
     if m == 0:
@@ -108,27 +105,22 @@ def dominance_count(cells: DataFrame, cells_per_block: int = CELLS_PER_BLOCK) ->
     blocks = max(1, -(-m // cells_per_block))
     blocked = (cells.repartitionByRange(blocks, "x").withColumn("_b", F.spark_partition_id())
                .checkpoint(eager=True))
-    within = blocked.select("x", "y", "c").mapInPandas(_within_block, "a long").agg(F.sum("a")).first()[0] or 0
-    n_blocks = blocked.agg(F.max("_b")).first()[0] + 1
+    total = _total(blocked, ["x", "y"])
+    if blocks == 1:
+        return total
     swept = (blocked.repartitionByRange(blocks, "y").withColumn("_q", F.spark_partition_id())
              .checkpoint(eager=True))
-    per = swept.groupBy("_q", "_b").agg(F.sum("c").alias("c")).collect()  # <= Q x B rows
-    qs = sorted({r["_q"] for r in per})
-    offsets, running = {}, {}
-    for q in qs:
-        offsets[q] = dict(running)
-        for r in per:
-            if r["_q"] == q:
-                running[r["_b"]] = running.get(r["_b"], 0) + r["c"]
-    cross = (swept.select("y", "c", "_b", "_q").mapInPandas(_cross_block(offsets, n_blocks), "a long")
-             .agg(F.sum("a")).first()[0] or 0)
-    return int(within) + int(cross)
+    total += _total(swept, ["_b", "y"])
+    grid = swept.groupBy(F.col("_b").alias("x"), F.col("_q").alias("y")).agg(F.sum("c").alias("c"))
+    # at most blocks^2 cells: smaller than what it was made from while a block holds more cells than there are blocks
+    return total + dominance_count(grid, max(cells_per_block, blocks + 1))
 
 
 def _tied_pairs(g: DataFrame, keys: list[str]) -> int:
+    t = F.col("t").cast("decimal(19,0)")
     r = g.groupBy(*keys).agg(F.sum("c").alias("t")).agg(
-        F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("p")).first()[0]
-    return int(r or 0)
+        F.sum((t * (t - 1)).cast("decimal(38,0)")).alias("p")).first()[0]
+    return int(r or 0) // 2
 
 
 def corr_kendall(df: DataFrame, cols: list[str] | None = None,
@@ -148,6 +140,6 @@ def corr_kendall(df: DataFrame, cols: list[str] | None = None,
         n1, n2 = _tied_pairs(cells, ["x"]), _tied_pairs(cells, ["y"])
         n3 = _tied_pairs(cells, ["x", "y"])
         s = 2 * dominance_count(cells, cells_per_block) - (n0 - n1) + (n2 - n3)
-        den = ((n0 - n1) * (n0 - n2)) ** 0.5
+        den = math.sqrt((n0 - n1) * (n0 - n2))
         rows.append((a, b, n, (s / den) if den > 0 else None))
     return df.sparkSession.createDataFrame(rows, "var1 string, var2 string, n long, tau double")

@@ -132,3 +132,11 @@ def test_analyze_passes_on_odd_input(spark, odd):
     for name, df in got.items():
         df.collect()
     assert "kendall" in got or "kendall_status" in got
+
+
+def test_kendall_counts_pass_64_bits(spark):
+    from statloom.operators.kendall import dominance_count
+    big = 5_000_000_000
+    cells = spark.createDataFrame([(float(i), float(i), big) for i in range(6)], "x double, y double, c long")
+    for per_block in (100, 2):
+        assert dominance_count(cells, per_block) == 15 * big * big
