@@ -63,4 +63,4 @@ def op10_vecdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op4_html": op4_html, "op9_lattice_lm": op9_lattice_lm, "op8_licenses": op8_licenses, "op7_toxicity": op7_toxicity, "op3_urlfilter": op3_urlfilter, "op2_ann": op2_ann, "op10_vecdedup": op10_vecdedup, "op1_bpe": op1_bpe, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing}
 
-SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_vecdedup": vecdedup.SQL}

@@ -41,6 +41,21 @@ MAX_PIVOTS = 2_048
 CELL = 4_096
 ROWS = 256
 
+#: DuckDB's version of op10 over the view ``embeddings``.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.a, r.m FROM r JOIN p ON p.b = r.n),
+c AS (SELECT n, min(m) AS component_id FROM r GROUP BY n),
+k AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT e.vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.n = e.vec_id LEFT JOIN k ON k.a = e.vec_id
+"""
+
 
 def _units(column) -> np.ndarray:
     """Unit vectors in double precision; scaled by the largest component first, so that no square overflows or vanishes."""
