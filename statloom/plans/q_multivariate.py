@@ -60,18 +60,6 @@ def kmeans_profile(spark, sf):
     return M.kmeans_profile(frame(spark, sf, "vec_2d"), 3, ["x", "y"])
 
 
-@register("dbscan_summary")
-def dbscan_summary(spark, sf):
-    from statloom.operators.dbscan import dbscan_summary as db
-    return db(frame(spark, sf, "vec_2d"), ["x", "y"])["summary"]
-
-
-@register("dbscan_sizes")
-def dbscan_sizes(spark, sf):
-    from statloom.operators.dbscan import dbscan_summary as db
-    return db(frame(spark, sf, "vec_2d"), ["x", "y"])["sizes"]
-
-
 _DB_SQL = sql("vec_2d") + """SELECT * FROM (WITH z AS (
   SELECT vec_id, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS y FROM vec_2d),
 nb AS (SELECT a.vec_id AS a, b.vec_id AS b FROM z a JOIN z b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.25),
@@ -85,3 +73,24 @@ SELECT (SELECT count(*) FROM core) AS n_core,
 def dbscan_core_noise(spark, sf):
     from statloom.operators.dbscan import dbscan_summary as db
     return db(frame(spark, sf, "vec_2d"), ["x", "y"])["summary"].select("n_core", "n_noise")
+
+
+_DB_CLUSTERS = _DB_SQL.replace("WITH z AS", "WITH RECURSIVE z AS").split("SELECT (SELECT count(*) FROM core)")[0].rstrip() + """,
+link AS (SELECT a, b FROM nb JOIN core c ON nb.a = c.vec_id JOIN core d ON nb.b = d.vec_id),
+grow(n, root) AS (SELECT vec_id, vec_id FROM core UNION SELECT link.b, grow.root FROM grow JOIN link ON link.a = grow.n AND link.b > grow.root),
+cluster AS (SELECT n AS vec_id, min(root) AS label FROM grow GROUP BY n),
+member AS (SELECT nb.a AS vec_id, min(cluster.label) AS label FROM nb JOIN cluster ON nb.b = cluster.vec_id GROUP BY nb.a)
+"""
+
+
+@register("dbscan_summary", sql=_DB_CLUSTERS + """SELECT (SELECT count(DISTINCT label) FROM cluster) AS n_clusters,
+  (SELECT count(*) FROM core) AS n_core, (SELECT count(*) FROM z WHERE vec_id NOT IN (SELECT vec_id FROM member)) AS n_noise)""")
+def dbscan_summary(spark, sf):
+    from statloom.operators.dbscan import dbscan_summary as db
+    return db(frame(spark, sf, "vec_2d"), ["x", "y"])["summary"]
+
+
+@register("dbscan_sizes")
+def dbscan_sizes(spark, sf):
+    from statloom.operators.dbscan import dbscan_summary as db
+    return db(frame(spark, sf, "vec_2d"), ["x", "y"])["sizes"]

