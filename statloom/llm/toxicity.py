@@ -23,7 +23,6 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import itertools
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -192,37 +191,47 @@ class Adam:
             self.p[k][at] -= rate * fix * m / (np.sqrt(v) + 1e-8)
 
 
-def _index(windows: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
-    """Distinct words, and the windows as rows of them (-1: no word)."""
-    seen: dict[bytes, int] = {}
-    at = np.full((len(windows), WINDOW), -1, np.int64)
-    for i, ws in enumerate(windows):
-        at[i, :len(ws)] = [seen.setdefault(w, len(seen)) for w in ws]
-    return list(seen), at
+def _often(rows_of_texts: list[np.ndarray], size: int) -> np.ndarray:
+    """Rows of 0..size-1 that stand in at least LEAST_DOCS texts (each given as its distinct rows)."""
+    n = np.zeros(size, np.int64)
+    for rows in rows_of_texts:
+        n[rows] += 1
+    return np.flatnonzero(n >= LEAST_DOCS)
+
 
+def train(texts: list[list[str]], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Net | None:
+    """``texts``: windows of each text, their words joined by spaces.  None without both labels.
 
-def train(texts: list[list[list[bytes]]], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Net | None:
-    """``texts``: windows of words of each text.  None without both labels."""
+    Words become row numbers at once: the driver holds arrays, not strings.
+    """
     if len(set(labels)) < 2:
         return None
-    words, grams = Counter(), Counter()
-    known: dict[bytes, list[bytes]] = {}
-    for windows in texts:
-        own = {w for ws in windows for w in ws}
-        words.update(own)
-        grams.update({g for w in own for g in (known.get(w) or known.setdefault(w, grams_of(w)))})
-    net = Net(sorted(w for w, n in words.items() if n >= LEAST_DOCS), sorted(g for g, n in grams.items() if n >= LEAST_DOCS), seed)
+    seen: dict[bytes, int] = {}
+    at = np.full((sum(map(len, texts)), WINDOW), -1, np.int32)
+    doc = np.repeat(np.arange(len(texts)), [len(w) for w in texts])
+    for i, window in enumerate(itertools.chain.from_iterable(texts)):
+        ws = window.encode("utf-8").split()
+        at[i, :len(ws)] = [seen.setdefault(w, len(seen)) for w in ws]
+    vocabulary = list(seen)
+    seen.clear()
+    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    ends = np.r_[starts[1:], len(doc)]
+    own_words = [np.setdiff1d(at[a:b], [-1]) for a, b in zip(starts, ends)]
+    gram_row: dict[bytes, int] = {}
+    grams = [np.array([gram_row.setdefault(g, len(gram_row)) for g in grams_of(w)], np.int32) for w in vocabulary]
+    own_grams = [np.unique(np.concatenate([grams[w] for w in ws])) if len(ws) else ws for ws in own_words]
+    every_gram = list(gram_row)
+    net = Net(sorted(vocabulary[i] for i in _often(own_words, len(vocabulary))),
+              sorted(every_gram[i] for i in _often(own_grams, len(every_gram))), seed)
+    del gram_row, grams, every_gram, own_words, own_grams
     rng = np.random.default_rng(seed)
     adam = Adam(net.p)
     flat = [ws for windows in texts for ws in windows]
     doc = np.repeat(np.arange(len(texts)), [len(w) for w in texts])
     y = np.array(labels, np.float32)
-    vocabulary, at = _index(flat)
     parts = [net.parts(w) for w in vocabulary]
-    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    ends = np.r_[starts[1:], len(doc)]
     for epoch in range(epochs):
-        score = rng.random(len(flat))
+        score = rng.random(len(at))
         if epoch:
             score = scores(net, parts, at)
         chosen = []
@@ -303,7 +312,7 @@ class Scorer:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN,
-                    max_windows: int = MAX_WINDOWS) -> tuple[list[list[list[bytes]]], list[int]]:
+                    max_windows: int = MAX_WINDOWS) -> tuple[list[list[str]], list[int]]:
     """Windows and label of a bounded sample of the labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), 3) != 1)
@@ -327,7 +336,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
     texts = doc_texts(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text")
     rows = texts.mapInArrow(cut, "doc_id long, toxic int, windows array<string>").groupBy("doc_id").agg(
         F.first("toxic").alias("toxic"), F.min("windows").alias("windows")).toPandas().sort_values("doc_id")
-    return [[w.encode().split() for w in ws] for ws in rows["windows"]], rows["toxic"].tolist()
+    return [list(ws) for ws in rows["windows"]], rows["toxic"].tolist()
 
 
 def score(docs: DataFrame, net: Net | None, toxic_at: float = TOXIC_AT) -> DataFrame:
