@@ -45,6 +45,12 @@ def chart_line(df: DataFrame, x: str, y: str, color: str | None = None) -> DataF
     return df.groupBy(*keys).agg(F.avg(y).alias("y_mean"), F.count(F.lit(1)).alias("n"))
 
 
+def chart_scatter(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
+    """G6 scatter: every point with both coordinates, equal points as one row with their count."""
+    keys = [x, y] + ([color] if color else [])
+    return df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def chart_box(df: DataFrame, y: str, by: str | None = None) -> DataFrame:
     """G6 box: quartiles, whiskers at the extreme points inside 1.5 IQR, outlier count."""
     by_cols = [by] if by else []

@@ -94,9 +94,16 @@ def describe_full(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         (safe_div(F.col("nulls"), F.col("rows")) * 100.0).alias("pct_nulls"))
 
 
-def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Pandas ``describe``: count, mean, std, min, 25/50/75 %, max."""
-    cols = cols or numeric_columns(df)
+def describe_numeric(df: DataFrame, cols: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """Pandas ``describe``: count, mean, std, min, 25/50/75 %, max; per segment of ``by`` if given."""
+    cols = cols or [c for c in numeric_columns(df) if c not in (by or [])]
+    if by:
+        keys = ["column_name", *by]
+        long = stack_long(clean_numeric(df, cols, keep=by), cols, keep=by)
+        m = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
+                                    F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+        q = quantile_wide(df, cols, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], by=by)
+        return m.join(q, keys).select(*keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
     m = moments(df, cols)
     q = quantile_wide(df, cols, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], max_group_cells=_cells(m))
     return (m.join(F.broadcast(q), "column_name", "left")

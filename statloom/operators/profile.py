@@ -66,6 +66,11 @@ def _schema_frame(df: DataFrame) -> DataFrame:
         rows, "ordinal int, column_name string, dtype string, spark_type string")
 
 
+def dtype_counts(df: DataFrame) -> DataFrame:
+    """``(dtype, n_columns)``: columns per physical type."""
+    return _schema_frame(df).groupBy("dtype").agg(F.count(F.lit(1)).alias("n_columns"))
+
+
 def table_shape(df: DataFrame) -> DataFrame:
     """``(n_rows, n_cols)``."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(

@@ -182,7 +182,13 @@ def validate_nulls(spark, sf):
 
 
 @register("duplicate_rows_lineitem", sql="""SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum(c - 1) AS BIGINT) AS duplicate_rows
-FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_suppkey, l_quantity, l_returnflag, l_linestatus)""")
+FROM (SELECT count(*) AS c FROM lineitem GROUP BY ALL)""".replace("count(*) AS c FROM", "count(*) AS c, lineitem.* FROM"))
 def duplicate_rows_lineitem(spark, sf):
-    li = frame(spark, sf, "lineitem").select("l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
-    return P.duplicate_rows(li)
+    return P.duplicate_rows(frame(spark, sf, "lineitem"))
+
+
+@register("dtype_counts", sql="""SELECT CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'int64'
+  WHEN column_type = 'DOUBLE' THEN 'float64' WHEN column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE' THEN 'datetime64[ns]'
+  ELSE 'object' END AS dtype, count(*) AS n_columns FROM (DESCRIBE SELECT * FROM lineitem) GROUP BY 1""")
+def dtype_counts(spark, sf):
+    return P.dtype_counts(frame(spark, sf, "lineitem"))

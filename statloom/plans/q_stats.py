@@ -220,3 +220,41 @@ def outliers_isolation_forest(spark, sf):
 def isolation_scores(spark, sf):
     from statloom.operators.iforest import outliers_isolation_forest as iso
     return iso(frame(spark, sf, "events"), "event_id", ["user_id", "value"])["scores"]
+
+
+@register("chart_line", sql="""SELECT CAST(o_orderdate AS DATE) AS d, o_orderstatus, avg(o_totalprice) AS y_mean, count(*) AS n
+FROM orders GROUP BY ALL""", sig_cols=["y_mean"])
+def chart_line(spark, sf):
+    o = frame(spark, sf, "orders").selectExpr("CAST(o_orderdate AS DATE) AS d", "o_orderstatus", "o_totalprice")
+    return G.chart_line(o, "d", "o_totalprice", "o_orderstatus")
+
+
+@register("chart_scatter", sql="""SELECT l_quantity, l_discount, l_returnflag, count(*) AS n FROM lineitem
+WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL GROUP BY ALL""")
+def chart_scatter(spark, sf):
+    return G.chart_scatter(frame(spark, sf, "lineitem"), "l_quantity", "l_discount", "l_returnflag")
+
+
+_SEG = """(SELECT event_type, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, count(*) AS n FROM events GROUP BY 1)"""
+
+
+def _iqr_by_sql(c):
+    return (f"SELECT '{c}' AS column_name, q.event_type, q1, q3, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper, "
+            f"coalesce(o.k, 0) AS count, coalesce(o.k, 0) * 100.0 / n AS pct FROM {_SEG.format(c=c)} q LEFT JOIN ("
+            f"SELECT e.event_type, count(*) AS k FROM events e JOIN {_SEG.format(c=c)} s ON e.event_type = s.event_type "
+            f"WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1) GROUP BY 1) o ON q.event_type = o.event_type")
+
+
+@register("outliers_iqr_by", sql=_u([_iqr_by_sql(c) for c in _EV]), sig_cols=["q1", "q3", "lower", "upper", "pct"])
+def outliers_iqr_by(spark, sf):
+    return O.outliers_iqr(frame(spark, sf, "events"), "event_id", _EV, by=["event_type"]).drop("first_keys")
+
+
+@register("describe_by", sql=_u([
+    f"SELECT '{c}' AS column_name, event_type, count({c}) AS count, avg({c}) AS mean, stddev_samp({c}) AS std, "
+    f"CAST(min({c}) AS DOUBLE) AS min, quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, "
+    f"quantile_cont({c}, 0.75) AS p75, CAST(max({c}) AS DOUBLE) AS max FROM events GROUP BY 2" for c in _EV]),
+    sig_cols=["mean", "std", "min", "p25", "p50", "p75", "max"])
+def describe_by(spark, sf):
+    from statloom.operators.describe import describe_numeric
+    return describe_numeric(frame(spark, sf, "events"), _EV, by=["event_type"])

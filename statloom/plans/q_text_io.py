@@ -152,11 +152,14 @@ def chunk_counts(spark, sf):
     return S.chunk_counts(frame(spark, sf, "orders"), ["o_orderkey"])
 
 
-_FP_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+_FP_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+# types that both engines write alike
+_FP_CASTS = {"o_totalprice": "CAST(o_totalprice AS DECIMAL(18, 2))", "o_orderdate": "CAST(o_orderdate AS DATE)"}
 
 
 @register("table_fingerprint", sql="""SELECT count(*) AS rows, CAST(sum(CAST(CAST('0x' || substr(sha256(concat_ws(chr(31), """
-          + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in _FP_COLS)
+          + ", ".join(f"coalesce(CAST({_FP_CASTS.get(c, c)} AS VARCHAR), '\\N')" for c in _FP_COLS)
           + """)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM orders""")
 def table_fingerprint(spark, sf):
-    return S.table_fingerprint(frame(spark, sf, "orders"), _FP_COLS)
+    return S.table_fingerprint(frame(spark, sf, "orders").selectExpr(
+        *[f"{_FP_CASTS.get(c, c)} AS {c}" for c in _FP_COLS]))
