@@ -55,6 +55,8 @@ MARKS = frozenset("ad ads adv advert advertisement adverts advertising banner sp
                   "overlay comment comments disqus reply replies respond breadcrumb breadcrumbs footer masthead share "
                   "sharing social related recommended newsletter subscribe subscription signup login widget pagination "
                   "pager toolbar skip contentinfo complementary search dialog".split())
+#: A name that starts so tells of a state: has-sidebar, no-comments.
+STATES = frozenset("has with without no show hide".split())
 #: Those that mark the page's own header, unless inside the article.
 HEADER = frozenset(("header", "topbar", "siteheader"))
 #: A start tag on the left ends an open element on the right.
@@ -85,8 +87,13 @@ def _sig(tag: str, attributes: str) -> tuple[str, bool, bool]:
         marks, names = set(), []
         for m in ATTRIBUTE.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
-            marks.update(re.split(r"[\s_-]+", value))
+            for name in value.split():
+                words = re.split(r"[_-]+", name)
+                if words[0] not in STATES:
+                    marks.update(words)
             names += [f"{'#' if m[1].lower() == 'id' else '.'}{re.sub(r'[0-9]+', '0', v)}" for v in sorted(value.split())]
+        if tag in ("html", "body", "main", "article"):
+            marks = set()  # what they are called says something about the page, not about them
         got = (tag + "".join(names), tag in DROP or bool(marks & MARKS), tag == "header" or bool(marks & HEADER))
         if len(attributes) < 200 and len(_SIGS) < 50_000:
             _SIGS[tag, attributes] = got

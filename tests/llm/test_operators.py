@@ -185,6 +185,7 @@ def test_html_main_text(spark):
     rows += [(50, "http://solo.test/", "<div id=nav class=menu>m</div><div id=c><p>alone here</p><p>and more text</div>"),
              (51, None, None), (52, "http://e.test", ""), (53, "x", "plain < text &lt;&zzz; <b>bold</b>"),
              (54, "http://deep.test", "<div>" * 5_000 + "deep" + "</div>" * 5_000 + "after"),
+             (56, "http://state.test", "<body class='has-sidebar'><article class='post no-comments related'><p>kept</p></article></body>"),
              (55, "http://cut.test", "<body><article><p>cut <!-- never closed")]
     df = spark.createDataFrame([(*r, "q") for r in rows + rows[:1]], "page_id long, url string, html string, text string")
     got = html_extract.main_text(df).collect()
@@ -196,6 +197,7 @@ def test_html_main_text(spark):
     assert by[50].text == "alone here\n\nand more text"
     assert (by[51].text, by[51].n_chars, by[51].url, by[52].text) == ("", 0, None, "")
     assert by[53].text == "plain < text <&zzz; bold" and by[54].text == "deep\n\nafter" and by[55].text == "cut"
+    assert by[56].text == "kept"
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
