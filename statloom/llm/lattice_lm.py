@@ -50,59 +50,77 @@ def words_of(text: str) -> list[str]:
 
 
 class Lattice:
-    """Pieces with log weights, and the recursions over one word."""
+    """Pieces with log weights in a character trie, and the recursions over one word."""
 
     def __init__(self, weights: dict[str, float], byte_weights: list[float]):
         self.weights, self.byte_weights = weights, byte_weights
-        self.longest = max(map(len, weights), default=1)
         self.chars = {w for w in weights if len(w) == 1}
-
-    def forward(self, word: str) -> tuple[list[float], list[tuple]]:
-        """Log sums up to every position, and the arcs (from, to, piece or character, log weight)."""
+        self.trie: dict = {}
+        for piece, w in weights.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = w
+        self.spelled: dict[str, float] = {}  # characters without a piece
+
+    def _spell(self, c: str) -> float:
+        w = self.spelled.get(c)
+        if w is None:
+            w = sum(self.byte_weights[b] for b in c.encode("utf-8"))
+            if len(self.spelled) < HELD:
+                self.spelled[c] = w
+        return w
+
+    def forward(self, word: str, arcs: list | None = None) -> list[float]:
+        """Log sums over all segmentations up to every position; ``arcs`` collects (from, to, log weight)."""
         s = START + word
-        n, get, longest = len(s), self.weights.get, self.longest
-        alpha, arcs = [0.0] + [-math.inf] * n, []
-        for j in range(1, n + 1):
-            terms = []
-            for i in range(j - longest if j > longest else 0, j):
-                piece = s[i:j]
-                w = get(piece)
+        n, trie, chars, log1p, exp = len(s), self.trie, self.chars, math.log1p, math.exp
+        alpha = [-math.inf] * (n + 1)
+        alpha[0] = 0.0
+        for i in range(n):
+            a = alpha[i]
+            if a == -math.inf:
+                continue  # no piece ends here
+            node, j = trie, i
+            for c in s[i:]:
+                node = node.get(c)
+                if node is None:
+                    break
+                j += 1
+                w = node.get("")
                 if w is not None:
-                    arcs.append((i, j, piece, w))
-                    terms.append(alpha[i] + w)
-            if s[j - 1] not in self.chars:
-                w = sum(self.byte_weights[b] for b in s[j - 1].encode("utf-8"))
-                arcs.append((j - 1, j, None, w))
-                terms.append(alpha[j - 1] + w)
-            if len(terms) == 1:
-                alpha[j] = terms[0]
-            else:
-                top = max(terms)
-                alpha[j] = top + math.log(sum([math.exp(t - top) for t in terms])) if top > -math.inf else top
-        return alpha, arcs
-
-    def expected(self, word: str) -> dict:
-        """Expected number of times each piece (or byte) is used, over all segmentations of the word."""
+                    if arcs is not None:
+                        arcs.append((i, j, w))
+                    t, old = a + w, alpha[j]
+                    alpha[j] = t if old == -math.inf else old + log1p(exp(t - old)) if t < old else t + log1p(exp(old - t))
+            if s[i] not in chars:
+                w = self._spell(s[i])
+                if arcs is not None:
+                    arcs.append((i, i + 1, w))
+                t, old = a + w, alpha[i + 1]
+                alpha[i + 1] = t if old == -math.inf else max(t, old) + log1p(exp(-abs(t - old)))
+        return alpha
+
+    def expected(self, word: str, times: float, total: dict) -> None:
+        """Add to ``total`` how often each piece (or byte) is used, over all segmentations of ``times`` such words."""
         s = START + word
-        alpha, arcs = self.forward(word)
-        n, whole = len(s), alpha[-1]
-        beta: list[list[float]] = [[] for _ in range(n + 1)]
-        log_beta = [0.0] * (n + 1)
-        out: dict = {}
-        at = n + 1
-        for i, j, piece, w in sorted(arcs, key=lambda a: -a[1]):
-            if j < at:
-                at = j
-                if j < n:
-                    top = max(beta[j], default=-math.inf)
-                    log_beta[j] = top + math.log(sum(math.exp(b - top) for b in beta[j])) if top > -math.inf else top
-            if log_beta[j] == -math.inf or alpha[i] == -math.inf:
+        arcs: list = []
+        alpha = self.forward(word, arcs)
+        n, whole, exp, chars = len(s), alpha[-1], math.exp, self.chars
+        beta = [-math.inf] * (n + 1)
+        beta[n] = 0.0
+        for i, j, w in reversed(arcs):  # by start, last first: everything behind j is done
+            b = beta[j]
+            if b == -math.inf:
                 continue
-            beta[i].append(w + log_beta[j])
-            p = math.exp(alpha[i] + w + log_beta[j] - whole)
-            for key in ([piece] if piece is not None else s[i].encode("utf-8")):
-                out[key] = out.get(key, 0.0) + p
-        return out
+            t, old = w + b, beta[i]
+            beta[i] = t if old == -math.inf else max(t, old) + math.log1p(exp(-abs(t - old)))
+            p = times * exp(alpha[i] + t - whole)
+            if j > i + 1 or s[i] in chars:
+                total[s[i:j]] = total.get(s[i:j], 0.0) + p
+            else:
+                for key in s[i].encode("utf-8"):
+                    total[key] = total.get(key, 0.0) + p
 
 
 def vocabulary(path: str) -> tuple[dict[str, float], list[float]]:
@@ -154,8 +172,7 @@ def learn(counts: DataFrame, n_docs: int, vocabulary_: tuple[dict[str, float], l
         total: dict = {}
         for b in parts:
             for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k, e in lattice.expected(w).items():
-                    total[k] = total.get(k, 0.0) + c * e
+                lattice.expected(w, c, total)
         keys = list(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k if isinstance(k, str) else None for k in keys], pa.string()),
@@ -224,7 +241,7 @@ def score(docs: DataFrame, model: str, fold: int = 7, held: int = 2, heads: int
     def run(batches):
         pieces, byte_weights, end, head = held_.value
         lattice = Lattice(pieces, byte_weights)
-        memo = _Memo(lambda w: lattice.forward(w)[0][-1])
+        memo = _Memo(lambda w: lattice.forward(w)[-1])
         log_p = memo.__getitem__
         for b in batches:
             for at in range(0, b.num_rows, 256):
