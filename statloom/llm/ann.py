@@ -39,7 +39,7 @@ SAMPLE = 16_384
 TREES = 10
 LEAF = 128
 #: Share of all index entries, over all trees, that a query opens, and the least number of them.
-SHARE = 0.06
+SHARE = 0.08
 LEAST = 20_000
 BLOCK = 4_096
 SEED = 11
