@@ -4,28 +4,41 @@ A page is read into a balanced token tree.  Its wrapper is a union-free regular
 expression: neighbouring runs of alike elements (or of alike sequences of two or
 three) fold into repeated groups, and texts are constants.  The wrappers of a
 host's pages are aligned one after the other: what only one side has becomes
-optional, texts that differ become slots, runs become repeated groups.  Counts
-of text and link text ride along, so the finished wrapper tells which region of
-the host's pages holds the article.  Extraction reads every page again and
-returns the blocks of that region, without menus, adverts, notices, forms,
-comments and the like.
-
-Scale: every task folds its own pages into one wrapper per host, wrappers of a
-host meet in ``SPREAD`` partial groups and then in one; only wrappers (not
+optional, texts that differ become slots, runs become repeated groups.  Pages of a host
+whose ``<article>``/``<main>`` elements stand under other tags are of another
+template and get a wrapper of their own.
+
+The finished wrapper decides what is article: a text that is the same wherever
+its place in the wrapper occurs (a run: the same sequence of texts), on at least
+``CONSTANT_SHARE`` of the template's pages and on ``FEW`` different pages
+(``MOST`` if constants outweigh the slots), is part of the template and dropped.
+Slots, and runs that differ between pages, stay.  The article or main
+element with most of the slot text is the region; without one, the whole page is.  Lists of tags and names (``DROP``, ``MARKS``, ``HEADER``) mark
+menus, adverts, comments and the like that differ from page to page; these lists
+are heuristic.
+
+Scale: every task folds its own pages into one wrapper per host and template,
+wrappers meet in ``SPREAD`` partial groups and then in one; only wrappers (not
 pages) are shuffled, so a host with a third of all pages is no hot group.  The
-region of a host is a short path, joined to the pages by Spark.
+rules of a host (a short path and digests of constants) are joined to the pages
+by Spark.
 
 Cases: null html is the empty page with empty text; a null url (or one without
 ``://``) belongs to the host ""; very long pages are read whole; unclosed and
-stray tags are tolerated; repeated rows give repeated results; a page without
-its host's region falls back to its whole body without the boilerplate; an empty
-table gives no rows; other columns are ignored.
+stray tags are tolerated; repeated rows give repeated results, and copies of a
+page count as one page; a template with nothing but constants (one page, or only
+copies) drops none of them; a page without its template's region falls back to
+its whole body without the boilerplate; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
+from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
@@ -37,8 +50,10 @@ from statloom.llm.common import materialize
 
 #: Partial groups that a host's wrappers pass through.
 SPREAD = 16
-#: Share of its parent's text that a region must hold to be preferred to the parent.
-DOMINANT = 0.7
+#: Different pages on which a text must be the same to be a constant, and where constants outweigh the slots.
+FEW, MOST = 3, 8
+#: Share of the template's pages that must have a constant.
+CONSTANT_SHARE = 0.5
 #: Elements nested deeper are read as if they stood side by side at this depth.
 DEPTH = 120
 
@@ -145,24 +160,36 @@ def parse(html: str) -> Node:
     return root
 
 
-# --- wrappers: [sig, many, optional, pages, chars, link chars, text or None, children] ---
+# --- wrappers: [sig, many, optional, pages, chars, link chars, text or None, children,
+#                digest of the texts that every page has here or None, digests of up to MOST pages, block numbers] ---
 
-SIG, MANY, OPT, PAGES, CHARS, LINKS, TEXT, KIDS = range(8)
+SIG, MANY, OPT, PAGES, CHARS, LINKS, TEXT, KIDS, SAME, SEEN, IDS = range(11)
 
 
-def _leaf(text: str, linked: int):
-    return ["#text", 0, 0, 1, len(text), linked, text, []]
+def _digest(text: str) -> str:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
-def wrapper_of(node: Node) -> list:
-    """One page's wrapper: block elements and texts; inline elements belong to the text around them."""
+def _leaf(text: str, linked: int, page: int, ids: list):
+    return ["#text", 0, 0, 1, len(text), linked, text, [], _digest(text), [page], ids]
+
+
+def wrapper_of(node: Node, page: int = 0, blocks: list[str] | None = None) -> list:
+    """One page's wrapper: block elements and texts; inline elements belong to the text around them.
+
+    ``page`` is a digest of the page; the texts are appended to ``blocks`` and their numbers noted.
+    """
     kids, text, linked = [], [], 0
 
     def flush():
         nonlocal text, linked
         joined = " ".join(unescape("".join(text)).split())
         if joined:
-            kids.append(_leaf(joined, min(linked, len(joined))))
+            ids = []
+            if blocks is not None:
+                ids.append(len(blocks))
+                blocks.append(joined)
+            kids.append(_leaf(joined, min(linked, len(joined)), page, ids))
         text, linked = [], 0
 
     def inline(n: Node, in_link: bool):
@@ -171,10 +198,14 @@ def wrapper_of(node: Node) -> list:
             if isinstance(k, str):
                 text.append(k)
                 linked += len(k) * in_link
-            elif k.tag in BLOCK or k.out:
+            elif k.tag in BLOCK:
                 flush()
-                kids.append(wrapper_of(k))
-            elif k.tag == "br":
+                kids.append(wrapper_of(k, page, blocks))
+            elif k.out:
+                continue
+            elif k.tag in ("br", "td", "th", "img"):
+                text.append(" ")
+                inline(k, in_link)
                 text.append(" ")
             else:
                 inline(k, in_link or k.tag == "a")
@@ -183,7 +214,7 @@ def wrapper_of(node: Node) -> list:
     flush()
     kids = fold(kids)
     mark = "!" if node.out else "?" if node.head else ""
-    return [mark + node.sig, 0, 0, 1, sum(k[CHARS] for k in kids), sum(k[LINKS] for k in kids), None, kids]
+    return [mark + node.sig, 0, 0, 1, sum(k[CHARS] for k in kids), sum(k[LINKS] for k in kids), None, kids, None, [], []]
 
 
 def fold(kids: list) -> list:
@@ -191,8 +222,8 @@ def fold(kids: list) -> list:
     out: list = []
     for k in kids:
         if out and out[-1][SIG] == k[SIG]:
-            merge(out[-1], k)
-            out[-1][MANY], out[-1][PAGES] = 1, 1
+            merge(out[-1], k, one_page=True)
+            out[-1][MANY] = 1
         else:
             out.append(k)
     for size in (2, 3):
@@ -202,12 +233,11 @@ def fold(kids: list) -> list:
             if sigs[i:i + size] != sigs[i + size:i + 2 * size]:
                 i += 1
                 continue
-            group = ["(" + " ".join(sigs[i:i + size]) + ")", 1, 0, 1, 0, 0, None, out[i:i + size]]
+            group = ["(" + " ".join(sigs[i:i + size]) + ")", 1, 0, 1, 0, 0, None, out[i:i + size], None, [], []]
             j = i + size
             while sigs[j:j + size] == sigs[i:i + size]:
                 for a, b in zip(group[KIDS], out[j:j + size]):
-                    merge(a, b)
-                    a[PAGES] = 1
+                    merge(a, b, one_page=True)
                 j += size
             group[CHARS], group[LINKS] = (sum(k[f] for k in group[KIDS]) for f in (CHARS, LINKS))
             out[i:j] = [group]
@@ -215,18 +245,29 @@ def fold(kids: list) -> list:
     return out
 
 
-def merge(a: list, b: list) -> list:
-    """Align wrapper ``b`` with ``a``, in place: mismatches become slots, optional and repeated groups."""
+def merge(a: list, b: list, one_page: bool = False) -> list:
+    """Align wrapper ``b`` with ``a``, in place: mismatches become slots, optional and repeated groups.
+
+    ``one_page``: both are neighbours on one page, so their texts follow each other.
+    """
     a[MANY] |= b[MANY]
     a[OPT] |= b[OPT]
-    for f in (PAGES, CHARS, LINKS):
+    for f in (CHARS, LINKS):
         a[f] += b[f]
     if a[TEXT] != b[TEXT]:
         a[TEXT] = None
+    if one_page:
+        a[SAME] = a[SAME] and b[SAME] and _digest(a[SAME] + b[SAME])
+        a[IDS] += b[IDS]
+    else:
+        a[PAGES] += b[PAGES]
+        if a[SAME] != b[SAME]:
+            a[SAME] = None
+        a[SEEN] = sorted({*a[SEEN], *b[SEEN]})[:MOST] if a[SAME] else []
     x, y = a[KIDS], b[KIDS]
     if [k[SIG] for k in x] == [k[SIG] for k in y]:
         for p, q in zip(x, y):
-            merge(p, q)
+            merge(p, q, one_page)
         return a
     common = _common([k[SIG] for k in x], [k[SIG] for k in y])
     out, i, j = [], 0, 0
@@ -235,12 +276,12 @@ def merge(a: list, b: list) -> list:
             k[OPT] = 1
             out.append(k)
         if p < len(x) and q < len(y):
-            out.append(merge(x[p], y[q]))
+            out.append(merge(x[p], y[q], one_page))
         i, j = p + 1, q + 1
     kept: list = []
     for k in out:  # options from both sides may have become alike neighbours
         if kept and kept[-1][SIG] == k[SIG]:
-            merge(kept[-1], k)
+            merge(kept[-1], k, one_page)
             kept[-1][MANY] = 1
         else:
             kept.append(k)
@@ -279,95 +320,104 @@ def expression(w: list) -> str:
     return f"(<{name}> {inside} </>){mult}" if mult else f"<{name}> {inside} </>"
 
 
-def region(w: list) -> list[str]:
-    """Path of signatures to the element that holds the article in this wrapper."""
-    best: list = []
+def _named(w: list, path: list[str] | None = None):
+    """Paths and wrappers of the outermost elements whose tag or class says that they hold the article."""
+    path = path or []
+    for c in w[KIDS]:
+        sig = c[SIG]
+        if sig.startswith(("!", "?")):
+            continue
+        if sig.startswith("("):
+            yield from _named(c, path)
+            continue
+        tag = re.split(r"[.#]", sig)[0]
+        if tag in ("article", "main") or ".main" in sig and tag == "div":
+            yield [*path, sig], c
+        else:
+            yield from _named(c, [*path, sig])
+
+
+def template(w: list) -> str:
+    """Pages of a host are of one template if their article or main elements stand under the same tags."""
+    return " ".join(sorted({"/".join(re.split(r"[.#]", s)[0] for s in path) for path, _ in _named(w)}))
 
-    def plain(k):  # text of the subtree outside boilerplate and links
-        if k[SIG].startswith("!"):
+
+def _key(path: list[str], same: str) -> str:
+    return _digest("\n".join([*path, same]))
+
+
+def rule(w: list) -> dict:
+    """What a template's wrapper says: ``region``, the path to the article ([]: the whole page), and ``drops``, the
+    keys of the constants in it."""
+
+    def constant(k, least):
+        return k[SAME] and len(k[SEEN]) >= least and k[PAGES] >= CONSTANT_SHARE * w[PAGES]
+
+    def slots(k, least, inside):  # text of the subtree outside boilerplate, links and constants
+        if k[SIG].startswith("!") or k[SIG].startswith("?") and not inside:
             return 0
-        if not k[KIDS]:
-            return k[CHARS] - k[LINKS]
-        return sum(map(plain, k[KIDS]))
+        if k[SIG] == "#text":
+            return 0 if constant(k, least) else k[CHARS] - k[LINKS]
+        inside = inside or re.split(r"[.#]", k[SIG])[0] in ("article", "main")
+        return sum(slots(c, least, inside) for c in k[KIDS])
+
+    never = MOST + 1
+    whole, least = slots(w, FEW, False), FEW
+    if 2 * whole < slots(w, never, False):
+        whole, least = slots(w, MOST, False), MOST
+    if not whole:
+        whole, least = slots(w, never, False), never
+    named: dict[tuple, int] = {}
+    for path, k in _named(w):
+        named[tuple(path)] = named.get(tuple(path), 0) + slots(k, least, True)
+    best = max(named, key=named.get, default=())
+    region = list(best) if named.get(best) else []
+    drops = set()
+
+    def collect(k, path):
+        for c in k[KIDS]:
+            if c[SIG] == "#text":
+                if constant(c, least):
+                    drops.add(_key(path, c[SAME]))
+            elif not c[SIG].startswith("!"):
+                collect(c, path if c[SIG].startswith("(") else [*path, c[SIG]])
+
+    for path, k in _within(w, region):
+        collect(k, path)
+    return {"region": region, "drops": sorted(drops)}
+
+
+def _within(w: list, region: list[str]) -> list:
+    """Paths and wrappers that the region stands for; the whole page if it is not there."""
+    found = [(path, k) for path, k in _named(w) if path == region] if region else []
+    return found or [([], w)]
+
 
-    def named(k, path):
+def text_of(html: str, rules: dict) -> str:
+    """Texts of the blocks that the rule of the page's template keeps."""
+    blocks: list[str] = []
+    w = wrapper_of(parse(html), blocks=blocks)
+    of = rules.get(template(w)) or {"region": [], "drops": []}
+    drops, ids = frozenset(of["drops"]), []
+
+    def walk(k, path, inside):
         for c in k[KIDS]:
             sig = c[SIG]
-            if sig.startswith(("!", "?")):
-                continue
-            if sig.startswith("("):
-                named(c, path)
-                continue
-            tag = re.split(r"[.#]", sig)[0]
-            if tag in ("article", "main") or ".main" in sig and tag == "div":
-                best.append((plain(c), [*path, sig]))
-            else:
-                named(c, [*path, sig])
-
-    named(w, [])
-    best = [b for b in best if b[0]]
-    if best:
-        return max(best, key=lambda b: b[0])[1]
-    path, here = [], w
-    while True:
-        whole = plain(here)
-        boxes = [c for k in here[KIDS] for c in (k[KIDS] if k[SIG].startswith("(") else [k])
-                 if re.split(r"[.#]", c[SIG])[0] in ("html", "body", "section", "div", "table", "tbody", "tr")]
-        boxes = [c for c in boxes if whole and plain(c) >= DOMINANT * whole]
-        if not boxes:
-            return path
-        here = max(boxes, key=plain)
-        path.append(here[SIG])
-
-
-def blocks_of(root: Node, path: list[str]) -> list[str]:
-    """Texts of the blocks in the region; the whole page without boilerplate if the region is not there."""
-    found: list[Node] = []
-
-    def seek(n: Node, depth: int):
-        for k in n.kids:
-            if not isinstance(k, str):
-                if depth < len(path) and k.sig == path[depth]:
-                    if depth + 1 == len(path):
-                        found.append(k)
-                    else:
-                        seek(k, depth + 1)
-                elif k.tag not in BLOCK and not k.out:
-                    seek(k, depth)
-
-    if path:
-        seek(root, 0)
-    out: list[str] = []
-    text: list[str] = []
+            if sig == "#text":
+                if not (drops and c[SAME] and _key(path, c[SAME]) in drops):
+                    ids.extend(c[IDS])
+            elif not (sig.startswith("!") or sig.startswith("?") and not inside):
+                walk(c, path if sig.startswith("(") else [*path, sig],
+                     inside or re.split(r"[.#]", sig)[0] in ("article", "main"))
 
-    def flush():
-        joined = " ".join(unescape("".join(text)).split())
-        if joined:
-            out.append(joined)
-        text.clear()
+    for path, k in _within(w, of["region"]):
+        walk(k, path, bool(path))
+    return "\n\n".join(blocks[i] for i in sorted(ids))
 
-    def walk(n: Node, inside: bool):
-        for k in n.kids:
-            if isinstance(k, str):
-                text.append(k)
-            elif k.out or k.head and not inside:
-                if k.tag in BLOCK:
-                    flush()
-            elif k.tag in BLOCK:
-                flush()
-                walk(k, inside or k.tag in ("article", "main"))
-                flush()
-            elif k.tag in ("br", "td", "th", "img"):
-                text.append(" ")
-                walk(k, inside)
-                text.append(" ")
-            else:
-                walk(k, inside)
 
-    for n in found or [root]:
-        walk(n, bool(found))
-        flush()
-    return out
+@lru_cache(256)
+def _rules(text: str) -> dict:
+    return {k: json.loads(v) for k, v in json.loads(text).items()}
 
 
 def _host():
@@ -375,68 +425,77 @@ def _host():
 
 
 def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (JSON), expression, region (JSON path), pages: one row per host."""
+    """host, template, wrapper (JSON), expression, rule (JSON), pages: one row per host and template."""
     texts = pages.select(F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     texts = texts.select(_host().alias("host"), "html")
 
     def run(batches):
-        own: dict[str, list] = {}
+        own: dict[tuple[str, str], list] = {}
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    w = wrapper_of(parse(html))
-                    own[host] = merge(own[host], w) if host in own else w
+                    w = wrapper_of(parse(html), zlib.crc32(html.encode("utf-8", "surrogatepass")))
+                    key = host, template(w)
+                    own[key] = merge(own[key], w) if key in own else w
                 if len(own) > 2_000:
                     yield out(own)
                     own = {}
         yield out(own)
 
     def out(own):
-        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(
-            [json.dumps(w) for w in own.values()], pa.string())], names=["host", "wrapper"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in own], pa.string()), pa.array([k[1] for k in own], pa.string()),
+             pa.array([json.dumps(w) for w in own.values()], pa.string())], names=["host", "template", "wrapper"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         total = None
         for text in sorted(pdf["wrapper"]):
             w = json.loads(text)
             total = w if total is None else merge(total, w)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(total)]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [pdf["template"].iloc[0]],
+                             "wrapper": [json.dumps(total)]})
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         got = join(pdf)
         w = json.loads(got["wrapper"].iloc[0])
-        return got.assign(expression=expression(w), region=json.dumps(region(w)), pages=w[PAGES])
+        return got.assign(expression=expression(w), rule=json.dumps(rule(w)), pages=w[PAGES])
+
+    parts = texts.mapInArrow(run, "host string, template string, wrapper string")
+    some = parts.groupBy("host", "template", F.pmod(F.xxhash64("wrapper"), F.lit(SPREAD))).applyInPandas(
+        join, "host string, template string, wrapper string")
+    return some.groupBy("host", "template").applyInPandas(
+        finish, "host string, template string, wrapper string, expression string, rule string, pages long")
+
 
-    parts = texts.mapInArrow(run, "host string, wrapper string")
-    some = parts.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(SPREAD))).applyInPandas(join, "host string, wrapper string")
-    return some.groupBy("host").applyInPandas(
-        finish, "host string, wrapper string, expression string, region string, pages long")
+def rules_of(wrappers: DataFrame) -> DataFrame:
+    """host, rules: the rules of the host's templates as one JSON object."""
+    return wrappers.groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("template", "rule")))).alias("rules"))
 
 
-def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_col: str = "url",
+def extract(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url",
             html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every whole page."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    # Spark broadcasts the regions where their size, known by now, is small
-    rows = rows.withColumn("host", _host()).join(wrappers.select("host", "region"), "host", "left")
+    # Spark broadcasts the rules where their size, known by now, is small
+    rows = rows.withColumn("host", _host()).join(rules, "host", "left")
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = ["\n\n".join(blocks_of(parse(h), json.loads(r or "[]")))
+                texts = [text_of(h, _rules(r or "{}"))
                          for h, r in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()),
                                                   pa.array(list(map(len, texts)), pa.int64())],
                                                  names=["page_id", "url", "text", "n_chars"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "region").mapInArrow(
+    return rows.select("page_id", "url", "html", "rules").mapInArrow(
         run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def main_text(pages: DataFrame, **columns: str) -> DataFrame:
     known = {k: v for k, v in columns.items() if k in ("url_col", "html_col")}
-    return extract(pages, materialize(induce(pages, **known)), **columns)
+    return extract(pages, materialize(rules_of(induce(pages, **known))), **columns)

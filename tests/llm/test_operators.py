@@ -211,6 +211,33 @@ def test_html_wrapper_has_slots_options_and_groups():
     assert '<h1> "Same" </>' in text and "(<p> \"a\" </>)+" in text and "(<h2> # </> <ul>" in text and text.count(")*") == 1
 
 
+def main_texts(spark, pages):
+    rows = [(i, f"http://{host}/{i}", html) for i, (host, html) in enumerate(pages)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_html_wrapper_decides(spark):
+    story = "<p>story {i} one</p><p>story {i} two, rather long, so that it outweighs the rest of this page {i}</p>"
+    box = "<div class=box><p>Our terms apply</p></div>"
+    plain = "<body><div class=a><p>Our shop is closed</p></div><div class=b>" + story + "</div><div class=c><p>end {i}</p></div></body>"
+    pages = [("named.test", f"<body><article>{story}{box}</article></body>".format(i=i)) for i in range(4)]
+    pages += [("plain.test", plain.format(i=i)) for i in range(4)]
+    # two templates: the second must not be read by the first one's region
+    pages += [("both.test", f"<body><article>{story}</article><div>teaser {{i}}</div></body>".format(i=i)) for i in range(4)]
+    pages += [("both.test", f"<body><div class=b>{story}{box}</div></body>".format(i=i)) for i in range(4)]
+    # copies of one page say nothing about the template; nor do runs that differ in length
+    pages += [("copies.test", plain.format(i=7))] * 9
+    pages += [("runs.test", "<body><h1>" + f"title {i}" * 9 + "</h1>" + "<p>again</p>" * (i + 1) + "</body>") for i in range(4)]
+    got = main_texts(spark, pages)
+    for i in range(4):
+        want = [f"story {i} one", f"story {i} two, rather long, so that it outweighs the rest of this page {i}"]
+        assert got[i] == "\n\n".join(want) and got[4 + i] == "\n\n".join([*want, f"end {i}"])
+        assert got[8 + i] == got[12 + i] == "\n\n".join(want)
+        assert got[25 + i].endswith("\n\nagain" * (i + 1))
+    assert got[16].startswith("Our shop is closed\n\nstory 7 one") and len(set(got[16:25])) == 1
+
+
 # --- 5: SimHash ---
 
 def slow_fingerprint(text):
