@@ -12,8 +12,9 @@ The finished wrapper decides what is article: a text that is the same wherever
 its place in the wrapper occurs (a run: the same sequence of texts), on at least
 ``CONSTANT_SHARE`` of the template's pages and on ``FEW`` different pages
 (``MOST`` if constants outweigh the slots), is part of the template and dropped.
-Slots, and runs that differ between pages, stay.  The article or main
-element with most of the slot text is the region; without one, the whole page is.  Lists of tags and names (``DROP``, ``MARKS``, ``HEADER``) mark
+Slots, and runs that differ between pages, stay.  An article or main element is
+the region if it holds more than half of the slot text, otherwise the region is
+the whole page.  Lists of tags and names (``DROP``, ``MARKS``, ``HEADER``) mark
 menus, adverts, comments and the like that differ from page to page; these lists
 are heuristic.
 
@@ -320,6 +321,12 @@ def expression(w: list) -> str:
     return f"(<{name}> {inside} </>){mult}" if mult else f"<{name}> {inside} </>"
 
 
+def _is_named(sig: str) -> bool:
+    """An article or main element, or a div with the class or role main."""
+    tag = re.split(r"[.#]", sig)[0]
+    return tag in ("article", "main") or tag == "div" and "main" in re.findall(r"\.([^.#]+)", sig)
+
+
 def _named(w: list, path: list[str] | None = None):
     """Paths and wrappers of the outermost elements whose tag or class says that they hold the article."""
     path = path or []
@@ -330,8 +337,7 @@ def _named(w: list, path: list[str] | None = None):
         if sig.startswith("("):
             yield from _named(c, path)
             continue
-        tag = re.split(r"[.#]", sig)[0]
-        if tag in ("article", "main") or ".main" in sig and tag == "div":
+        if _is_named(sig):
             yield [*path, sig], c
         else:
             yield from _named(c, [*path, sig])
@@ -347,8 +353,8 @@ def _key(path: list[str], same: str) -> str:
 
 
 def rule(w: list) -> dict:
-    """What a template's wrapper says: ``region``, the path to the article ([]: the whole page), and ``drops``, the
-    keys of the constants in it."""
+    """What a template's wrapper says: ``region``, the path to the article ("named": every article or main element
+    of the page; []: the whole page), and ``drops``, the keys of the constants in it."""
 
     def constant(k, least):
         return k[SAME] and len(k[SEEN]) >= least and k[PAGES] >= CONSTANT_SHARE * w[PAGES]
@@ -371,7 +377,10 @@ def rule(w: list) -> dict:
     for path, k in _named(w):
         named[tuple(path)] = named.get(tuple(path), 0) + slots(k, least, True)
     best = max(named, key=named.get, default=())
-    region = list(best) if named.get(best) else []
+    if best and 2 * named[best] > whole:
+        region = list(best)
+    else:  # elements of several class names may hold the article of one page each
+        region = "named" if 2 * sum(named.values()) > whole else []
     drops = set()
 
     def collect(k, path):
@@ -387,9 +396,9 @@ def rule(w: list) -> dict:
     return {"region": region, "drops": sorted(drops)}
 
 
-def _within(w: list, region: list[str]) -> list:
+def _within(w: list, region: list[str] | str) -> list:
     """Paths and wrappers that the region stands for; the whole page if it is not there."""
-    found = [(path, k) for path, k in _named(w) if path == region] if region else []
+    found = [(path, k) for path, k in _named(w) if region == "named" or path == region] if region else []
     return found or [([], w)]
 
 

@@ -238,6 +238,29 @@ def test_html_wrapper_decides(spark):
     assert got[16].startswith("Our shop is closed\n\nstory 7 one") and len(set(got[16:25])) == 1
 
 
+def page_texts(pages):
+    """The same without Spark, for pages of one host."""
+    wrappers = {}
+    for page, html in enumerate(pages):
+        w = html_extract.wrapper_of(html_extract.parse(html), page)
+        key = html_extract.template(w)
+        wrappers[key] = html_extract.merge(wrappers[key], w) if key in wrappers else w
+    rules = {k: html_extract.rule(w) for k, w in wrappers.items()}
+    return [html_extract.text_of(html, rules).split("\n\n") for html in pages]
+
+
+def test_html_named_region_must_hold_the_text():
+    text = [f"real text of page {i}, much longer than whatever else there is on it" for i in range(4)]
+    for box in ("<div class='main-title'>title {}</div>", "<div class=mainmenu>menu {}</div>", "<div class=main>box {}</div>",
+                "<article>teaser {}</article><article>card {}</article>"):
+        got = page_texts([f"<body>{box.replace('{}', str(i))}<div class=t><p>{t}</p></div></body>" for i, t in enumerate(text)])
+        assert [t in g for t, g in zip(text, got)] == [True] * 4
+    for name in ("article", "main", "div class='wide main'", "div role=main", "article class=c{}"):
+        got = page_texts([f"<body><{name.replace('{}', 'xyzw'[i])}><p>{t}</p></{name.split()[0]}><div>other {i}</div></body>"
+                          for i, t in enumerate(text)])
+        assert got == [[t] for t in text]
+
+
 # --- 5: SimHash ---
 
 def slow_fingerprint(text):
