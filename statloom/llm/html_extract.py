@@ -16,7 +16,11 @@ Slots, and runs that differ between pages, stay.  An article or main element is
 the region if it holds more than half of the slot text, otherwise the region is
 the whole page.  Lists of tags and names (``DROP``, ``MARKS``, ``HEADER``) mark
 menus, adverts, comments and the like that differ from page to page; these lists
-are heuristic.
+are heuristic.  A tag, a role or a whole class name of a box (``BOX``) marks; a
+word within a class, or an id, is a hint, which counts if the wrapper says that
+the element is mostly links (or constant, as above).  Names of headings, of
+inline elements and ids of sections and paragraphs are not read.  Of a form only
+the controls go.
 
 Scale: every task folds its own pages into one wrapper per host and template,
 wrappers meet in ``SPREAD`` partial groups and then in one; only wrappers (not
@@ -60,11 +64,16 @@ DEPTH = 120
 
 #: Element kinds.
 RAW = "script|style|noscript|template|iframe|svg|math|object|canvas"
-DROP = frozenset("nav footer aside form head title button select textarea input label fieldset dialog menu".split())
+DROP = frozenset("nav footer aside head title button select optgroup option datalist textarea input label legend dialog menu".split())
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr "
                   "blockquote pre figure figcaption hr address header footer nav aside form details summary center "
                   "hgroup caption fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that a class of just one of the MARKS marks, and those whose id counts as a hint.
+BOX = frozenset("div section ul ol dl table".split())
+KNOWN = BOX - {"section"}
+#: Elements whose names say nothing about what they hold: headings, and the page or the article itself.
+MUTE = frozenset("html body main article h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Words in a class, id or role that mark something other than the article.
 MARKS = frozenset("ad ads adv advert advertisement adverts advertising banner sponsor sponsored promo promotion nav navbar "
                   "navigation menu menubar sidebar sidebars cookie cookies consent gdpr notice notices alert popup modal "
@@ -83,34 +92,37 @@ SCOPE = frozenset("ul ol dl table body html article section main div td th".spli
 TOKEN = re.compile(
     rf"<!--.*?(?:--!?>|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>|([^<]+|<)", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "sig", "out", "kids", "head")
+    __slots__ = ("tag", "sig", "out", "kids", "head", "hint")
 
-    def __init__(self, tag, sig, out, head=False):
-        self.tag, self.sig, self.out, self.head, self.kids = tag, sig, out, head, []
+    def __init__(self, tag, sig, out, head=False, hint=False):
+        self.tag, self.sig, self.out, self.head, self.hint, self.kids = tag, sig, out, head, hint, []
 
 
-_SIGS: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+_SIGS: dict[tuple[str, str], tuple[str, bool, bool, bool]] = {}
 
 
-def _sig(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Signature of a start tag, whether it is boilerplate, whether it is a header."""
+def _sig(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Signature of a start tag, whether it is boilerplate, whether it is a header, whether its name only hints at either."""
     got = _SIGS.get((tag, attributes))
     if got is None:
-        marks, names = set(), []
+        whole, hints, names = set(), set(), []
         for m in ATTRIBUTE.finditer(attributes):
-            value = (m[2] or m[3] or m[4] or "").lower()
+            kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             for name in value.split():
                 words = re.split(r"[_-]+", name)
-                if words[0] not in STATES:
-                    marks.update(words)
-            names += [f"{'#' if m[1].lower() == 'id' else '.'}{re.sub(r'[0-9]+', '0', v)}" for v in sorted(value.split())]
-        if tag in ("html", "body", "main", "article"):
-            marks = set()  # what they are called says something about the page, not about them
-        got = (tag + "".join(names), tag in DROP or bool(marks & MARKS), tag == "header" or bool(marks & HEADER))
+                if words[0] not in STATES and (kind != "id" or tag in KNOWN):
+                    hints.update(words)
+                    if kind == "role" or kind == "class" and tag in BOX:
+                        whole.add(name)
+            names += [f"{'#' if kind == 'id' else '.'}{re.sub(r'[0-9]+', '0', v)}" for v in sorted(value.split())]
+        if tag in MUTE or tag not in BLOCK:
+            whole = hints = set()
+        got = (tag + "".join(names), tag in DROP or bool(whole & MARKS), tag == "header" or bool(whole & HEADER),
+               bool(hints & (MARKS | HEADER)))
         if len(attributes) < 200 and len(_SIGS) < 50_000:
             _SIGS[tag, attributes] = got
     return got
@@ -214,7 +226,7 @@ def wrapper_of(node: Node, page: int = 0, blocks: list[str] | None = None) -> li
     inline(node, node.tag == "a")
     flush()
     kids = fold(kids)
-    mark = "!" if node.out else "?" if node.head else ""
+    mark = "!" if node.out else "?" if node.head else "~" if node.hint else ""
     return [mark + node.sig, 0, 0, 1, sum(k[CHARS] for k in kids), sum(k[LINKS] for k in kids), None, kids, None, [], []]
 
 
@@ -317,13 +329,17 @@ def expression(w: list) -> str:
     inside = " ".join(map(expression, w[KIDS]))
     if w[SIG].startswith("("):
         return f"({inside}){mult}"
-    name = w[SIG].lstrip("!?")
+    name = w[SIG].lstrip("!?~")
     return f"(<{name}> {inside} </>){mult}" if mult else f"<{name}> {inside} </>"
 
 
+def _tag(sig: str) -> str:
+    return re.split(r"[.#]", sig.lstrip("!?~"))[0]
+
+
 def _is_named(sig: str) -> bool:
     """An article or main element, or a div with the class or role main."""
-    tag = re.split(r"[.#]", sig)[0]
+    tag = _tag(sig)
     return tag in ("article", "main") or tag == "div" and "main" in re.findall(r"\.([^.#]+)", sig)
 
 
@@ -345,7 +361,7 @@ def _named(w: list, path: list[str] | None = None):
 
 def template(w: list) -> str:
     """Pages of a host are of one template if their article or main elements stand under the same tags."""
-    return " ".join(sorted({"/".join(re.split(r"[.#]", s)[0] for s in path) for path, _ in _named(w)}))
+    return " ".join(sorted({"/".join(map(_tag, path)) for path, _ in _named(w)}))
 
 
 def _key(path: list[str], same: str) -> str:
@@ -354,17 +370,21 @@ def _key(path: list[str], same: str) -> str:
 
 def rule(w: list) -> dict:
     """What a template's wrapper says: ``region``, the path to the article ("named": every article or main element
-    of the page; []: the whole page), and ``drops``, the keys of the constants in it."""
+    of the page; []: the whole page), and ``drops``, the keys of the constants and of
+    the menus and the like in it whose names hint at it and that are mostly links."""
 
     def constant(k, least):
         return k[SAME] and len(k[SEEN]) >= least and k[PAGES] >= CONSTANT_SHARE * w[PAGES]
 
+    def linked(k):
+        return k[SIG].startswith("~") and 2 * k[LINKS] >= k[CHARS] > 0
+
     def slots(k, least, inside):  # text of the subtree outside boilerplate, links and constants
-        if k[SIG].startswith("!") or k[SIG].startswith("?") and not inside:
+        if k[SIG].startswith("!") or k[SIG].startswith("?") and not inside or linked(k):
             return 0
         if k[SIG] == "#text":
             return 0 if constant(k, least) else k[CHARS] - k[LINKS]
-        inside = inside or re.split(r"[.#]", k[SIG])[0] in ("article", "main")
+        inside = inside or _tag(k[SIG]) in ("article", "main")
         return sum(slots(c, least, inside) for c in k[KIDS])
 
     never = MOST + 1
@@ -388,6 +408,8 @@ def rule(w: list) -> dict:
             if c[SIG] == "#text":
                 if constant(c, least):
                     drops.add(_key(path, c[SAME]))
+            elif linked(c):
+                drops.add(_key(path, c[SIG]))
             elif not c[SIG].startswith("!"):
                 collect(c, path if c[SIG].startswith("(") else [*path, c[SIG]])
 
@@ -415,9 +437,10 @@ def text_of(html: str, rules: dict) -> str:
             if sig == "#text":
                 if not (drops and c[SAME] and _key(path, c[SAME]) in drops):
                     ids.extend(c[IDS])
-            elif not (sig.startswith("!") or sig.startswith("?") and not inside):
+            elif not (sig.startswith("!") or sig.startswith("?") and not inside
+                      or sig.startswith("~") and drops and _key(path, sig) in drops):
                 walk(c, path if sig.startswith("(") else [*path, sig],
-                     inside or re.split(r"[.#]", sig)[0] in ("article", "main"))
+                     inside or _tag(sig) in ("article", "main"))
 
     for path, k in _within(w, of["region"]):
         walk(k, path, bool(path))

@@ -261,6 +261,19 @@ def test_html_named_region_must_hold_the_text():
         assert got == [[t] for t in text]
 
 
+def test_html_names_only_hint():
+    body = ("<h2 id=search-engines>head {i}</h2><section id=related-work><p id=social-history>work {i} with a "
+            "<span class=search-term>term</span></p></section><div class=section id=search><p data-role=search>div {i}</p></div>"
+            "<p class=notice>remark {i}</p><div class=comment-on-law><p>law {i}</p></div>")
+    boxes = ("<div class=comments>reader {i}</div><div class=share-links><a href=x>share {i}</a></div>"
+             "<ul id=related><li><a href=y>next {i}</a></ul><div class=cookie-box>We use cookies</div>")
+    want = [[f"head {i}", f"work {i} with a term", f"div {i}", f"remark {i}", f"law {i}"] for i in range(4)]
+    form = "<form><label>name</label><input name=a>{}<fieldset><select><option>one</select></fieldset><button>go</button></form>"
+    for page in ("<body><article>{}</article></body>", "<body>{}</body>", f"<body>{form}</body>"):
+        got = page_texts([page.replace("{}", body + boxes).replace("{i}", str(i)) for i in range(4)])
+        assert got == want
+
+
 # --- 5: SimHash ---
 
 def slow_fingerprint(text):
