@@ -63,7 +63,9 @@ CONSTANT_SHARE = 0.5
 DEPTH = 120
 
 #: Element kinds.
-RAW = "script|style|noscript|template|iframe|svg|math|object|canvas"
+RAW = "script|style|noscript"
+#: Elements left out up to their own end tag; without one, only the tag is.
+EMBED = frozenset("template iframe svg math object canvas".split())
 DROP = frozenset("nav footer aside head title button select optgroup option datalist textarea input label legend dialog menu".split())
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr "
                   "blockquote pre figure figcaption hr address header footer nav aside form details summary center "
@@ -92,6 +94,7 @@ SCOPE = frozenset("ul ol dl table body html article section main div td th".spli
 TOKEN = re.compile(
     rf"<!--.*?(?:--!?>|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>|([^<]+|<)", re.S | re.I)
+EMBEDDED = re.compile(rf"</?(?:{'|'.join(sorted(EMBED))})\b", re.I)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -128,12 +131,36 @@ def _sig(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
     return got
 
 
+def _tokens(html: str):
+    """Matches of TOKEN outside embedded elements."""
+    if not EMBEDDED.search(html):
+        yield from TOKEN.finditer(html)
+        return
+    ends: dict[int, int] = {}  # offset of an embedded element's start tag: offset behind its end tag
+    opened: dict[str, list[int]] = {}
+    for m in TOKEN.finditer(html):
+        tag = (m[3] or "").lower()
+        if tag in EMBED:
+            if not m[2]:
+                if not (m[4] or "").endswith("/"):
+                    opened.setdefault(tag, []).append(m.start())
+            elif opened.get(tag):
+                ends[opened[tag].pop()] = m.end()
+    behind = 0
+    for m in TOKEN.finditer(html):
+        if m.start() >= behind:
+            if (m[3] or "").lower() not in EMBED:
+                yield m
+            else:
+                behind = ends.get(m.start(), behind)
+
+
 def parse(html: str) -> Node:
-    """The page as a tree; raw-text elements and comments are left out, open elements are closed where needed."""
+    """The page as a tree; raw-text and embedded elements and comments are left out, open elements are closed where needed."""
     root = Node("#root", "#root", False)
     stack = [root]
     flat: dict[str, int] = {}  # open elements beyond DEPTH, whose content stays in the last one within
-    for m in TOKEN.finditer(html):
+    for m in _tokens(html):
         if m[5]:
             stack[-1].kids.append(m[5])
         elif m[3]:

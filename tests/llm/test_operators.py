@@ -274,6 +274,16 @@ def test_html_names_only_hint():
         assert got == want
 
 
+def test_html_embedded_elements_end_where_they_end():
+    for html, want in (('<p>one <svg class="icon"/> two</p><p>three</p>', ["one two", "three"]),
+                       ("<p>a <math/> b</p><p>c</p><svg><text>no</text></svg><p>d</p>", ["a b", "c", "d"]),
+                       ("<p>a</p><object data=x><p>b</p><canvas><p>c</p>", ["a", "b", "c"]),
+                       ("<p>a <svg> b</p><p>c <svg><g/><svg><text>no</text></svg>no</svg> d</p>", ["a b", "c d"]),
+                       ("<p>a<template><p>no<iframe>no</template> b</p><script>'<svg>'</script><p>c</p><!--</svg>--><p>d", ["a b", "c", "d"]),
+                       ("<p>a</p><svg><style>.x{}</svg><p>no", ["a"])):
+        assert page_texts([f"<body><article>{html}</article></body>"]) == [want]
+
+
 # --- 5: SimHash ---
 
 def slow_fingerprint(text):
