@@ -3,13 +3,13 @@
 A word's input is its own embedding (words met in several training documents)
 beside the scaled sum of the embeddings of its character n-grams, so unseen
 inflections and spellings still carry signal.  The network reads windows of
-``WINDOW`` words that start every ``STRIDE`` words over the whole text, pools the
+``WINDOW`` words that start every ``STRIDE`` words over the whole text (so a
+passage of up to ``WINDOW - STRIDE + 1`` words lies whole in one), pools the
 states of both directions by attention, and gives each window a probability; a
 text's score is that of its worst window.
 
 Training: on the driver, from a bounded sample of labelled training rows (at
-most ``MAX_TOXIC`` and ``MAX_CLEAN`` by hash of the id, ``MAX_WINDOWS`` windows
-spread over each whole text).  A label holds for a text, not for its windows,
+most ``MAX_TOXIC`` and ``MAX_CLEAN`` by hash of the id, all windows of each).  A label holds for a text, not for its windows,
 so every epoch after the first picks from each toxic text the windows that
 score highest now, and from each clean text its highest and some others.
 
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 from statloom.llm.common import crc_mod, doc_texts
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 16
 GRAMS = (5,)
 #: A word or n-gram needs as many training documents to get an embedding.
 LEAST_DOCS = 3
-MAX_TOXIC, MAX_CLEAN, MAX_WINDOWS = 800, 3_000, 48
+MAX_TOXIC, MAX_CLEAN = 800, 3_000
 EPOCHS, BATCH, RATE = 10, 128, 0.01
 TOXIC_AT = 0.7
 #: Projected words a Python worker holds.
@@ -311,9 +311,8 @@ class Scorer:
         return np.maximum.reduceat(each, np.cumsum([0, *counts[:-1]]))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN,
-                    max_windows: int = MAX_WINDOWS) -> tuple[list[list[str]], list[int]]:
-    """Windows and label of a bounded sample of the labelled rows that are not held out."""
+def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[list[list[str]], list[int]]:
+    """All windows and the label of a bounded sample of the labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), 3) != 1)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -325,9 +324,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
         for b in batches:
             for i, y, t in zip(*(c.to_pylist() for c in b.columns)):
                 ws = words_of(t)
-                starts = list(window_starts(len(ws)))
-                if len(starts) > max_windows:
-                    starts = [starts[int(k * len(starts) / max_windows)] for k in range(max_windows)]
+                starts = window_starts(len(ws))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i]), pa.array([y], pa.int32()), pa.array([[b" ".join(ws[s:s + WINDOW]).decode() for s in starts]])],
                     names=["doc_id", "toxic", "windows"])

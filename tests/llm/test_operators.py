@@ -432,6 +432,15 @@ def test_toxicity_without_labels(spark):
     assert toxicity.keep_clean(docs, None).count() == docs.count()
 
 
+def test_toxicity_windows_hold_passages_and_training_sees_all(spark):
+    for n in range(17, 200):
+        starts = toxicity.window_starts(n)
+        assert all(any(s <= a and a + 17 <= s + toxicity.WINDOW for s in starts) for a in range(n - 16))
+    docs = spark.createDataFrame([(0, " ".join(f"w{k}" for k in range(5_000))), (1, "short text")], "doc_id long, text string")
+    windows, labels = toxicity.training_sample(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"))
+    assert {w for text in windows for window in text for w in window.split()} >= {f"w{k}" for k in range(5_000)}
+
+
 # --- 8: licences ---
 
 def test_license_templates(spark):
