@@ -14,15 +14,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def materialize(df: DataFrame, **options) -> DataFrame:
+    """Write ``df`` (with Parquet's ``options``) to the shared checkpoint folder and read it back.
 
     Cuts the lineage with files that every executor can reach, evaluates the
     input once, and leaves later stages recoverable when an executor is lost.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
