@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import ann, bpe, html_extract, lattice_lm, licenses, mixing, simhash, toxicity, urlfilter, vecdedup
+from statloom.llm import (ann, bpe, hard_negatives, html_extract, lattice_lm, licenses, mixing, packing, periodic, simhash,
+                          toxicity, urlfilter, vecdedup)
 from statloom.llm.common import read_table
 
 #: Where the public tokenizers' files lie on the driver.
@@ -61,6 +62,21 @@ def op10_vecdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op4_html": op4_html, "op9_lattice_lm": op9_lattice_lm, "op8_licenses": op8_licenses, "op7_toxicity": op7_toxicity, "op3_urlfilter": op3_urlfilter, "op2_ann": op2_ann, "op10_vecdedup": op10_vecdedup, "op1_bpe": op1_bpe, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return packing.digests(packing.pack_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.json"))
 
-SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_vecdedup": vecdedup.SQL}
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.detect(periodic.planted(read_table(spark, sf_dir, "documents"))))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.relabelled(read_table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+QUERIES = {"op4_html": op4_html, "op9_lattice_lm": op9_lattice_lm, "op8_licenses": op8_licenses, "op7_toxicity": op7_toxicity, "op3_urlfilter": op3_urlfilter, "op2_ann": op2_ann, "op10_vecdedup": op10_vecdedup, "op1_bpe": op1_bpe, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing,
+           "op11_packing": op11_packing, "op12_periodic": op12_periodic, "op13_negatives": op13_negatives}
+
+SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_vecdedup": vecdedup.SQL, "op13_negatives": hard_negatives.SQL}
