@@ -14,7 +14,7 @@ vocabulary allows).  The sort moves only a row number, the key and the token
 count; running sums go range by range, with the ranges' totals (one row each)
 as offsets.  The offset then joins the written ids by row number, which is
 unique, so no key, copy or source is hot.  A document of any length is encoded
-whole, in stretches cut where a token must begin.
+whole.
 
 Cases: a null text is empty and has only its end id; an empty table gives no
 rows; rows with equal or null ids or equal texts are documents of their own;
@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from statloom.llm.bpe import PATTERN, byte_letters
 from statloom.llm.common import doc_texts, materialize
 
 WIDTH = 2_048
@@ -44,12 +44,8 @@ BITS = 15
 SEED = 3
 #: Projections beyond this are put on the edge of the grid (they are about normal).
 REACH = 4.0
-#: A space between other characters starts a token, whatever stands before it.
-CUT = re.compile(r"(?<=\S) (?=\S)").split
-#: Any other space.
-ODD = re.compile(r" (?:(?=\s|\Z)|(?<=\s )|(?<=\A ))").search
-#: Stretches between such spaces that one Python worker remembers (two generations of this size).
-MEMO = 500_000
+#: Characters without a space, or spaces in a row, from which a text goes to the library, whose merging stays linear.
+LONG_RUN = 4_000
 #: Rows whose pieces are built together, and their ids.
 ROWS = 512
 #: Rows of the curve that one task sorts.
@@ -57,7 +53,12 @@ RANGE = 1_000_000
 
 
 class Encoder:
-    """A public tokenizer with a memo of the stretches between single spaces."""
+    """Ids of a tokenizer JSON's byte-level BPE, as its library gives them.
+
+    Where the ids count up in the order of the merges (as those of the public
+    vocabulary do), an id is a merge rank and the faster rank encoder takes the
+    texts; other vocabularies, and texts with very long runs, go to the library.
+    """
 
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,42 +66,32 @@ class Encoder:
         self.lib = Tokenizer.from_str(content)
         self.lib.no_truncation()
         self.lib.no_padding()
-        vocab = self.lib.get_vocab()
-        self.starts = np.zeros(max(vocab.values()) + 1, bool)  # ids that start with a space
-        self.starts[[i for s, i in vocab.items() if s[:1] == "\u0120"]] = True
-        self.memo, self.old = {}, {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, stretches: list[str]) -> None:
-        """Ids of new stretches, each with the space before it; those without a space inside go to the library together."""
-        for at in range(0, len(stretches), 4_096):
-            group = [s for s in stretches[at:at + 4_096] if " " not in s]
-            ids = self._ids("".join([" " + s for s in group]))
-            edges = np.append(np.flatnonzero(self.starts[ids]), len(ids))
-            if len(edges) == len(group) + 1:
-                edges = (4 * edges).tolist()
-                held = ids.tobytes()
-                self.memo.update((s, held[a:b]) for s, a, b in zip(group, edges, edges[1:]))
-        for s in stretches:
-            if s not in self.memo:
-                self.memo[s] = self._ids(" " + s).tobytes()
+        self.ranked = self._ranked(json.loads(content))
+
+    @staticmethod
+    def _ranked(spec: dict):
+        """The rank encoder, or None where ids are not ranks or more is asked than plain byte-level pre-tokens."""
+        vocab = spec["model"]["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        first = [vocab.get(a + b, -1) for a, b in pairs]
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        pre = spec.get("pre_tokenizer") or {}
+        if (first != sorted(first) or spec.get("normalizer") or any(pre.get(k) != v for k, v in plain.items())
+                or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])):
+            return None
+        import tiktoken
+        back = {c: b for b, c in byte_letters().items()}
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(back[c] for c in s): i for s, i in vocab.items() if s not in added}
+        if len(pairs) + 256 != len(ranks):
+            return None
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def encode(self, text: str) -> np.ndarray:
-        first, *stretches = CUT(text) if ODD(text) else text.split(" ")
-        memo = self.memo
-        new = list(dict.fromkeys([s for s in stretches if s not in memo]))
-        if new:
-            memo.update((s, self.old[s]) for s in new if s in self.old)
-            self._learn([s for s in new if s not in memo])
-        parts = [self._ids(first).tobytes() if first else b"", *map(memo.__getitem__, stretches)]
-        for s in new:
-            if len(s) > 64:
-                del memo[s]
-        if len(memo) > MEMO:
-            self.memo, self.old = {}, memo
-        return np.frombuffer(b"".join(parts), np.uint32)
+        if self.ranked is None or len(text) > LONG_RUN and (
+                " " * LONG_RUN in text or max(map(len, text.split(" "))) > LONG_RUN):
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.ranked.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
 _ENCODERS: dict[int, Encoder] = {}
