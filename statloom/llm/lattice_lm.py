@@ -12,10 +12,12 @@ expected piece counts, over all training tokens, plus one per piece, give the
 piece probabilities that score the texts.  The vocabulary itself never changes.
 A character without a piece is spelled in the vocabulary's byte pieces.
 
-Scale: distinct words are counted per task before any shuffle.  Words are held
-against the training counts in two ways with the same result: at most ``HEADS``
-of the most frequent words, a constant bound, go to every task; the occurrences
-of all others are joined by shuffle, where no key is frequent any more.
+Scale: distinct words are counted per task before any shuffle, and every distinct
+word of all documents runs through the lattice once, into a table of words with
+their count and log probability.  Documents meet that table in two ways with the same
+result: at most ``HEADS`` of the most frequent words, a constant bound, go to every
+task; the occurrences of all others are joined by shuffle, where no key is frequent
+any more.
 
 Cases: a null or empty text is the end mark alone; long texts are scored whole;
 repeated rows are documents of their own, in counts and result; with no
@@ -37,7 +39,7 @@ from statloom.llm.common import crc_mod, doc_texts, materialize
 
 #: Most words whose counts are sent to every task.
 HEADS = 100_000
-#: Distinct words a counting task holds before it passes them on, and words whose score a worker remembers.
+#: Distinct words a counting task holds before it passes them on, and characters whose spelling a worker remembers.
 HELD = 200_000
 START = "▁"
 LOG10 = math.log(10)
@@ -142,28 +144,31 @@ def vocabulary(path: str) -> tuple[dict[str, float], list[float]]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c: occurrences in the training rows of ``docs`` (doc_id, text, held_out)."""
+    """word, c, every: occurrences in the training rows, and in all rows, of ``docs`` (doc_id, text, held_out)."""
     def run(batches):
-        seen: Counter = Counter()
+        seen: tuple[Counter, Counter] = (Counter(), Counter())  # learned from, held out
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
-                                              names=["word", "c"])
+            words = list(seen[0].keys() | seen[1].keys())
+            c = [seen[0][w] for w in words]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()), pa.array(c, pa.int64()), pa.array([n + seen[1][w] for n, w in zip(c, words)], pa.int64())],
+                names=["word", "c", "every"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(words_of(t))
-                if len(seen) > HELD:
+            for t, held_out in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen[held_out].update(words_of(t))
+                if len(seen[0]) + len(seen[1]) > HELD:
                     yield out()
-                    seen = Counter()
+                    seen = (Counter(), Counter())
         yield out()
 
-    return docs.where("NOT held_out").select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(
-        F.sum("c").alias("c"))
+    return docs.select("text", "held_out").mapInArrow(run, "word string, c long, every long").groupBy("word").agg(
+        F.sum("c").alias("c"), F.sum("every").alias("every"))
 
 
 def learn(counts: DataFrame, n_docs: int, vocabulary_: tuple[dict[str, float], list[float]]) -> tuple[dict, list, float]:
-    """Log probabilities of pieces, bytes and the end mark from the expected counts of the training words."""
+    """Log probabilities of pieces, bytes and the end mark from the expected counts of the training words (word, c)."""
     pieces, byte_weights = vocabulary_
     prior = counts.sparkSession.sparkContext.broadcast((pieces, byte_weights))
 
@@ -179,7 +184,7 @@ def learn(counts: DataFrame, n_docs: int, vocabulary_: tuple[dict[str, float], l
              pa.array([None if isinstance(k, str) else k for k in keys], pa.int32()),
              pa.array([total[k] for k in keys], pa.float64())], names=["piece", "byte", "n"])
 
-    rows = counts.mapInArrow(run, "piece string, byte int, n double").groupBy("piece", "byte").agg(
+    rows = counts.select("word", "c").where("c > 0").mapInArrow(run, "piece string, byte int, n double").groupBy("piece", "byte").agg(
         F.sum("n").alias("n")).collect()  # at most the vocabulary
     by_piece = {r.piece: r.n for r in rows if r.piece is not None}
     by_byte = {r.byte: r.n for r in rows if r.piece is None}
@@ -188,34 +193,30 @@ def learn(counts: DataFrame, n_docs: int, vocabulary_: tuple[dict[str, float], l
     return ({p: log(by_piece.get(p, 0.0)) for p in pieces}, [log(by_byte.get(b, 0.0)) for b in range(256)], log(n_docs))
 
 
-def _heads(counts: DataFrame, most: int) -> dict[str, int]:
+def word_scores(counts: DataFrame, model: tuple[dict, list, float]) -> DataFrame:
+    """word, c, every, lp: the log10 probability of each distinct word, over all its segmentations."""
+    held = counts.sparkSession.sparkContext.broadcast(model)
+
+    def run(parts):
+        pieces, byte_weights, _ = held.value
+        lattice = Lattice(pieces, byte_weights)
+        for b in parts:
+            lp = [lattice.forward(w)[-1] / LOG10 for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lp, pa.float64())], names=["word", "c", "every", "lp"])
+
+    return counts.select("word", "c", "every").mapInArrow(run, "word string, c long, every long, lp double")
+
+
+def _heads(words: DataFrame, most: int) -> list:
     """The words of the largest counts, as many whole powers of two down as fit into ``most``."""
-    sizes = counts.where("c > 0").groupBy(F.floor(F.log2("c")).alias("p")).count().collect()  # at most 63 rows
+    sizes = words.groupBy(F.floor(F.log2("every")).alias("p")).count().collect()  # at most 63 rows
     floor_, total = 64, 0
     for r in sorted(sizes, key=lambda r: -r.p):
         total += r["count"]
         if total > most:
             break
         floor_ = r.p
-    if floor_ > 62:
-        return {}
-    return {r.word: r.c for r in counts.where(F.col("c") >= (1 << floor_)).collect()}
-
-
-class _Memo(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, word):
-        got = self.old.get(word)
-        if got is None:
-            got = self.make(word)
-        if len(self) >= HELD:
-            self.old = dict(self)
-            self.clear()
-        self[word] = got
-        return got
+    return words.where(F.col("every") >= (1 << floor_)).collect() if floor_ <= 62 else []
 
 
 def score(docs: DataFrame, model: str, fold: int = 7, held: int = 2, heads: int = HEADS, id_col: str = "doc_id",
@@ -230,43 +231,44 @@ def score(docs: DataFrame, model: str, fold: int = 7, held: int = 2, heads: int
     counts = materialize(word_counts(texts))
     # an end mark for every training text
     n_docs = docs.where(crc_mod(F.col(id_col).cast("long"), fold) != held).count()
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n_train = totals.n + n_docs
     per = n_train + totals.v + (n_docs > 0) + 1
-    pieces, byte_weights, end = learn(counts, n_docs, vocabulary(model))
-    head = {w: math.log10((c + 1) / per) for w, c in _heads(counts, heads).items()}
-    held_ = spark.sparkContext.broadcast((pieces, byte_weights, end, head))
-    base_end = math.log10((n_docs + 1) / per)
+    learned = learn(counts, n_docs, vocabulary(model))
+    words = materialize(word_scores(counts, learned))
+    head = {r.word: (math.log10((r.c + 1) / per), r.lp, int(r.c > 0)) for r in _heads(words, heads)}
+    held_ = spark.sparkContext.broadcast(head)
+    base_end, end = math.log10((n_docs + 1) / per), learned[2] / LOG10
 
     def run(batches):
-        pieces, byte_weights, end, head = held_.value
-        lattice = Lattice(pieces, byte_weights)
-        memo = _Memo(lambda w: lattice.forward(w)[-1])
-        log_p = memo.__getitem__
+        known = held_.value.get
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 cols: list[list] = [[], [], [], [], []]
                 for t in part.column("text").to_pylist():
                     ws = words_of(t)
-                    tail = [w for w in ws if w not in head]
+                    found = [known(w) for w in ws]
+                    here = [f for f in found if f]
+                    base, lp, seen = zip(*here) if here else ((), (), ())
                     cols[0].append(len(ws) + 1)
-                    cols[1].append(len(ws) - len(tail) + (n_docs > 0))
-                    cols[2].append(sum([head[w] for w in ws if w in head]) + base_end)
-                    cols[3].append((sum(map(log_p, ws)) + end) / LOG10)
-                    cols[4].append(tail)
+                    cols[1].append(sum(seen) + (n_docs > 0))
+                    cols[2].append(sum(base) + base_end)
+                    cols[3].append(sum(lp) + end)
+                    cols[4].append([w for w, f in zip(ws, found) if not f])
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "tail"])
 
     rows = texts.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
-                                 "score double, tail array<string>")
+                                 "lp double, tail array<string>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
-    tails = rows.select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
-    tails = tails.groupBy("row").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(per)))).alias("more"),
-                                     F.count("c").alias("known"))
+    tails = rows.select("row", F.explode("tail").alias("word")).join(words, "word")
+    tails = tails.groupBy("row").agg(F.sum(F.log10((F.col("c") + 1) / F.lit(float(per)))).alias("more"),
+                                     F.sum("lp").alias("more_lp"), F.count(F.when(F.col("c") > 0, 1)).alias("known"))
     return rows.drop("tail").join(tails, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("lp") + F.coalesce("more_lp", F.lit(0.0))).alias("score"))

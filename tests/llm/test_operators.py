@@ -516,6 +516,20 @@ def test_lattice_lm_base_equals_brute_force(spark, heads):
     assert all(r.score < 0 for r in got)
 
 
+@pytest.mark.parametrize("heads", [100_000, 0])
+def test_lattice_lm_score_is_the_sum_over_words(spark, heads):
+    from pyspark.sql import functions as F
+    docs = odd_docs(spark)
+    texts = lattice_lm.doc_texts(docs).withColumn("held_out", lattice_lm.crc_mod(F.col("doc_id"), 7) == 2)
+    n_train = texts.where("NOT held_out").count()
+    pieces, byte_weights, end = lattice_lm.learn(lattice_lm.word_counts(texts), n_train, lattice_lm.vocabulary(PIECES))
+    lattice = lattice_lm.Lattice(pieces, byte_weights)
+    want = sorted((sum(lattice.forward(w)[-1] for w in lattice_lm.words_of(r.text or "")) + end) / math.log(10)
+                  for r in docs.collect())
+    got = sorted(r.score for r in lattice_lm.score(docs, PIECES, heads=heads).collect())
+    assert np.allclose(got, want, rtol=1e-9)
+
+
 def test_lattice_lm_on_an_empty_table(spark):
     assert lattice_lm.score(odd_docs(spark).limit(0), PIECES).count() == 0
 
