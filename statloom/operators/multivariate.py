@@ -1,8 +1,9 @@
-"""Multivariate analysis (M1-M4, G3, G5) on Spark ML.
+"""Multivariate analysis.
 
-Standardisation uses the population std (as the reference's scaler); the
-covariance / Gram matrices are aggregated across executors by Spark ML and
-only the p x p matrix reaches the driver (p = number of columns).
+Standardisation uses the population std (as the reference's scaler).  The Gram
+matrix of the components is one scan in which every task adds up its rows; only
+the p x p matrix reaches the driver (p = number of columns).  Clustering runs on
+Spark ML.  FAMD (M2) is in :mod:`statloom.operators.factor`.
 """
 
 from __future__ import annotations
@@ -12,14 +13,17 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.exprs import numeric_columns
+from statloom.operators.factor import famd
+from statloom.operators.mixture import added_over_tasks
 from statloom.operators.prepare import complete_cases, standardize
 
+__all__ = ["famd", "kmeans_profile", "kmeans_sweep", "pca", "scree", "score_plane"]
+
 K_RANGE = range(2, 11)
 RESTARTS = 10
 SEED = 42
@@ -36,26 +40,38 @@ def _scaled_vectors(df: DataFrame, cols: list[str], key: str | None):
     return VectorAssembler(inputCols=cols, outputCol="features").transform(z), cc
 
 
-def pca(df: DataFrame, cols: list[str] | None = None, key: str | None = None
-        ) -> dict[str, DataFrame]:
+def _components(df: DataFrame, cols: list[str], key: str | None):
+    """Standardised complete rows, their number, falling eigenvalues of the correlation matrix and its vectors (columns)."""
+    keep = [key] if key else []
+    z = standardize(complete_cases(df.select(*keep, *cols), cols), cols, keep=keep)
+    p = len(cols)
+    s = added_over_tasks(z.select(*cols), lambda x: np.concatenate([[len(x)], (x.T @ x).ravel()]))
+    n = int(s[0]) if len(s) else 0
+    values, vectors = np.linalg.eigh(s[1:].reshape(p, p) / n) if n else (np.zeros(p), np.eye(p))
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
+    signs = np.where(vectors[np.abs(vectors).argmax(0), np.arange(p)] < 0, -1.0, 1.0)
+    return z, n, values, vectors * signs
+
+
+def _scores(z: DataFrame, cols: list[str], vectors: np.ndarray, k: int, keep: list[str]) -> DataFrame:
+    return z.select(*keep, *[sum((F.col(c) * float(vectors[i, j]) for i, c in enumerate(cols)), F.lit(0.0)).alias(f"pc{j + 1}")
+                             for j in range(k)])
+
+
+def pca(df: DataFrame, cols: list[str] | None = None, key: str | None = None, loading_components: int = LOADING_COMPONENTS,
+        score_components: int = SCORE_COMPONENTS, score_rows: int | None = SCORE_ROWS) -> dict[str, DataFrame]:
     """M1 (+G3): variance ratios, cumulative, eigenvalues, 95 % count, Kaiser
-    count, loadings of the first 5 components and 3 scores for 100 rows.
+    count, loadings of the first components and scores of the first rows (None: all).
 
     Eigenvalue = ratio x p x n / (n - 1) (covariance of population-scaled
     data); signs are fixed so that each component's largest |loading| is
     positive.
     """
     cols = cols or numeric_columns(df)
-    vec, cc = _scaled_vectors(df, cols, key)
-    vec = vec.cache()
-    n = vec.count()
+    keep = [key] if key else []
     p = len(cols)
-    model = PCA(k=p, inputCol="features", outputCol="pcs").fit(vec)
-    ratio = model.explainedVariance.toArray()
-    comps = model.pc.toArray()  # p x k, columns are components
-    signs = np.array([1.0 if comps[np.argmax(np.abs(comps[:, j])), j] >= 0 else -1.0
-                      for j in range(comps.shape[1])])
-    comps = comps * signs
+    z, n, values, comps = _components(df, cols, key)
+    ratio = values / values.sum() if values.sum() else values
     spark = df.sparkSession
     cum = np.cumsum(ratio)
     eig = ratio * p * n / (n - 1) if n > 1 else ratio * 0
@@ -64,22 +80,22 @@ def pca(df: DataFrame, cols: list[str] | None = None, key: str | None = None
     n95 = int(np.argmax(cum >= 0.95 - 1e-12) + 1)
     summary = spark.createDataFrame([(n, p, n95, int((eig > 1).sum()))],
                                     "n long, n_columns int, n_components_95 int, kaiser int")
-    load_rows = [(cols[i], j + 1, float(comps[i, j])) for i in range(p)
-                 for j in range(min(LOADING_COMPONENTS, comps.shape[1]))]
+    load_rows = [(cols[i], j + 1, float(comps[i, j])) for i in range(p) for j in range(min(loading_components, p))]
     loadings = spark.createDataFrame(load_rows, "variable string, component int, loading double")
-    k = min(SCORE_COMPONENTS, comps.shape[1])
-    proj = comps[:, :k]
-    arr = vector_to_array("features")
-    scored = vec.select(*([key] if key else []), *[
-        sum(arr[i] * float(proj[i, j]) for i in range(p)).alias(f"pc{j + 1}") for j in range(k)])
-    if key:
-        scored = scored.orderBy(key).limit(SCORE_ROWS)
-    else:
-        scored = scored.limit(SCORE_ROWS)
+    scored = _scores(z, cols, comps, min(score_components, p), keep)
+    if score_rows is not None:
+        scored = (scored.orderBy(key) if key else scored).limit(score_rows)
     return {"pca_variance": variance, "pca_summary": summary, "pca_loadings": loadings,
             "pca_scores": scored}
 
 
+def score_plane(df: DataFrame, cols: list[str] | None = None, key: str | None = None) -> DataFrame:
+    """The first two scores of every complete row."""
+    cols = cols or [c for c in numeric_columns(df) if c != key]
+    z, _, _, vectors = _components(df, cols, key)
+    return _scores(z, cols, vectors, min(2, len(cols)), [key] if key else [])
+
+
 def scree(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Ratio and cumulative per component."""
     return pca(df, cols)["pca_variance"].select("component", "explained_ratio", "cumulative")
@@ -91,10 +107,13 @@ def kmeans_sweep(df: DataFrame, cols: list[str] | None = None, k_range=K_RANGE,
 
     Each k keeps the best of ``restarts`` k-means|| runs (lowest cost).
     Silhouette is Spark's squared-Euclidean version (documented difference).
+    k stays below the number of complete rows.
     """
     cols = cols or numeric_columns(df)
     vec, _ = _scaled_vectors(df, cols, None)
     vec = vec.select("features").cache()
+    n = vec.count()
+    k_range = [k for k in k_range if k < n]
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
 
     def fit(kr):
@@ -113,6 +132,7 @@ def kmeans_sweep(df: DataFrame, cols: list[str] | None = None, k_range=K_RANGE,
         _, _, cost, best = min((f for f in fitted if f[0] == k), key=lambda f: (f[2], f[1]))
         sil = ev.evaluate(best.transform(vec))
         rows.append((k, float(cost), float(sil)))
+    vec.unpersist()
     spark = df.sparkSession
     out = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     w = Window.orderBy(F.desc("silhouette"), "k")  # at most 9 rows
@@ -135,58 +155,8 @@ def kmeans_profile(df: DataFrame, k: int, cols: list[str] | None = None, restart
         *[a for c in cols for a in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
     g = lab.groupBy("prediction").agg(F.count(F.lit(1)).alias("size"),
                                       *[F.avg(c).alias(c) for c in cols])
-    return g.select(F.col("prediction").alias("cluster"), "size",
+    rows = g.select(F.col("prediction").alias("cluster"), "size",
                     *[(F.col(c) * F.lit(st[f"s_{c}"] or 0.0) + F.lit(st[f"m_{c}"])).alias(c) for c in cols])
-
-
-def famd(df: DataFrame, num_cols: list[str], cat_cols: list[str], n_components: int = 10,
-         key: str | None = None, max_levels: int = 500) -> dict[str, DataFrame]:
-    """M2: PCA on [z-scores, (indicator - share) / sqrt(share)] (Pages 2004).
-
-    Returns ``famd_inertia`` (share and cumulative per component),
-    ``famd_rows`` (3 coordinates for the first 100 rows by ``key``) and
-    ``famd_columns`` (Pearson correlation of every numeric column and level
-    indicator with the first 3 components).  Levels are collected per
-    categorical; more than ``max_levels`` levels is refused (the indicator
-    matrix would be as wide as the data).
-    """
-    from statloom.operators.correlate import corr_pearson
-    spark = df.sparkSession
-    keep = [key] if key else []
-    x = complete_cases(df.select(*keep, *num_cols, *cat_cols), num_cols + cat_cols)
-    ind_cols, exprs = [], []
-    rows = x.count()
-    for c in cat_cols:
-        lv = x.groupBy(c).agg(F.count(F.lit(1)).alias("n")).limit(max_levels + 1).collect()
-        if len(lv) > max_levels:
-            raise ValueError(f"{c}: more than {max_levels} levels for FAMD indicators")
-        for r in sorted(lv, key=lambda r: str(r[0])):
-            share = r["n"] / rows
-            name = f"{c}__{r[0]}"
-            ind_cols.append(name)
-            exprs.append(((F.col(c) == F.lit(r[0])).cast("double") - share) / float(np.sqrt(share)))
-    z = standardize(x, num_cols, keep=keep + cat_cols)
-    z = z.select(*keep, *num_cols, *[e.alias(nm) for e, nm in zip(exprs, ind_cols)])
-    cols = num_cols + ind_cols
-    vec = VectorAssembler(inputCols=cols, outputCol="features").transform(z).cache()
-    k = min(n_components, len(num_cols) + len(cat_cols), len(cols))
-    model = PCA(k=len(cols), inputCol="features", outputCol="pcs").fit(vec)
-    ratio = model.explainedVariance.toArray()[:k]
-    cum = np.cumsum(ratio)
-    inertia = spark.createDataFrame([(j + 1, float(ratio[j]), float(cum[j])) for j in range(k)],
-                                    "component int, inertia double, cumulative double")
-    comps = model.pc.toArray()
-    signs = np.array([1.0 if comps[np.argmax(np.abs(comps[:, j])), j] >= 0 else -1.0
-                      for j in range(comps.shape[1])])
-    comps = comps * signs
-    kk = min(SCORE_COMPONENTS, comps.shape[1])
-    arr = vector_to_array("features")
-    coords = vec.select(*keep, *cols, *[sum(arr[i] * float(comps[i, j]) for i in range(len(cols))).alias(f"dim{j + 1}")
-                                      for j in range(kk)])
-    rows_out = coords.select(*keep, *[f"dim{j + 1}" for j in range(kk)])
-    rows_out = (rows_out.orderBy(key) if key else rows_out).limit(SCORE_ROWS)
-    pr = corr_pearson(coords.select(*cols, *[f"dim{j + 1}" for j in range(kk)]),
-                      cols + [f"dim{j + 1}" for j in range(kk)])
-    colcorr = pr.filter(F.col("var2").startswith("dim") & ~F.col("var1").startswith("dim")).select(
-        F.col("var1").alias("variable"), F.col("var2").alias("component"), F.col("r").alias("correlation"))
-    return {"famd_inertia": inertia, "famd_rows": rows_out, "famd_columns": colcorr}
+    out = df.sparkSession.createDataFrame(rows.collect(), rows.schema)  # k rows
+    vec.unpersist()
+    return out
