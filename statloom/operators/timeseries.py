@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -271,17 +270,7 @@ ADF_SCHEMA = T.StructType([
     T.StructField("stationary", T.BooleanType())])
 
 
-def _adf_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("bucket")
-    x = pdf["v"].to_numpy(float)
-    if len(x) < MIN_POINTS or np.std(x) == 0:
-        return pd.DataFrame(columns=[f.name for f in ADF_SCHEMA.fields])
-    r = adf_test(x)
-    r["series"] = pdf["series"].iloc[0]
-    r["stationary"] = r["p_value"] < 0.05
-    return pd.DataFrame([r])[[f.name for f in ADF_SCHEMA.fields]]
-
-
 def ts_adf(series: DataFrame) -> DataFrame:
-    """Augmented Dickey-Fuller per series (grouped pandas on bucketed points)."""
-    return series.select("series", "bucket", "v").groupBy("series").applyInPandas(_adf_group, ADF_SCHEMA)
+    """Augmented Dickey-Fuller per series; see :mod:`statloom.operators.stationarity`."""
+    from statloom.operators.stationarity import adf
+    return adf(series)
