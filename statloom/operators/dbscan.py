@@ -7,12 +7,17 @@ cell are within ``eps``, so
 
 * a cell holding ``min_samples`` points makes all of them core with no
   distance test, and all core points of a cell share one cluster;
-* neighbours of a point can only lie in cells whose box distance is below
-  ``eps`` (a fixed offset list, computed once);
+* the neighbours of a cell are the occupied cells whose boxes lie within
+  ``eps``; they are found by a join on a coarser grid over at most three
+  columns, whatever the number of columns;
 * a neighbour cell lying entirely inside a point's eps-ball (farthest corner
   within ``eps``) is counted, or gives its label, without distance tests, and
   two core cells whose farthest corners are within ``eps`` are linked without
-  pairs; point pairs are formed only for partially covered cells;
+  tests;
+* elsewhere points meet the blocks of the neighbour cell in numpy and return one row
+  each (a count, or whether a core point is near); of two core cells only the points
+  within ``eps`` of the other cell's bounds meet, and the first pair found ends
+  the search.  Pairs of points are never rows;
 * clusters are connected components of the *cell* graph whose edges join
   cells with a pair of core points within ``eps``; alternating star rounds
   contract it until nothing changes (``functions.components``).
@@ -26,6 +31,8 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,98 +43,152 @@ from statloom.session import ensure_checkpoint_dir
 
 EPS = 0.5
 MIN_SAMPLES = 5
+#: Columns of the coarser grid, and points of a block that meet in one task.
+GRID_COLUMNS = 3
+BLOCK = 4_096
 
 
-def _offsets(d: int, side: float, eps: float) -> list[tuple[int, ...]]:
-    r = int(math.ceil(eps / side))
-    out = []
-    for o in itertools.product(range(-r, r + 1), repeat=d):
-        gap = math.sqrt(sum(max(abs(k) - 1, 0) ** 2 for k in o)) * side
-        if gap < eps:
-            out.append(o)
-    return out
+def _sum_of_squares(zipped, f):
+    return F.aggregate(F.transform(zipped, f), F.lit(0.0), lambda s, v: s + v * v)
+
+
+def _cell_pairs(cells: DataFrame, d: int, side: float, eps: float) -> DataFrame:
+    """``(cell, ncell, n, far2)``: occupied cells whose boxes lie within eps (the cell itself too), with the
+    neighbour's weight and the squared distance of the farthest corners."""
+    g = min(d, GRID_COLUMNS)
+    # middles of two such cells are less than eps + side apart in every column
+    coarse = cells.withColumn("k", F.transform(F.slice("cell", 1, g), lambda c: F.floor((c + 0.5) * F.lit(side / (eps + side)))))
+    around = F.array(*[F.array(*[F.element_at("k", i + 1) + F.lit(o) for i, o in enumerate(step)])
+                       for step in itertools.product((-1, 0, 1), repeat=g)])
+    left = coarse.select("cell", F.explode(around).alias("k"))
+    right = coarse.select(F.col("cell").alias("ncell"), F.col("cell_n").alias("n"), "k")
+    gaps = F.arrays_zip("cell", "ncell")
+    near2 = _sum_of_squares(gaps, lambda t: F.greatest(F.abs(t["cell"] - t["ncell"]) - 1, F.lit(0)) * F.lit(side))
+    far2 = _sum_of_squares(gaps, lambda t: (F.abs(t["cell"] - t["ncell"]) + 1) * F.lit(side))
+    return left.join(right, "k").where(near2 <= eps * eps * (1 + 1e-9)).select("cell", "ncell", "n", far2.alias("far2"))
+
+
+def _stack(column) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in column])
+
+
+def _within(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows of x and y are within eps, columns added in order."""
+    total = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        total += (x[:, j, None] - y[None, :, j]) ** 2
+    return total <= eps * eps
+
+
+def _meet(asking: DataFrame, pts: DataFrame, sizes: DataFrame, eps: float, block: int, schema: str, answer) -> DataFrame:
+    """``answer(asking rows, block rows, near)`` for the asking rows (ncell, x, ...) and each block of their cell's points.
+
+    ``near(i)`` tells which block rows lie within eps of the asking rows ``i``.
+    """
+    blocks = sizes.select(F.col("cell").alias("ncell"), F.ceil(F.col("rows") / block).cast("int").alias("blks"))
+    wanted = asking.join(blocks, "ncell").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blks") - 1))).drop("blks")
+    wanted = wanted.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(1 << 20)))  # many askers of one block go to several tasks
+    parts = wanted.groupBy("ncell", "blk").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    wanted = wanted.join(parts, ["ncell", "blk"]).withColumn("part", (F.col("part") % F.col("parts")).cast("int")).drop("parts")
+    held = pts.withColumnRenamed("cell", "ncell").join(blocks, "ncell").withColumn(
+        "blk", F.pmod(F.xxhash64("x"), F.col("blks")).cast("int")).drop("blks")
+    held = held.join(parts, ["ncell", "blk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    held = held.toDF(*held.columns)  # columns of its own: both sides come from the same points
+    keys = ["ncell", "blk", "part"]
+
+    def run(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in schema.split(", ")]
+        if not len(q) or not len(e):
+            return pd.DataFrame([], columns=names)
+        x, y = _stack(q["x"]), _stack(e["x"])
+        return pd.DataFrame(answer(q, e, lambda i: _within(x[i], y, eps)), columns=names)
+
+    return wanted.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def _slices(n: int, size: int = 512):
+    return (slice(s, s + size) for s in range(0, n, size))
 
 
 def dbscan_labels(df: DataFrame, cols: list[str] | None = None, eps: float = EPS,
-                  min_samples: int = MIN_SAMPLES) -> DataFrame:
+                  min_samples: int = MIN_SAMPLES, block: int = BLOCK) -> DataFrame:
     """``(vector columns..., w, core, label)`` per distinct standardised vector."""
     cols = cols or numeric_columns(df)
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(df.sparkSession)
     d = len(cols)
-    side = eps / math.sqrt(d)
+    side = eps / math.sqrt(d) * (1 - 1e-12)
     z = standardize(complete_cases(df.select(*cols), cols), cols)
     pts = z.groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
-    pts = pts.select(*cols, "w", F.array(*[F.floor(F.col(c) / side) for c in cols]).alias("cell"))
-    pts = pts.withColumn("pid", F.xxhash64(*cols)).checkpoint(eager=True)
-    cells = pts.groupBy("cell").agg(F.sum("w").alias("cell_n"))
-    offs = _offsets(d, side, eps)
-    off_arr = F.array(*[F.array(*[F.lit(k) for k in o]) for o in offs])
-
-    def neighbour_cells(frame):
-        return frame.withColumn("_o", F.explode(off_arr)).withColumn(
-            "ncell", F.transform(F.arrays_zip("cell", "_o"), lambda t: t["cell"] + t["_o"])).drop("_o")
-
-    p = pts.join(cells, "cell")
-    sparse = p.filter(F.col("cell_n") < min_samples)
-
-    def box_far2(point_cols, cell_col):
-        """Squared distance from a point to the farthest corner of a cell box."""
-        return sum(F.pow(F.greatest(F.abs(F.col(pc) - F.element_at(cell_col, k + 1) * side),
-                                    F.abs(F.col(pc) - (F.element_at(cell_col, k + 1) + 1) * side)), 2)
-                   for k, pc in enumerate(point_cols))
-
-    # degree of points in sparse cells: whole neighbour cells inside the eps-ball
-    # count without any distance test; only partially covered cells form pairs
-    nb = neighbour_cells(sparse.select("pid", "cell", *cols)).join(
-        cells.select(F.col("cell").alias("ncell"), "cell_n"), "ncell")
-    nb = nb.withColumn("_full", box_far2(cols, F.col("ncell")) <= eps * eps)
-    deg_full = nb.filter("_full").groupBy("pid").agg(F.sum("cell_n").alias("d1"))
-    part = nb.filter(~F.col("_full")).select("pid", "ncell", *cols).alias("a").join(
-        pts.select(F.col("cell").alias("ncell"), *[F.col(c).alias(f"b_{c}") for c in cols],
-                   F.col("w").alias("bw")).alias("b"), "ncell")
-    d2 = sum((F.col(f"a.{c}") - F.col(f"b.b_{c}")) ** 2 for c in cols)
-    deg_part = part.filter(d2 <= eps * eps).groupBy("pid").agg(F.sum("bw").alias("d2"))
-    deg = deg_full.join(deg_part, "pid", "full").select(
-        "pid", (F.coalesce("d1", F.lit(0)) + F.coalesce("d2", F.lit(0))).alias("degree"))
-    core = (p.join(deg, "pid", "left")
-            .withColumn("core", (F.col("cell_n") >= min_samples) |
-                        (F.coalesce("degree", F.lit(0)) >= min_samples))
-            .drop("degree").checkpoint(eager=True))
-    cores = core.filter("core")
-    ccells = cores.select("cell").distinct().checkpoint(eager=True)
-    # cell graph: two neighbouring core cells are joined when every cross pair is
-    # within eps (farthest corners) or, otherwise, when some core pair is
-    cpairs = (neighbour_cells(ccells).join(ccells.select(F.col("cell").alias("ncell")), "ncell")
-              .filter(F.col("cell") != F.col("ncell")))
-    far2 = sum(F.pow((F.abs(F.element_at("cell", k + 1) - F.element_at("ncell", k + 1)) + 1) * side, 2)
-               for k in range(d))
-    cpairs = cpairs.withColumn("_full", far2 <= eps * eps)
-    full_edges = cpairs.filter("_full").select(F.col("cell").alias("src"), F.col("ncell").alias("dst"))
-    cc = cores.select("cell", *cols).join(cpairs.filter(~F.col("_full")).select("cell", "ncell"), "cell").alias("a").join(
-        cores.select(F.col("cell").alias("ncell"), *[F.col(c).alias(f"b_{c}") for c in cols]).alias("b"),
-        "ncell")
-    d2c = sum((F.col(f"a.{c}") - F.col(f"b.b_{c}")) ** 2 for c in cols)
-    part_edges = cc.filter(d2c <= eps * eps).select(F.col("a.cell").alias("src"), F.col("ncell").alias("dst"))
-    edges = full_edges.unionByName(part_edges).select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"))
-    comp = connected_components(edges)
-    own = ccells.withColumn("node", F.xxhash64("cell"))
-    labels = own.join(comp, "node", "left").select("cell", F.coalesce("component", "node").alias("label"))
-    core_l = cores.join(labels, "cell").select("pid", "label")
-    # border points: whole core cells within eps give their label directly
-    border = core.filter(~F.col("core")).select("pid", "cell", *cols)
-    bn = neighbour_cells(border).join(labels.select(F.col("cell").alias("ncell"), "label"), "ncell")
-    bn = bn.withColumn("_full", box_far2(cols, F.col("ncell")) <= eps * eps)
-    b_full = bn.filter("_full").groupBy("pid").agg(F.min("label").alias("label"))
-    bc = bn.filter(~F.col("_full")).select("pid", "ncell", *cols).alias("a").join(
-        cores.select(F.col("cell").alias("ncell"), *[F.col(c).alias(f"b_{c}") for c in cols]).alias("b"),
-        "ncell").join(labels.select(F.col("cell").alias("ncell"), "label"), "ncell")
-    d2b = sum((F.col(f"a.{c}") - F.col(f"b.b_{c}")) ** 2 for c in cols)
-    b_part = bc.filter(d2b <= eps * eps).groupBy("pid").agg(F.min("label").alias("label"))
-    border_l = b_full.unionByName(b_part).groupBy("pid").agg(F.min("label").alias("label"))
-    lab = core_l.unionByName(border_l)
-    return (core.join(lab, "pid", "left")
-            .select(*cols, "w", "core", F.coalesce("label", F.lit(-1)).alias("label")))
+    pts = pts.select(F.array(*cols).alias("x"), "w", F.array(*[F.floor(F.col(c) / side) for c in cols]).alias("cell"))
+    pts = pts.withColumn("pid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    cells = pts.groupBy("cell").agg(F.sum("w").alias("cell_n"), F.count("*").alias("rows")).checkpoint(eager=True)
+    near = _cell_pairs(cells, d, side, eps).checkpoint(eager=True)
+    p = pts.join(cells.drop("rows"), "cell")
+
+    def neighbours(frame, table):
+        """The neighbour cells of points, and whether all of a cell lies in the point's eps-ball."""
+        far2 = _sum_of_squares(F.arrays_zip("x", "ncell"), lambda t: F.greatest(
+            F.abs(t["x"] - t["ncell"] * side), F.abs(t["x"] - (t["ncell"] + 1) * side)))
+        close2 = _sum_of_squares(F.arrays_zip("x", "ncell"), lambda t: F.greatest(
+            t["ncell"] * side - t["x"], t["x"] - (t["ncell"] + 1) * side, F.lit(0.0)))
+        out = frame.join(table, "cell").where(close2 <= eps * eps * (1 + 1e-9))
+        return out.withColumn("whole", far2 <= eps * eps * (1 - 1e-9))
+
+    # degree of points in sparse cells
+    nb = neighbours(p.where(F.col("cell_n") < min_samples).select("pid", "x", "cell"), near).checkpoint(eager=True)
+    whole = nb.where("whole").groupBy("pid").agg(F.sum("n").alias("n"))
+
+    def count(q, e, close):
+        w = e["w"].to_numpy()
+        return [(pid, int(n)) for i in _slices(len(q)) for pid, n in zip(q["pid"].iloc[i], close(i) @ w)]
+
+    counted = _meet(nb.where("NOT whole").select("ncell", "pid", "x"), pts.select("cell", "x", "w"), cells, eps, block,
+                    "pid long, n long", count)
+    degree = whole.unionByName(counted).groupBy("pid").agg(F.sum("n").alias("degree"))
+    core = (p.join(degree, "pid", "left")
+            .withColumn("core", (F.col("cell_n") >= min_samples) | (F.coalesce("degree", F.lit(0)) >= min_samples))
+            .drop("degree", "cell_n").checkpoint(eager=True))
+    cores = core.where("core").select("cell", "x", "pid")
+    bound = lambda f: F.array(*[f(F.get("x", F.lit(j))) for j in range(d)])
+    ccells = cores.groupBy("cell").agg(F.count("*").alias("rows"), bound(F.min).alias("low"), bound(F.max).alias("high")
+                                       ).checkpoint(eager=True)
+    # links of core cells: by their corners, else by their points
+    links = near.where("cell < ncell").join(ccells.select("cell"), "cell").join(
+        ccells.select(F.col("cell").alias("ncell"), "low", "high"), "ncell")
+    sure = links.where(F.col("far2") <= eps * eps * (1 - 1e-9)).select("cell", "ncell")
+    gap2 = _sum_of_squares(F.arrays_zip("x", "low", "high"), lambda t: F.greatest(t["low"] - t["x"], t["x"] - t["high"], F.lit(0.0)))
+    facing = cores.join(links.where(F.col("far2") > eps * eps * (1 - 1e-9)).select("cell", "ncell", "low", "high"), "cell")
+    facing = facing.where(gap2 <= eps * eps * (1 + 1e-9)).select("cell", "ncell", "x")
+
+    def linked(q, e, close):
+        out = []
+        for cell, own in q.reset_index(drop=True).groupby(q["cell"].map(tuple).to_numpy()):
+            at = own.index.to_numpy()
+            if any(close(at[i]).any() for i in _slices(len(at))):
+                out.append((list(cell), e["ncell"].iloc[0]))
+        return out
+
+    tested = _meet(facing, cores.select("cell", "x"), ccells, eps, block, "cell array<bigint>, ncell array<bigint>", linked)
+    cell_ids = ccells.select("cell", F.monotonically_increasing_id().alias("node")).checkpoint(eager=True)
+    edges = sure.unionByName(tested).distinct().join(cell_ids.withColumnRenamed("node", "a"), "cell").join(
+        cell_ids.toDF("ncell", "b"), "ncell").select("a", "b")
+    comp = connected_components(edges).toDF("_n", "component")
+    labels = cell_ids.join(comp, F.col("node") == F.col("_n"), "left").select("cell", F.coalesce("component", "node").alias("label"))
+    labels = labels.checkpoint(eager=True)
+    # border points
+    at_core = near.join(labels.select(F.col("cell").alias("ncell"), "label"), "ncell")
+    bn = neighbours(core.where(~F.col("core")).select("pid", "x", "cell"), at_core).checkpoint(eager=True)
+
+    def touched(q, e, close):
+        hit = np.concatenate([close(i).any(1) for i in _slices(len(q))])
+        return list(zip(q["pid"][hit], q["label"][hit]))
+
+    border = _meet(bn.where("NOT whole").select("ncell", "pid", "x", "label"), cores.select("cell", "x"), ccells, eps, block,
+                   "pid long, label long", touched)
+    border = bn.where("whole").select("pid", "label").unionByName(border).groupBy("pid").agg(F.min("label").alias("label"))
+    of = cores.join(labels, "cell").select("pid", "label").unionByName(border)
+    return core.join(of, "pid", "left").select(*[F.get("x", F.lit(j)).alias(c) for j, c in enumerate(cols)], "w", "core",
+                                               F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def dbscan_summary(df: DataFrame, cols: list[str] | None = None, eps: float = EPS,
