@@ -130,6 +130,28 @@ _VEC_2D_SQL = """SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embeddin
   label FROM embeddings"""
 
 
+def _vec_8d(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(8)], "label")
+
+
+_VEC_8D_SQL = "SELECT vec_id, " + ", ".join(
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(8)) + ", label FROM embeddings"
+
+
+def _customer_gaps(spark, sf):
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    return c.select("c_custkey", F.when(k % 6 != 0, F.col("c_acctbal")).alias("c_acctbal"),
+                    F.when(k % 10 != 1, F.col("c_nationkey")).alias("c_nationkey"),
+                    F.when(k % 15 != 1, F.length("c_mktsegment") * 100.0 + k % 7).alias("seg"))
+
+
+_CUSTOMER_GAPS_SQL = """SELECT c_custkey, CASE WHEN c_custkey % 6 <> 0 THEN c_acctbal END AS c_acctbal,
+  CASE WHEN c_custkey % 10 <> 1 THEN CAST(c_nationkey AS DOUBLE) END AS c_nationkey,
+  CASE WHEN c_custkey % 15 <> 1 THEN CAST(length(c_mktsegment) AS DOUBLE) * 100.0::DOUBLE + c_custkey % 7 END AS seg FROM customer"""
+
+
 def _doc_lines(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -149,6 +171,8 @@ FRAMES = {
     "orders_weekly": (_orders_weekly, _ORDERS_WEEKLY_SQL),
     "dup_rows": (_dup_rows, _DUP_ROWS_SQL),
     "vec_2d": (_vec_2d, _VEC_2D_SQL),
+    "vec_8d": (_vec_8d, _VEC_8D_SQL),
+    "customer_gaps": (_customer_gaps, _CUSTOMER_GAPS_SQL),
     "doc_lines": (_doc_lines, _DOC_LINES_SQL),
 }
 

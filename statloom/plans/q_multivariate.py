@@ -6,6 +6,7 @@ from statloom.operators import multivariate as M
 from statloom.plans.catalog import register
 from statloom.plans.fixtures import frame, sql
 
+VEC8 = [f"x{i}" for i in range(8)]
 _ROLL = ["n_lines", "sum_qty", "sum_price", "avg_disc"]
 
 
@@ -34,6 +35,11 @@ def scree(spark, sf):
     return M.scree(frame(spark, sf, "part_numeric"), ["seq_no", "p_size", "p_retailprice"])
 
 
+@register("scree_scores")
+def scree_scores(spark, sf):
+    return M.score_plane(frame(spark, sf, "vec_8d"), VEC8, key="vec_id")
+
+
 @register("famd_inertia")
 def famd_inertia(spark, sf):
     return M.famd(frame(spark, sf, "customer_mix"), ["c_acctbal", "c_nationkey"], ["c_mktsegment"])["famd_inertia"]
@@ -52,12 +58,14 @@ def famd_columns(spark, sf):
 
 @register("kmeans_sweep")
 def kmeans_sweep(spark, sf):
-    return M.kmeans_sweep(frame(spark, sf, "vec_2d"), ["x", "y"])
+    return M.kmeans_sweep(frame(spark, sf, "vec_8d"), VEC8)
 
 
 @register("kmeans_profile")
 def kmeans_profile(spark, sf):
-    return M.kmeans_profile(frame(spark, sf, "vec_2d"), 3, ["x", "y"])
+    """Of the best k of the sweep."""
+    vectors = frame(spark, sf, "vec_8d")
+    return M.kmeans_profile(vectors, M.kmeans_sweep(vectors, VEC8).where("is_best").first()["k"], VEC8)
 
 
 _DB_SQL = sql("vec_2d") + """SELECT * FROM (WITH z AS (
@@ -94,3 +102,20 @@ def dbscan_summary(spark, sf):
 def dbscan_sizes(spark, sf):
     from statloom.operators.dbscan import dbscan_summary as db
     return db(frame(spark, sf, "vec_2d"), ["x", "y"])["sizes"]
+
+
+def _db8_sql() -> str:
+    z = ", ".join(f"(x{i} - avg(x{i}) OVER ()) / stddev_pop(x{i}) OVER () AS x{i}" for i in range(8))
+    d2 = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(8))
+    return sql("vec_8d") + f"""SELECT * FROM (WITH z AS (SELECT vec_id, {z} FROM vec_8d),
+nb AS (SELECT a.vec_id AS a, b.vec_id AS b FROM z a JOIN z b ON {d2} <= 2.25),
+core AS (SELECT a AS vec_id FROM nb GROUP BY a HAVING count(*) >= 5),
+reach AS (SELECT DISTINCT nb.a AS vec_id FROM nb JOIN core ON nb.b = core.vec_id)
+SELECT (SELECT count(*) FROM core) AS n_core,
+  (SELECT count(*) FROM z WHERE vec_id NOT IN (SELECT vec_id FROM reach)) AS n_noise)"""
+
+
+@register("dbscan_core_noise_8d", sql=_db8_sql())
+def dbscan_core_noise_8d(spark, sf):
+    from statloom.operators.dbscan import dbscan_summary as db
+    return db(frame(spark, sf, "vec_8d"), VEC8, eps=1.5)["summary"].select("n_core", "n_noise")
