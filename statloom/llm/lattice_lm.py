@@ -27,9 +27,11 @@ are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 
+import numpy as np
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +42,7 @@ from statloom.llm.common import crc_mod, doc_texts, materialize
 #: Most words whose counts are sent to every task.
 HEADS = 100_000
 #: Distinct words a counting task holds before it passes them on, and characters whose spelling a worker remembers.
-HELD = 200_000
+HELD = 400_000
 START = "▁"
 LOG10 = math.log(10)
 
@@ -146,24 +148,26 @@ def vocabulary(path: str) -> tuple[dict[str, float], list[float]]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, c, every: occurrences in the training rows, and in all rows, of ``docs`` (doc_id, text, held_out)."""
     def run(batches):
-        seen: tuple[Counter, Counter] = (Counter(), Counter())  # learned from, held out
+        every: Counter = Counter()
+        aside: Counter = Counter()  # held out
 
         def out():
-            words = list(seen[0].keys() | seen[1].keys())
-            c = [seen[0][w] for w in words]
+            other = aside.get
             return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array(c, pa.int64()), pa.array([n + seen[1][w] for n, w in zip(c, words)], pa.int64())],
-                names=["word", "c", "every"])
+                [pa.array(list(every), pa.string()), pa.array([n - other(w, 0) for w, n in every.items()], pa.int64()),
+                 pa.array(list(every.values()), pa.int64())], names=["word", "c", "every"])
 
         for b in batches:
-            for t, held_out in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[held_out].update(words_of(t))
-                if len(seen[0]) + len(seen[1]) > HELD:
+            for at in range(0, b.num_rows, 64):
+                texts, held_out = (c.to_pylist() for c in b.slice(at, 64).columns)
+                every.update(b"\n".join(texts).lower().split())
+                aside.update(b"\n".join(itertools.compress(texts, held_out)).lower().split())
+                if len(every) > HELD:
                     yield out()
-                    seen = (Counter(), Counter())
+                    every, aside = Counter(), Counter()
         yield out()
 
-    return docs.select("text", "held_out").mapInArrow(run, "word string, c long, every long").groupBy("word").agg(
+    return docs.select(F.col("text").cast("binary"), "held_out").mapInArrow(run, "word string, c long, every long").groupBy("word").agg(
         F.sum("c").alias("c"), F.sum("every").alias("every"))
 
 
@@ -236,32 +240,34 @@ def score(docs: DataFrame, model: str, fold: int = 7, held: int = 2, heads: int
     per = n_train + totals.v + (n_docs > 0) + 1
     learned = learn(counts, n_docs, vocabulary(model))
     words = materialize(word_scores(counts, learned))
-    head = {r.word: (math.log10((r.c + 1) / per), r.lp, int(r.c > 0)) for r in _heads(words, heads)}
-    held_ = spark.sparkContext.broadcast(head)
+    top = _heads(words, heads)
+    table = np.array([(math.log10((r.c + 1) / per), r.lp, r.c > 0) for r in top], np.float64).reshape(-1, 3)
+    held_ = spark.sparkContext.broadcast(({r.word.encode(): i for i, r in enumerate(top)}, table))
     base_end, end = math.log10((n_docs + 1) / per), learned[2] / LOG10
 
     def run(batches):
-        known = held_.value.get
+        place, table = held_.value
+        place, none = place.get, itertools.repeat(-1)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 cols: list[list] = [[], [], [], [], []]
                 for t in part.column("text").to_pylist():
-                    ws = words_of(t)
-                    found = [known(w) for w in ws]
-                    here = [f for f in found if f]
-                    base, lp, seen = zip(*here) if here else ((), (), ())
+                    ws = t.lower().split()
+                    found = np.fromiter(map(place, ws, none), np.int64, len(ws))
+                    here = found >= 0
+                    base, lp, seen = table[found[here]].sum(0).tolist()
                     cols[0].append(len(ws) + 1)
-                    cols[1].append(sum(seen) + (n_docs > 0))
-                    cols[2].append(sum(base) + base_end)
-                    cols[3].append(sum(lp) + end)
-                    cols[4].append([w for w, f in zip(ws, found) if not f])
+                    cols[1].append(int(seen) + (n_docs > 0))
+                    cols[2].append(base + base_end)
+                    cols[3].append(lp + end)
+                    cols[4].append([ws[i] for i in np.flatnonzero(~here)])
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), *(pa.array(c, k) for c, k in zip(cols, kinds))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "tail"])
 
-    rows = texts.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
+    rows = texts.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
                                  "lp double, tail array<string>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
     tails = rows.select("row", F.explode("tail").alias("word")).join(words, "word")
