@@ -40,6 +40,7 @@ columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from functools import lru_cache
@@ -267,10 +268,10 @@ def fold(kids: list) -> list:
         else:
             out.append(k)
     for size in (2, 3):
-        i = 0
-        while i + 2 * size <= len(out):
-            sigs = [k[SIG] for k in out]
-            if sigs[i:i + size] != sigs[i + size:i + 2 * size]:
+        sigs, held, i = [k[SIG] for k in out], [], 0
+        while i < len(out):
+            if i + 2 * size > len(out) or sigs[i:i + size] != sigs[i + size:i + 2 * size]:
+                held.append(out[i])
                 i += 1
                 continue
             group = ["(" + " ".join(sigs[i:i + size]) + ")", 1, 0, 1, 0, 0, None, out[i:i + size], None, [], []]
@@ -280,8 +281,9 @@ def fold(kids: list) -> list:
                     merge(a, b, one_page=True)
                 j += size
             group[CHARS], group[LINKS] = (sum(k[f] for k in group[KIDS]) for f in (CHARS, LINKS))
-            out[i:j] = [group]
-            i += 1
+            held.append(group)
+            i = j
+        out = held
     return out
 
 
@@ -330,21 +332,47 @@ def merge(a: list, b: list, one_page: bool = False) -> list:
 
 
 def _common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence."""
+    """Index pairs of a longest common subsequence.
+
+    Row i of the table of lengths is one integer: bit m - 1 - j is 0 where the length for
+    (x[i:], y[j:]) exceeds that for (x[i:], y[j + 1:]).  About a square root of the
+    rows is kept and the others are made again block by block, so two lists of 20,000 unlike
+    entries take a few megabytes.
+    """
     n, m = len(x), len(y)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    full, places = (1 << m) - 1, {}
+    for j, s in enumerate(y):
+        places.setdefault(s, []).append(m - 1 - j)
+    masks = {s: sum(1 << p for p in places[s]) for s in {*x} & places.keys()}
+
+    def above(i, row):
+        """Row i from row i + 1."""
+        u = row & masks.get(x[i], 0)
+        return ((row + u) | (row - u)) & full
+
+    step = math.isqrt(n) + 1
+    row, saved = full, {n: full}
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+        row = above(i, row)
+        if i % step == 0:
+            saved[i] = row
+    out, i, j, block = [], 0, 0, {}
     while i < n and j < m:
+        if i + 1 not in block or i not in block:
+            top = min(n, (i // step + 1) * step)
+            block = {top: saved[top]}
+            for k in range(top - 1, i - 1, -1):
+                block[k] = above(k, block[k + 1])
         if x[i] == y[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
+            continue
+        rest = (1 << (m - j)) - 1
+        # leaving y[j] out loses nothing, leaving x[i] out would
+        if block[i] >> (m - 1 - j) & 1 and (block[i] & rest).bit_count() < (block[i + 1] & rest).bit_count():
             j += 1
+        else:
+            i += 1
     return out
 
 
