@@ -242,12 +242,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, all columns: one document of each component stays, the one of the smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns: one row of each component of near duplicates stays.
 
-    Rows without an id cannot be told apart by it and all stay.
+    Rows are told apart by a number given once, not by their id, so rows that share an id
+    and rows without one are documents like all others.  The row of the smallest id stays
+    (no id last), ties by the hash of all columns.
     """
-    found = near_duplicates(docs, id_col=id_col, **options)
-    heads = found.where("component_id = doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(heads, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()))
+    found = near_duplicates(rows, id_col=key, text_col=text_col, **options).select(
+        F.col("doc_id").alias(key), F.col("component_id").alias("_c"))
+    order = rows.select(key, F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(
+        *[c for c in docs.columns]).alias("h"), F.col(key).alias("r")).alias("_o"))
+    heads = found.join(order, key).groupBy("_c").agg(F.min("_o")["r"].alias(key))
+    return rows.join(heads.select(key), key, "left_semi").select(*docs.columns)

@@ -325,6 +325,16 @@ def test_simhash_keeps_one_document(spark):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 4, 6, 7, 9] and list(kept[0].asDict()) == docs.columns
 
 
+def test_simhash_tells_rows_apart_without_ids(spark):
+    a, b, c = "alpha beta gamma delta epsilon", "quite another text stands here now", "the same words without any id at all"
+    docs = spark.createDataFrame([(1, a, "x"), (1, b, "x"), (None, c, "x"), (None, c, "y"), (5, a, "x"), (2, c + " more and more", "x")],
+                                 "doc_id long, text string, _row string")
+    for n in (1, 3):
+        kept = simhash.keep_one(docs.repartition(n)).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (1, b), (0, c), (2, c + " more and more")])
+        assert list(kept[0].asDict()) == docs.columns
+
+
 # --- 6: mixing ---
 
 def test_targets_and_mix(spark):
