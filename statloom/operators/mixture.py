@@ -155,7 +155,7 @@ def fit(z: DataFrame, cols: list[str], k: int, start=None, max_rounds: int = MAX
         now = maximise(s, k, d, n)
 
 
-def _moments(df: DataFrame, cols: list[str]):
+def column_moments(df: DataFrame, cols: list[str]):
     """Mean and population standard deviation of the complete cases."""
     r = complete_cases(df.select(*cols), cols).agg(
         *[a for c in cols for a in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
@@ -166,7 +166,7 @@ def gmm_components(df: DataFrame, k: int, cols: list[str] | None = None, **optio
     """``(component, weight, variable, mean, std)`` in the table's units, components by falling weight."""
     cols = cols or numeric_columns(df)
     m = fit(scaled(df, cols), cols, k, **options)
-    mean, std = _moments(df, cols)
+    mean, std = column_moments(df, cols)
     order = sorted(range(len(m.weights)), key=lambda j: (-m.weights[j], m.means[j].tolist()))
     rows = [(i + 1, float(m.weights[j]), c, float(m.means[j, a] * std[a] + mean[a]),
              float(math.sqrt(m.covariances[j, a, a]) * std[a]))
