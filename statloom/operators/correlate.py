@@ -14,12 +14,15 @@ from __future__ import annotations
 import re
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from statloom.functions.components import materialize
 from statloom.functions.exprs import clean_numeric, nan_to_null, numeric_columns, stack_long
 from statloom.functions.ranks import ranked_cells
 from statloom.functions.special import t_pvalue_udf
+from statloom.operators.encode import join_levels
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's rules (correlation screening).
@@ -33,6 +36,23 @@ TARGET_WORDS = ["revenue", "ricavo", "entrate", "sales", "vendite", "profit", "p
 SIG_MIN, SIG_MAX, SIG_ALPHA, SIG_TOP = 0.3, 0.99, 0.05, 20
 TARGET_MIN, TARGET_TOP = 0.2, 10
 # ---------------------------------------------------------------------------
+#: Distinct values up to which a column's ranks are broadcast.
+BROADCAST_CELLS = 100_000
+
+
+def near_unique(df: DataFrame, cols: list[str], ratio: float) -> list[str]:
+    """Columns with more than ``ratio`` distinct values a row.
+
+    A HyperLogLog pass decides columns far below; only those that its error (2 %, taken
+    sevenfold) leaves open are counted exactly, which shuffles their values.
+    """
+    x = nan_to_null(df.select(*cols))
+    r = x.agg(F.count(F.lit(1)).alias("_rows"), *[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    close = [c for i, c in enumerate(cols) if r[f"d{i}"] > 0.86 * ratio * r["_rows"]]
+    if not close:
+        return []
+    exact = x.agg(*[F.countDistinct(c).alias(f"d{i}") for i, c in enumerate(close)]).first()
+    return [c for i, c in enumerate(close) if exact[f"d{i}"] > r["_rows"] * ratio]
 
 
 def corr_columns(df: DataFrame, cols: list[str] | None = None,
@@ -55,13 +75,8 @@ def corr_columns(df: DataFrame, cols: list[str] | None = None,
     base = spark.createDataFrame([(i, c, reasons.get(c)) for i, c in enumerate(cols)],
                                  "ordinal int, column_name string, name_reason string")
     if rest and max_unique_ratio is not None:
-        wide = nan_to_null(df).agg(F.count(F.lit(1)).alias("_rows"),
-                      *[F.countDistinct(c).alias(f"d{i}") for i, c in enumerate(rest)])
-        uniq = wide.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column_name"),
-                     (F.col(f"d{i}") > F.col("_rows") * max_unique_ratio).alias("near_unique"))
-            for i, c in enumerate(rest)])))
-        base = base.join(uniq, "column_name", "left")
+        unique = near_unique(df, rest, max_unique_ratio)
+        base = base.withColumn("near_unique", F.col("column_name").isin(unique) if unique else F.lit(False))
     else:
         base = base.withColumn("near_unique", F.lit(False))
     reason = F.coalesce(F.col("name_reason"),
@@ -132,20 +147,30 @@ def corr_pearson(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def with_ranks(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """Replace each column by its average rank among the column's non-null values.
 
-    One distributed rank pass over all columns, then one join per column back
-    to the rows (AQE broadcasts the cell table when it is small, e.g. for a
-    low-cardinality column, and shuffles otherwise).
+    One distributed rank pass over all columns.  The ranks of columns with at most
+    ``BROADCAST_CELLS`` distinct values (counted) come back by broadcast; those of all others
+    come back together, in long form, by one join on (column, value) whose frequent values are
+    broadcast, and one grouping by row.
     """
     x = clean_numeric(df, cols, keep=[c for c in df.columns if c not in cols])
-    cells = ranked_cells(stack_long(x, cols), ["column_name"]).select(
-        "column_name", "value", "avg_rank")
+    x = materialize(x.withColumn("_rid", F.monotonically_increasing_id()))
+    cells = materialize(ranked_cells(stack_long(x, cols), ["column_name"]).select("column_name", "value", "cnt", "avg_rank"))
+    sizes = {r[0]: r[1] for r in cells.groupBy("column_name").count().collect()}
     out = x
-    for c in cols:
-        rc = cells.filter(F.col("column_name") == c).select(
-            F.col("value").alias(f"_v_{c}"), F.col("avg_rank").alias(f"_r_{c}"))
-        out = (out.join(rc, out[c] == rc[f"_v_{c}"], "left")
-               .drop(c, f"_v_{c}").withColumnRenamed(f"_r_{c}", c + suffix))
-    return out
+    for c in [c for c in cols if sizes.get(c, 0) <= BROADCAST_CELLS]:
+        rc = F.broadcast(cells.filter(F.col("column_name") == c).select(
+            F.col("value").alias("_v"), F.col("avg_rank").alias(f"_r_{c}")))
+        out = out.join(rc, out[c] == rc["_v"], "left").drop(c, "_v").withColumnRenamed(f"_r_{c}", c + suffix)
+    large = [c for c in cols if sizes.get(c, 0) > BROADCAST_CELLS]
+    if large:
+        long = stack_long(x.select("_rid", *large), large, keep=["_rid"])
+        table = cells.filter(F.col("column_name").isin(large)).select(
+            F.col("column_name").alias("level"), F.col("value").alias("at"), "cnt", "avg_rank")
+        ranked = join_levels(long, table, {"column_name": "level", "value": "at"}, rows="cnt")
+        wide = ranked.groupBy("_rid").agg(*[F.max(F.when(F.col("column_name") == c, F.col("avg_rank"))).alias(c + suffix)
+                                            for c in large])
+        out = out.drop(*large).join(wide, "_rid", "left")
+    return out.drop("_rid")
 
 
 def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -154,6 +179,30 @@ def corr_spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return _r(pair_stats(with_ranks(df.select(*cols), cols), cols))
 
 
+def corr_partial(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """``(var1, var2, n, r_partial)``: correlation of every pair with all other columns held fixed, over complete rows.
+
+    One scan adds up the products of the standardised columns; the inverse of that small matrix
+    gives all pairs.  Null for a constant column, where columns determine each other, or
+    where there are no more rows than columns.
+    """
+    from statloom.operators.mixture import added_over_tasks
+    from statloom.operators.prepare import complete_cases, standardize
+    cols = cols or numeric_columns(df)
+    p = len(cols)
+    z = standardize(complete_cases(df.select(*cols), cols), cols)
+    s = added_over_tasks(z, lambda x: np.concatenate([[len(x)], (x.T @ x).ravel()]))
+    n = int(s[0]) if len(s) else 0
+    inverse = None
+    if n > p:
+        r = s[1:].reshape(p, p) / n
+        if np.linalg.eigvalsh(r)[0] > 1e-10:
+            inverse = np.linalg.inv(r)
+    rows = [(cols[i], cols[j], n, None if inverse is None else float(-inverse[i, j] / np.sqrt(inverse[i, i] * inverse[j, j])))
+            for i, j in combinations(range(p), 2)]
+    return df.sparkSession.createDataFrame(rows, "var1 string, var2 string, n long, r_partial double")
+
+
 def _strength(r):
     a = F.abs(r)
     return (F.when(a > 0.8, F.lit("very_strong")).when(a > 0.6, F.lit("strong"))

@@ -5,12 +5,13 @@ where ``A`` counts ordered pairs with ``x_i < x_j`` *and* ``y_i < y_j``,
 ``n0 = n(n-1)/2`` and ``n1``, ``n2``, ``n3`` are the pairs tied in x, in y and
 in both (all from group-by counts).  ``A`` is a strict 2-D dominance count:
 
-1. cells ``(x, y, c)`` are range-partitioned on x into blocks (equal x share
-   a block) and written through the reliable checkpoint;
+1. cells ``(x, y, c)`` are range-partitioned by (x, y falling) into blocks and
+   written through the reliable checkpoint; cells of equal x that a cut separates
+   are never in dominating order, so one x that most rows share is cut too;
 2. inside each block the dominated pairs are counted by a vectorised
    divide-and-conquer over the x groups (one pandas task per block, bounded
    by the range size);
-3. the blocked cells are range-partitioned on y; inside a y-range the same
+3. the blocked cells are range-partitioned by (y, block falling); inside a range the same
    routine, keyed by block id, counts points of strictly earlier blocks with
    strictly smaller y;
 4. points of strictly earlier blocks *and* strictly earlier y-ranges are a
@@ -103,12 +104,12 @@ def dominance_count(cells: DataFrame, cells_per_block: int = CELLS_PER_BLOCK) ->
     if m == 0:
         return 0
     blocks = max(1, -(-m // cells_per_block))
-    blocked = (cells.repartitionByRange(blocks, "x").withColumn("_b", F.spark_partition_id())
+    blocked = (cells.repartitionByRange(blocks, F.col("x"), F.col("y").desc()).withColumn("_b", F.spark_partition_id())
                .checkpoint(eager=True))
     total = _total(blocked, ["x", "y"])
     if blocks == 1:
         return total
-    swept = (blocked.repartitionByRange(blocks, "y").withColumn("_q", F.spark_partition_id())
+    swept = (blocked.repartitionByRange(blocks, F.col("y"), F.col("_b").desc()).withColumn("_q", F.spark_partition_id())
              .checkpoint(eager=True))
     total += _total(swept, ["_b", "y"])
     grid = swept.groupBy(F.col("_b").alias("x"), F.col("_q").alias("y")).agg(F.sum("c").alias("c"))
