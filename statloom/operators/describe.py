@@ -129,8 +129,27 @@ def _categorical_core(df: DataFrame, cols: list[str]) -> DataFrame:
     return per_col
 
 
-def describe_categorical(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Distinct, mode, mode freq, mode %, entropy (ln), nulls, % nulls."""
+def describe_categorical_by(df: DataFrame, by: list[str], cols: list[str] | None = None) -> DataFrame:
+    """D2 per segment ``by``: one row per segment and column, from one count per (segment, column, value)."""
+    cols = cols or [c for c in string_columns(df) if c not in by]
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])
+    vc = ensure_parallelism(df).select(*by, F.inline(pairs)).groupBy(*by, "column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    has = F.col("value").isNotNull()
+    cnt = F.when(has, F.col("cnt"))
+    g = vc.groupBy(*by, "column_name").agg(
+        F.count("value").alias("n_distinct"), F.sum("cnt").alias("_rows"), F.sum(cnt).alias("_nn"),
+        F.min_by("value", F.when(has, F.struct((-F.col("cnt")).alias("c"), F.col("value").alias("v")))).alias("mode"),
+        F.coalesce(F.max(cnt), F.lit(0)).alias("mode_freq"), F.sum(cnt * F.log(cnt)).alias("_clnc"))
+    nn = F.col("_nn").cast("double")
+    return g.select(*by, "column_name", "n_distinct", "mode", "mode_freq", (F.col("mode_freq") * 100.0 / F.col("_rows")).alias("mode_pct"),
+                    (F.log(nn) - F.col("_clnc") / nn).alias("entropy"), (F.col("_rows") - F.coalesce("_nn", F.lit(0))).alias("nulls"),
+                    ((F.col("_rows") - F.coalesce("_nn", F.lit(0))) * 100.0 / F.col("_rows")).alias("pct_nulls"))
+
+
+def describe_categorical(df: DataFrame, cols: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """Distinct, mode, mode freq, mode %, entropy (ln), nulls, % nulls; with ``by``, per segment."""
+    if by:
+        return describe_categorical_by(df, by, cols)
     cols = cols or string_columns(df)
     rows = df.agg(F.count(F.lit(1)).alias("rows"),
                   *[F.count(c).alias(f"nn{i}") for i, c in enumerate(cols)])

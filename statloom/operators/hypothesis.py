@@ -325,11 +325,12 @@ def t_test_pairs(df: DataFrame, cols: list[str] | None = None, with_p: bool = Tr
     return out.withColumn("p_value", t_pvalue_udf("statistic", "df")) if with_p else out
 
 
-def mann_whitney(df: DataFrame, cols: list[str] | None = None, with_p: bool = True) -> DataFrame:
-    """H3: Mann-Whitney U between columns; two-sided normal p with tie
+def mann_whitney(df: DataFrame, cols: list[str] | None = None, with_p: bool = True,
+                 pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """H3: Mann-Whitney U between columns (or the given pairs); two-sided normal p with tie
     correction and continuity.  Ranks over the union come from value cells."""
     cols = cols or numeric_columns(df)[:MAX_COMPARED]
-    pairs = _pairs(cols)
+    pairs = _pairs(cols) if pairs is None else pairs
     used = list(dict.fromkeys(c for p in pairs for c in p))
     long = stack_long(clean_numeric(df, used), used)
     spark = df.sparkSession
@@ -366,16 +367,16 @@ def compare_pairs(df: DataFrame, cols: list[str] | None = None, confidence: floa
     alpha = 1.0 - confidence
     norm = {r[0]: r[1] for r in normality_tests(df, cols, confidence)
             .select("column_name", "is_normal").collect()}
-    tt = t_test_pairs(df, cols).select("var1", "var2", "test", "statistic", "p_value")
-    mw = mann_whitney(df, cols).select("var1", "var2", "test", "statistic", "p_value")
-    both = [(a, b) for a, b in _pairs(cols) if norm.get(a) and norm.get(b)]
-    spark = df.sparkSession
-    sel = spark.createDataFrame([(a, b) for a, b in both] or [("", "")], "var1 string, var2 string")
-    t_rows = tt.join(sel, ["var1", "var2"])
-    m_rows = mw.join(sel, ["var1", "var2"], "left_anti")
-    eff = t_test_pairs(df, cols, with_p=False).select("var1", "var2", "effect_size")
-    return (t_rows.unionByName(m_rows).join(eff, ["var1", "var2"])
-            .withColumn("significant", F.col("p_value") < alpha))
+    tt = t_test_pairs(df, cols).select("var1", "var2", "test", "statistic", "p_value", "effect_size")
+    other = [(a, b) for a, b in _pairs(cols) if not (norm.get(a) and norm.get(b))]
+    if other:  # only the pairs that need it are ranked
+        mw = mann_whitney(df, cols, pairs=other).select(
+            "var1", "var2", F.col("test").alias("_t"), F.col("statistic").alias("_s"), F.col("p_value").alias("_p"))
+        ranked = F.col("_t").isNotNull()
+        tt = tt.join(mw, ["var1", "var2"], "left").select(
+            "var1", "var2", F.coalesce("_t", "test").alias("test"), F.when(ranked, F.col("_s")).otherwise(F.col("statistic")).alias("statistic"),
+            F.when(ranked, F.col("_p")).otherwise(F.col("p_value")).alias("p_value"), "effect_size")
+    return tt.withColumn("significant", F.col("p_value") < alpha)
 
 
 def anova_oneway(df: DataFrame, cat_cols: list[str] | None = None, num_cols: list[str] | None = None,

@@ -87,7 +87,7 @@ def _fit_group(cols, sample, seed):
 def _path_lengths(x: np.ndarray, tree: dict) -> np.ndarray:
     node = np.zeros(len(x), dtype=np.int64)
     feat, thr, left, right = tree["feature"], tree["threshold"], tree["left"], tree["right"]
-    size, depth = tree["size"], tree["depth"]
+    depth = tree["depth"]
     for _ in range(int(depth.max()) + 1):
         f = feat[node]
         internal = f >= 0
@@ -96,7 +96,7 @@ def _path_lengths(x: np.ndarray, tree: dict) -> np.ndarray:
         v = x[np.arange(len(x)), np.where(internal, f, 0)]
         nxt = np.where(v < thr[node], left[node], right[node])
         node = np.where(internal, nxt, node)
-    return depth[node] + np.array([c_factor(s) for s in size])[node]
+    return tree["path"][node]
 
 
 def isolation_scores(df: DataFrame, key: str, cols: list[str] | None = None, trees: int = TREES,
@@ -106,7 +106,11 @@ def isolation_scores(df: DataFrame, key: str, cols: list[str] | None = None, tre
     spark = df.sparkSession
     x = complete_cases(df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]), cols)
     h = F.xxhash64(F.lit(seed), F.col(key))
-    pool = x.withColumn("_ph", h).orderBy("_ph", key).limit(trees * sample)  # bounded top-n
+    rows = x.count()
+    pool = x.withColumn("_ph", h)
+    if rows > 4 * trees * sample:  # a threshold on the hash leaves about twice the pool before the merge
+        pool = pool.where(F.pmod("_ph", F.lit(1 << 40)) < F.lit(int((1 << 40) * 2.0 * trees * sample / rows)))
+    pool = pool.orderBy("_ph", key).limit(trees * sample)  # bounded top-n
     # every pooled row is a candidate for every tree (pool x trees rows, bounded)
     cand = pool.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
         "_h", F.xxhash64(F.lit(seed), F.col("tree_id"), F.col(key)))
@@ -117,9 +121,10 @@ def isolation_scores(df: DataFrame, key: str, cols: list[str] | None = None, tre
     forest = []
     for _, g in nodes.groupby("tree_id"):
         g = g.sort_values("node")
-        forest.append({k: g[k].to_numpy() for k in ["feature", "threshold", "left", "right", "size", "depth"]})
+        tree = {k: g[k].to_numpy() for k in ["feature", "threshold", "left", "right", "depth"]}
+        forest.append(tree | {"path": tree["depth"] + np.array([c_factor(s) for s in g["size"]])})
     bc = spark.sparkContext.broadcast(forest)
-    cn = c_factor(min(sample, max(2, x.count())))
+    cn = c_factor(min(sample, max(2, rows)))
 
     def score(it):
         trees_ = bc.value

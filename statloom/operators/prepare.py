@@ -175,24 +175,27 @@ def parse_datetime(df: DataFrame, cols: list[str]) -> DataFrame:
 def datetime_features(df: DataFrame, col: str, parse: bool = False) -> DataFrame:
     """Year, month, quarter, day, weekday (Mon=0), weekend flag, whole days since min.
 
-    One profiling aggregation decides which features exist; ``days_since``
-    varies exactly when the span is at least one day.
+    One profiling aggregation without a distinct count decides which features exist: years
+    differ when the ends' do, months are a set of bits, and more than seven values are
+    sure above a sketch of 20 (counted exactly below); ``days_since`` varies exactly
+    when the span is at least one day.
     """
     if parse:
         df = parse_datetime(df, [col])
     c = F.col(col)
-    p = df.agg(F.countDistinct(c).alias("dd"), F.countDistinct(F.year(c)).alias("dy"),
-               F.countDistinct(F.month(c)).alias("dm"), F.min(c).alias("lo"), F.max(c).alias("hi"),
-               F.count(c).alias("nn")).first()
-    if not p["nn"] or p["dd"] <= 1:
+    months = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), F.month(c))))
+    p = df.agg(F.approx_count_distinct(c).alias("dd"), F.year(F.min(c)).alias("y0"), F.year(F.max(c)).alias("y1"),
+               months.alias("dm"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("nn")).first()
+    if not p["nn"] or p["lo"] == p["hi"]:
         return df
+    distinct = p["dd"] if p["dd"] > 20 else df.select(c).where(c.isNotNull()).distinct().count()
     feats = {}
-    if p["dy"] > 1:
+    if p["y0"] != p["y1"]:
         feats[f"{col}_year"] = F.year(c)
     if p["dm"] > 1:
         feats[f"{col}_month"] = F.month(c)
         feats[f"{col}_quarter"] = F.quarter(c)
-    if p["dd"] > 7:
+    if distinct > 7:
         feats[f"{col}_day"] = F.dayofmonth(c)
         feats[f"{col}_weekday"] = F.weekday(c)
         feats[f"{col}_is_weekend"] = F.weekday(c).isin(5, 6).cast("int")
@@ -260,10 +263,12 @@ def one_hot(df: DataFrame, col: str, max_levels: int = ONE_HOT_MAX_LEVELS) -> Da
 
 def freq_encode(df: DataFrame, col: str) -> DataFrame:
     """Value -> its count / all rows (null stays null)."""
+    from statloom.operators.encode import join_levels
+    counts = df.groupBy(F.col(col).alias("level")).agg(F.count(F.lit(1)).alias("rows"))
     rows = df.count()
-    counts = (df.filter(F.col(col).isNotNull()).groupBy(col)
-              .agg((F.count(F.lit(1)) / F.lit(float(rows))).alias(f"{col}_freq")))
-    return df.join(counts, col, "left")
+    counts = counts.filter("level IS NOT NULL").withColumn(f"{col}_freq", F.col("rows") / F.lit(float(rows)))
+    out = join_levels(df, counts, {col: "level"})
+    return out.select(col, *[c for c in out.columns if c != col])
 
 
 def categorical_features(df: DataFrame, col: str) -> DataFrame:
@@ -340,6 +345,7 @@ class AnalysisParams:
     confidence_level: float = 0.95
     use_sampling: bool = False
     sample_size: int = SAMPLE_SIZE
+    max_series: int = 5
 
 
 NUMERIC_CATEGORIES = ("numeric", "currency", "percent", "score")
@@ -374,15 +380,14 @@ def preprocess(df: DataFrame, mapping: dict[str, str], params: AnalysisParams |
             shares = _null_shares(df, [c])
             if 0 < shares[c] <= IMPUTE_MAX_SHARE:
                 df = fill_ffill_bfill(df, c, [key])
+    mapping = {c: cat for c, cat in mapping.items() if c in df.columns}
+    measures = [c for c, cat in mapping.items() if cat in NUMERIC_CATEGORIES]
+    texts = [c for c in measures if isinstance(df.schema[c].dataType, T.StringType)]
+    df = coerce_numeric(df, texts) if texts else df
+    df = skew_transform(df, measures) if measures else df  # one profile for all
     for c, cat in mapping.items():
-        if c not in df.columns:
-            continue
         if cat == "datetime":
             df = datetime_features(df, c)
-        elif cat in NUMERIC_CATEGORIES:
-            if isinstance(df.schema[c].dataType, T.StringType):
-                df = coerce_numeric(df, [c])
-            df = skew_transform(df, [c])
         elif cat in CATEGORICAL_CATEGORIES:
             df = categorical_features(df, c)
         elif cat == "text":

@@ -56,11 +56,12 @@ def _weekly_bucket(ts):
     return F.date_trunc("week", ts) + F.expr("INTERVAL 6 DAYS")
 
 
-def resample(df: DataFrame, ts_col: str, value_cols: list[str], freq: str = "auto") -> DataFrame:
+def resample(df: DataFrame, ts_col: str, value_cols: list[str], freq: str = "auto", by: list[str] | None = None) -> DataFrame:
     """Mean per bucket, long form ``(series, bucket, v)``; empty buckets dropped.
 
     ``freq='auto'`` follows the reference: > 365 rows daily, > 52 weekly,
-    otherwise the raw points.
+    otherwise the raw points.  ``by``: a series per value column and segment, named
+    ``column|segment|...``.
     """
     if freq == "auto":
         n = df.filter(F.col(ts_col).isNotNull()).count()
@@ -68,12 +69,25 @@ def resample(df: DataFrame, ts_col: str, value_cols: list[str], freq: str = "aut
     ts = F.col(ts_col)
     bucket = (F.date_trunc("day", ts) if freq == "day" else _weekly_bucket(ts) if freq == "week"
               else ts)
+    segment = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in by or []]
     long = df.filter(ts.isNotNull()).select(bucket.alias("bucket"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("v")) for c in value_cols])))
+        F.struct(F.concat_ws("|", F.lit(c), *segment).alias("series"), F.col(c).cast("double").alias("v")) for c in value_cols])))
     out = long.groupBy("series", "bucket").agg(F.avg("v").alias("v"))
     return out.filter(F.col("v").isNotNull()).select("series", "bucket", "v")
 
 
+def ts_status(series: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
+    """T2 gates: ``(series, n, status)``, status ``ok``, ``too few points`` or ``constant``."""
+    g = series.groupBy("series").agg(F.count("v").alias("n"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    return g.select("series", "n", F.when(F.col("n") < min_points, "too few points").when(
+        F.col("_lo") == F.col("_hi"), "constant").otherwise("ok").alias("status"))
+
+
+def usable_series(series: DataFrame) -> DataFrame:
+    """The points of the series that pass the gates."""
+    return series.join(ts_status(series).filter("status = 'ok'").select("series"), "series", "left_semi")
+
+
 def _positions(series: DataFrame) -> DataFrame:
     w = Window.partitionBy("series").orderBy("bucket")
     return (series.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
@@ -96,6 +110,39 @@ def ts_trend(series: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
         F.when(r2 > 0.7, "strong").when(r2 > 0.3, "moderate").otherwise("weak").alias("strength"))
 
 
+def ts_trend_curves(series: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
+    """``(series, method, n, intercept, slope, curvature, r2)`` of linear, polynomial and exponential trends.
+
+    Polynomial: intercept + slope pos + curvature pos^2, by polynomials that are orthogonal over positions
+    0..n-1, so all coefficients are single sums.  Exponential: exp(intercept + slope pos), fitted to the
+    logarithm, only for series above zero; its r2 is that of the logarithm.
+    """
+    p = _positions(series.filter(F.col("v").isNotNull())).filter(F.col("n") >= min_points)
+    n = F.col("n").cast("double")
+    p1 = F.col("pos") - (n - 1) / 2
+    p2 = p1 * p1 - (n * n - 1) / 12
+    v, lv = F.col("v"), F.log(F.when(F.col("v") > 0, F.col("v")))
+    g = p.select("series", "n", "v", p1.alias("p1"), p2.alias("p2"), lv.alias("lv")).groupBy("series", "n").agg(
+        F.avg("v").alias("m"), F.sum(F.col("p1") * v).alias("s1"), F.sum(F.col("p2") * v).alias("s2"),
+        F.sum(F.col("p1") * F.col("p1")).alias("q1"), F.sum(F.col("p2") * F.col("p2")).alias("q2"),
+        (F.var_pop("v") * F.count("v")).alias("sst"), F.count("lv").alias("nl"), F.avg("lv").alias("ml"),
+        F.sum(F.col("p1") * F.col("lv")).alias("l1"), (F.var_pop("lv") * F.count("lv")).alias("lst"))
+    b1, b2, l1, half = F.col("s1") / F.col("q1"), F.col("s2") / F.col("q2"), F.col("l1") / F.col("q1"), (n - 1) / 2
+    none = F.lit(None).cast("double")
+    share = lambda part, total: F.coalesce(F.try_divide(part, total), F.lit(0.0))
+
+    def row(method, a, b, c, r2):
+        return F.struct(F.lit(method).alias("method"), a.alias("intercept"), b.alias("slope"), c.alias("curvature"), r2.alias("r2"))
+
+    rows = F.array(
+        row("linear", F.col("m") - b1 * half, b1, none, share(b1 * F.col("s1"), F.col("sst"))),
+        row("polynomial", F.col("m") - b1 * half + b2 * (half * half - (n * n - 1) / 12), b1 - b2 * (n - 1), b2,
+            share(b1 * F.col("s1") + b2 * F.col("s2"), F.col("sst"))),
+        F.when(F.col("nl") == F.col("n"), row("exponential", F.col("ml") - l1 * half, l1, none, share(l1 * F.col("l1"), F.col("lst")))))
+    return g.select("series", "n", F.explode(rows).alias("t")).filter("t IS NOT NULL").select("series", "t.method", "n", "t.intercept",
+                                                                                       "t.slope", "t.curvature", "t.r2")
+
+
 def ts_line_with_trend(series: DataFrame) -> DataFrame:
     """Each point with its fitted trend value."""
     p = _positions(series)
@@ -131,6 +178,31 @@ def ts_decompose(series: DataFrame, period: int) -> DataFrame:
                       (F.col("_det") - F.col("seasonal")).alias("resid"))
 
 
+def auto_periods(series: DataFrame, rows: int) -> dict[int, list[str] | None]:
+    """The reference's period by the table's rows with a time: 7 for daily, 4 for weekly series, else min(12, points / 2).
+
+    Series per period; None stands for all (raw series have at most 52 points).
+    """
+    if rows > 52:
+        return {7 if rows > 365 else 4: None}
+    out: dict[int, list[str] | None] = {}
+    for r in series.groupBy("series").agg(F.count("v").alias("n")).collect():
+        out.setdefault(min(12, r.n // 2), []).append(r.series)
+    return out
+
+
+def ts_strength_auto(series: DataFrame, rows: int) -> DataFrame:
+    """T4 with the automatic period; series of fewer than 24 points are left out."""
+    parts = [ts_strength(series if names is None else series.filter(F.col("series").isin(names)), period)
+             for period, names in auto_periods(series, rows).items() if period > 1]
+    if not parts:
+        return ts_strength(series.limit(0), 7)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def ts_strength(series: DataFrame, period: int) -> DataFrame:
     """T4 summary: std of each component and the seasonality / trend flags."""
     d = ts_decompose(series, period)

@@ -45,15 +45,24 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return ensure_parallelism(spark.read.format(fmt).load(path))
 
 
+def has_quoted_newlines(spark: SparkSession, path: str, encoding: str = "utf-8") -> bool:
+    """Whether some line ends inside a quoted field: it holds an odd number of quotes (one scan, stops at the first)."""
+    lines = spark.read.option("encoding", encoding).text(path)
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return not lines.filter(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, schema=None, encoding: str | None = None,
-             multi_line: bool = True) -> DataFrame:
+             multi_line: bool | None = None) -> DataFrame:
     """CSV with a header; types inferred unless ``schema`` is given.
 
-    Quotes inside quotes are doubled, and quoted fields may hold newlines.
-    ``multi_line=False`` lets Spark split large files inside, for data known
-    to have no newline in a field.
+    Quotes inside quotes are doubled, and quoted fields may hold newlines.  Spark
+    splits large files inside unless a field holds a newline, which a scan of
+    the lines tells (``multi_line`` None); files with one are a task each.
     """
     enc = encoding or detect_encoding(spark, path)
+    if multi_line is None:
+        multi_line = has_quoted_newlines(spark, path, enc)
     r = spark.read.option("header", True).option("encoding", enc).option("mode", "PERMISSIVE")
     r = r.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
@@ -91,6 +100,15 @@ def export_bundle(results: dict[str, DataFrame], path: str, fmt: str = "parquet"
     return out
 
 
+def bundle_sheets(df: DataFrame, order: list[str], descriptive: DataFrame, pearson: DataFrame, insights: DataFrame,
+                  sample_rows: int = 1000) -> dict[str, DataFrame]:
+    """The reference's five sheets: first rows, descriptive statistics, correlations, insights and a summary."""
+    summary = df.agg(F.count(F.lit(1)).alias("total_rows")).select(
+        F.current_date().alias("analysis_date"), "total_rows", F.lit(len(df.columns)).alias("total_columns"))
+    return {"data_sample": preview_topn(df, order, sample_rows), "descriptive": descriptive, "pearson": pearson,
+            "insights": insights, "summary": summary}
+
+
 def chunk_ids(df: DataFrame, order: list[str], size: int = CHUNK_SIZE) -> DataFrame:
     """``chunk_id = (row_number - 1) div size`` over a total order."""
     rn = global_row_number(df, order)
