@@ -17,10 +17,14 @@ from statloom.operators import hypothesis as H
 from statloom.operators import multivariate as M
 from statloom.operators import outliers as O
 from statloom.operators import timeseries as TS
+from statloom.operators import profile as P
+from statloom.operators import text as X
 from statloom.operators.dbscan import dbscan_summary
+from statloom.operators.forecast import forecast, ts_pacf
 from statloom.operators.iforest import outliers_isolation_forest
 from statloom.operators.kendall import corr_kendall
-from statloom.operators.prepare import AnalysisParams
+from statloom.operators.prepare import AnalysisParams, preprocess
+from statloom.session import ensure_checkpoint_dir
 
 DEFAULT_ANALYSES = ("descriptive", "correlations")
 ALL_ANALYSES = ("descriptive", "correlations", "distributions", "outliers", "time_series",
@@ -41,7 +45,7 @@ def analyze(df: DataFrame, params: AnalysisParams | None = None, key: str | None
         """A block that cannot run on this table gives a one-row status frame instead of ending the analysis."""
         try:
             got = make()
-        except Exception as e:  # noqa: BLE001
+        except ValueError as e:  # an operator's own refusal; a failed job goes on up
             got = {f"{name}_status": df.sparkSession.createDataFrame([(name, str(e)[:500])], "block string, reason string")}
         out.update(got if isinstance(got, dict) else {name: got})
 
@@ -70,23 +74,28 @@ def analyze(df: DataFrame, params: AnalysisParams | None = None, key: str | None
     if "time_series" in kinds:
         tcols = time_columns(df)
         if tcols:
-            roles = TS.ts_columns(df, tcols[0]).collect()
+            roles = TS.ts_columns(df, tcols[0], params.max_series).collect()
             vals = [r.column_name for r in roles if r.role == "value"]
             if vals:
-                ser = TS.resample(df, tcols[0], vals, "auto").cache()
+                ser = TS.resample(df, tcols[0], vals, "auto").checkpoint(eager=True)
+                timed = df.filter(f"`{tcols[0]}` IS NOT NULL").count()
                 out["ts_series"] = ser
+                out["ts_status"] = TS.ts_status(ser)
+                ser = TS.usable_series(ser)
                 out["ts_trend"] = TS.ts_trend(ser)
                 out["ts_acf_summary"] = TS.ts_acf_summary(ser)
                 out["ts_adf"] = TS.ts_adf(ser)
                 out["ts_range"] = TS.ts_range(df, tcols[0])
-                block("ts_strength", lambda: TS.ts_strength(ser, 7))
+                out["ts_strength"] = TS.ts_strength_auto(ser, timed)
+                out["ts_pacf"] = ts_pacf(ser)
+                out["ts_forecast"] = forecast(ser)
     if "hypothesis_tests" in kinds and nums:
         alpha_conf = params.confidence_level
-        block("normality", lambda: H.normality_tests(df, nums[:10], alpha_conf))
+        block("normality", lambda: H.normality_tests(df, nums, alpha_conf))
         if len(nums) >= 2:
-            block("comparisons", lambda: H.compare_pairs(df, nums[:H.MAX_COMPARED], alpha_conf))
+            block("comparisons", lambda: H.compare_pairs(df, nums, alpha_conf))
         if cats:
-            block("anova", lambda: H.anova_oneway(df, cats[:3], nums[:3]))
+            block("anova", lambda: H.anova_oneway(df, cats, nums))
     if "pca" in adv and len(nums) > 2:
         block("pca", lambda: M.pca(df, nums, key))
     if "famd" in adv and nums and cats:
@@ -99,6 +108,27 @@ def analyze(df: DataFrame, params: AnalysisParams | None = None, key: str | None
     return out
 
 
+def full_analysis(df: DataFrame, params: AnalysisParams | None = None, key: str | None = None,
+                  mapping: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The whole run of the reference's button: column categories, preprocessing, analyses, findings and report rows.
+
+    ``mapping`` (column -> category) overrides the inferred categories.  Analyses run on the
+    processed table, which is written once.
+    """
+    params = params or AnalysisParams()
+    ensure_checkpoint_dir(df.sparkSession)
+    categories = P.column_categories(df)
+    known = {r.column_name: r.category for r in categories.collect()} | (mapping or {})  # one row a column
+    if key:
+        known.pop(key, None)
+    processed = preprocess(df, known, params, key).checkpoint(eager=True)
+    out = {"categories": categories, "processed": processed, **analyze(processed, params, key)}
+    if "significant_correlations" in out:
+        out["findings"] = X.findings(out["significant_correlations"], out.get("outliers_iqr"))
+    out["report"] = X.report_rows({k: v for k, v in out.items() if k not in ("categories", "processed")})
+    return out
+
+
 def _clusters(df: DataFrame, nums: list[str]) -> dict[str, DataFrame]:
     """The sweep, the profile of its best k, and DBSCAN."""
     sweep = M.kmeans_sweep(df, nums)

@@ -45,6 +45,20 @@ def describe_categorical(spark, sf):
     return D.describe_categorical(frame(spark, sf, "orders_nulls"), _CAT_COLS)
 
 
+_CAT_BY_SQL = sql("orders_nulls") + """SELECT o_orderstatus, 'o_orderpriority' AS column_name, count(value) AS n_distinct,
+  arg_min(value, (-cnt, value)) FILTER (value IS NOT NULL) AS mode, CAST(max(cnt) FILTER (value IS NOT NULL) AS BIGINT) AS mode_freq,
+  max(cnt) FILTER (value IS NOT NULL) * 100.0 / sum(cnt) AS mode_pct,
+  ln(CAST(sum(cnt) FILTER (value IS NOT NULL) AS DOUBLE)) - sum(cnt * ln(cnt)) FILTER (value IS NOT NULL) / sum(cnt) FILTER (value IS NOT NULL) AS entropy,
+  CAST(sum(cnt) - sum(cnt) FILTER (value IS NOT NULL) AS BIGINT) AS nulls,
+  (sum(cnt) - sum(cnt) FILTER (value IS NOT NULL)) * 100.0 / sum(cnt) AS pct_nulls
+FROM (SELECT o_orderstatus, o_orderpriority AS value, count(*) AS cnt FROM orders_nulls GROUP BY 1, 2) GROUP BY o_orderstatus"""
+
+
+@register("describe_categorical_by", sql=_CAT_BY_SQL, sig_cols=["mode_pct", "entropy", "pct_nulls"])
+def describe_categorical_by(spark, sf):
+    return D.describe_categorical(frame(spark, sf, "orders_nulls"), ["o_orderpriority"], by=["o_orderstatus"])
+
+
 _TOP_COLS = ["l_returnflag", "l_linestatus"]
 
 

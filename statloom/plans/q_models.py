@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statloom.operators import distance, encode, factor, fitting, forecast, hierarchy, mixture, neighbours, tukey
+from statloom.operators import correlate, distance, encode, factor, fitting, forecast, hierarchy, mixture, neighbours, sketch, tukey
 from statloom.plans.catalog import register
 from statloom.plans.fixtures import frame, sql
 
@@ -27,11 +27,37 @@ def gmm_labels(spark, sf):
     return mixture.gmm_labels(frame(spark, sf, "vec_8d"), "vec_id", 3, _VEC8).select("vec_id", "component", "responsibility")
 
 
+# --- incremental PCA ---
+
+@register("incremental_pca")
+def incremental_pca(spark, sf):
+    """Frequent directions over all 64 components of the vectors."""
+    from pyspark.sql import functions as F
+    v = frame(spark, sf, "embeddings").select(*[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(64)])
+    return sketch.incremental_pca(v)
+
+
 # --- hierarchical clustering ---
 
-@register("hierarchy_heights")
+# Prim's algorithm: every step takes the nearest point that is left and brings the others' distances up to date
+_HEIGHTS = """WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY x, y) AS i, x, y, n FROM (
+  SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y, count(*) AS n FROM part GROUP BY 1, 2)),
+t AS (SELECT i, x, y, CAST(1e300 AS DOUBLE) AS best, 0 AS step FROM p
+  UNION ALL
+  SELECT i, x, y, least(best, sqrt((x - mx) * (x - mx) + (y - my) * (y - my))), step + 1
+  FROM (SELECT *, first_value(i) OVER w AS m, first_value(x) OVER w AS mx, first_value(y) OVER w AS my FROM t WINDOW w AS (ORDER BY best, i))
+  WHERE i <> m),
+h AS (SELECT min(best) AS height FROM t WHERE step > 0 GROUP BY step)
+SELECT round(height, 6) AS height, CAST(count(*) AS BIGINT) AS merges FROM h GROUP BY 1
+UNION ALL SELECT 0.0, CAST(sum(n - 1) AS BIGINT) FROM p HAVING sum(n - 1) > 0"""
+
+
+@register("hierarchy_heights", sql=_HEIGHTS)
 def hierarchy_heights(spark, sf):
-    return hierarchy.merge_heights(frame(spark, sf, "part_numeric"), ["p_size", "p_retailprice"])
+    """Merge heights of single linkage in the columns' own units."""
+    from pyspark.sql import functions as F
+    h = hierarchy.merge_heights(frame(spark, sf, "part"), ["p_size", "p_retailprice"], scale=False)
+    return h.groupBy(F.round("height", 6).alias("height")).agg(F.sum("merges").alias("merges"))
 
 
 @register("hierarchy_merges")
@@ -64,6 +90,27 @@ def ca_total_inertia(spark, sf):
     return got.agg(F.sum("eigenvalue").alias("total_inertia"))
 
 
+# the table has three columns, so two axes: their sum and sum of squares give both
+_CA = """WITH c AS (SELECT o_orderpriority AS r, o_orderstatus AS k, count(*)::DOUBLE AS c FROM orders GROUP BY 1, 2),
+rs AS (SELECT r, sum(c) AS cr FROM c GROUP BY 1), ks AS (SELECT k, sum(c) AS ck FROM c GROUP BY 1), n AS (SELECT sum(c) AS n FROM c),
+s AS (SELECT rs.r, ks.k, (coalesce(c, 0) / n - cr / n * ck / n) / sqrt(cr / n * ck / n) AS s FROM rs CROSS JOIN ks CROSS JOIN n
+  LEFT JOIN c ON c.r = rs.r AND c.k = ks.k),
+g AS (SELECT a.k, b.k AS l, sum(a.s * b.s) AS v FROM s a JOIN s b USING (r) GROUP BY 1, 2),
+m AS (SELECT sum(v) FILTER (k = l) AS t, sum(v * v) AS q FROM g),
+e AS (SELECT 1 AS component, (t + sqrt(2 * q - t * t)) / 2 AS eigenvalue, t FROM m
+  UNION ALL SELECT 2, (t - sqrt(2 * q - t * t)) / 2, t FROM m)
+SELECT CAST(component AS INTEGER) AS component, round(eigenvalue, 12) AS eigenvalue, round(eigenvalue / t, 6) AS inertia,
+  round(sum(eigenvalue) OVER (ORDER BY component) / t, 6) AS cumulative FROM e"""
+
+
+@register("ca_inertia", sql=_CA)
+def ca_inertia(spark, sf):
+    from pyspark.sql import functions as F
+    got = factor.ca(frame(spark, sf, "orders"), "o_orderpriority", "o_orderstatus")["ca_inertia"]
+    return got.select("component", F.round("eigenvalue", 12).alias("eigenvalue"), F.round("inertia", 6).alias("inertia"),
+                      F.round("cumulative", 6).alias("cumulative"))
+
+
 @register("ca_points")
 def ca_points(spark, sf):
     return factor.ca(frame(spark, sf, "orders"), "o_orderpriority", "o_orderstatus")["ca_points"]
@@ -90,6 +137,18 @@ def corr_distance(spark, sf):
     return distance.corr_distance(frame(spark, sf, "part_numeric"), _PART)
 
 
+_PARTIAL = sql("part_numeric") + """, r AS (SELECT count(*) AS n, corr(seq_no, p_size) AS a, corr(seq_no, p_retailprice) AS b,
+  corr(p_size, p_retailprice) AS c FROM part_numeric)
+SELECT 'seq_no' AS var1, 'p_size' AS var2, n, (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) AS r_partial FROM r
+UNION ALL SELECT 'seq_no', 'p_retailprice', n, (b - a * c) / sqrt((1 - a * a) * (1 - c * c)) FROM r
+UNION ALL SELECT 'p_size', 'p_retailprice', n, (c - a * b) / sqrt((1 - a * a) * (1 - b * b)) FROM r"""
+
+
+@register("corr_partial", sql=_PARTIAL, sig_cols=["r_partial"])
+def corr_partial(spark, sf):
+    return correlate.corr_partial(frame(spark, sf, "part_numeric"), _PART)
+
+
 # --- target encoding ---
 
 

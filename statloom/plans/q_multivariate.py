@@ -30,7 +30,17 @@ def pca_scores(spark, sf):
     return M.pca(frame(spark, sf, "order_rollup"), _ROLL, key="o_key")["pca_scores"]
 
 
-@register("scree")
+# eigenvalues of a 3 x 3 correlation matrix in closed form
+_SCREE = sql("part_numeric") + """, r AS (SELECT corr(seq_no, p_size) AS a, corr(seq_no, p_retailprice) AS b, corr(p_size, p_retailprice) AS c
+  FROM part_numeric),
+q AS (SELECT sqrt((a * a + b * b + c * c) / 3) AS p, a * b * c AS d FROM r),
+f AS (SELECT p, acos(greatest(-1.0, least(1.0, d / (p * p * p)))) / 3 AS phi FROM q),
+v AS (SELECT 1 + 2 * p * cos(phi) AS e1, 1 + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM f),
+e AS (SELECT 1 AS component, e1 AS e FROM v UNION ALL SELECT 2, 3 - e1 - e3 FROM v UNION ALL SELECT 3, e3 FROM v)
+SELECT CAST(component AS INTEGER) AS component, e / 3 AS explained_ratio, sum(e) OVER (ORDER BY component) / 3 AS cumulative FROM e"""
+
+
+@register("scree", sql=_SCREE, sig_cols=["explained_ratio", "cumulative"])
 def scree(spark, sf):
     return M.scree(frame(spark, sf, "part_numeric"), ["seq_no", "p_size", "p_retailprice"])
 

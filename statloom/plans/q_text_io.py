@@ -146,6 +146,46 @@ def export_bundle_summary(spark, sf):
     return out
 
 
+_SHEETS = sql("order_rollup") + f"""SELECT 'data_sample' AS sheet, count(*) AS rows, sum(l_quantity) AS total
+FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 1000)
+UNION ALL SELECT 'descriptive', count(*), sum(mean) FROM ({sqlgen.describe_full_sql("lineitem", LINEITEM_NUM)})
+UNION ALL SELECT 'pearson', 6, corr(n_lines, sum_qty) + corr(n_lines, sum_price) + corr(n_lines, avg_disc)
+  + corr(sum_qty, sum_price) + corr(sum_qty, avg_disc) + corr(sum_price, avg_disc) FROM order_rollup
+UNION ALL SELECT 'insights', 1, abs(corr(n_lines, sum_qty)) FROM order_rollup
+UNION ALL SELECT 'summary', 1, CAST(count(*) + 11 AS DOUBLE) FROM lineitem"""
+
+
+@register("export_bundle_sheets", sql=_SHEETS, sig_cols=["total"])
+def export_bundle_sheets(spark, sf):
+    """The five sheets, written, read again and added up."""
+    li, roll = frame(spark, sf, "lineitem"), frame(spark, sf, "order_rollup")
+    sheets = S.bundle_sheets(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
+                             D.describe_full(li, LINEITEM_NUM), R.corr_pearson(roll, _ROLL[1:]),
+                             X.findings(R.corr_significant(roll, _ROLL, with_p=False)))
+    paths = S.export_bundle(sheets, S.scratch_path(spark, "bundle"))
+    value = {"data_sample": "l_quantity", "descriptive": "mean", "pearson": "r", "insights": "confidence",
+             "summary": "total_rows + total_columns"}
+    out = None
+    for name, path in paths.items():
+        one = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.expr(value[name]).cast("double")).alias("total"))
+        one = one.select(F.lit(name).alias("sheet"), "rows", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("full_analysis_blocks")
+def full_analysis_blocks(spark, sf):
+    """Every frame of a whole run over the customers, with its rows."""
+    from statloom.operators.prepare import AnalysisParams
+    from statloom.plans.engine import full_analysis
+    params = AnalysisParams(analysis_types=("descriptive", "correlations", "outliers", "hypothesis_tests"))
+    out = None
+    for name, df in sorted(full_analysis(frame(spark, sf, "customer"), params, key="c_custkey").items()):
+        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("block"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("chunk_counts", sql="""SELECT CAST((rn - 1) // 1000 AS BIGINT) AS chunk_id, count(*) AS rows FROM (
   SELECT row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) GROUP BY 1""")
 def chunk_counts(spark, sf):

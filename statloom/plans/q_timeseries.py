@@ -46,6 +46,19 @@ def ts_trend(spark, sf):
     return TS.ts_trend(frame(spark, sf, "events_daily"))
 
 
+@register("ts_trend_curves", sql=sql("events_daily")[:-1] + _pos("events_daily") + """, q AS (SELECT series, n, v, ln(v) AS lv, pos,
+  pos - (n - 1) / 2.0 AS p1, (pos - (n - 1) / 2.0) * (pos - (n - 1) / 2.0) - (n * n - 1) / 12.0 AS p2 FROM p WHERE n >= 10),
+g AS (SELECT series, n, avg(v) AS m, sum(p1 * v) / sum(p1 * p1) AS b1, sum(p2 * v) / sum(p2 * p2) AS b2, sum(p1 * v) AS s1, sum(p2 * v) AS s2,
+  var_pop(v) * count(*) AS sst, regr_slope(lv, pos) AS ls, regr_intercept(lv, pos) AS li, regr_r2(lv, pos) AS lr, min(v) AS lo,
+  regr_slope(v, pos) AS vs, regr_intercept(v, pos) AS vi, regr_r2(v, pos) AS vr FROM q GROUP BY 1, 2)
+SELECT series, 'linear' AS method, n, vi AS intercept, vs AS slope, CAST(NULL AS DOUBLE) AS curvature, vr AS r2 FROM g
+UNION ALL SELECT series, 'polynomial', n, m - b1 * (n - 1) / 2.0 + b2 * ((n - 1) * (n - 1) / 4.0 - (n * n - 1) / 12.0), b1 - b2 * (n - 1), b2,
+  (b1 * s1 + b2 * s2) / sst FROM g
+UNION ALL SELECT series, 'exponential', n, li, ls, NULL, lr FROM g WHERE lo > 0""", sig_cols=["intercept", "slope", "curvature", "r2"])
+def ts_trend_curves(spark, sf):
+    return TS.ts_trend_curves(frame(spark, sf, "events_daily"))
+
+
 @register("ts_line_with_trend", sql=sql("events_daily")[:-1] + _pos("events_daily") + """SELECT p.series, bucket, pos, v,
   slope * pos + intercept AS fitted FROM p JOIN (SELECT series, regr_slope(v, pos) AS slope,
   regr_intercept(v, pos) AS intercept FROM p GROUP BY series) t USING (series)""", sig_cols=["v", "fitted"])
@@ -102,6 +115,35 @@ def ts_acf_summary(spark, sf):
     return TS.ts_acf_summary(frame(spark, sf, "orders_weekly").unionByName(frame(spark, sf, "events_daily")))
 
 
+@register("ts_status", sql=sql("events_daily", "orders_weekly") + """SELECT series, count(v) AS n,
+  CASE WHEN count(v) < 10 THEN 'too few points' WHEN min(v) = max(v) THEN 'constant' ELSE 'ok' END AS status
+FROM (SELECT * FROM orders_weekly UNION ALL SELECT * FROM events_daily
+  UNION ALL SELECT 'one ' || series, bucket, 1.0 FROM events_daily WHERE series < 'c'
+  UNION ALL SELECT 'few', bucket, v FROM events_daily WHERE bucket < TIMESTAMP '2024-01-04' AND series = 'click') GROUP BY series""")
+def ts_status(spark, sf):
+    daily = frame(spark, sf, "events_daily")
+    one = daily.filter("series < 'c'").selectExpr("concat('one ', series) AS series", "bucket", "1.0D AS v")
+    few = daily.filter("bucket < TIMESTAMP '2024-01-04' AND series = 'click'").selectExpr("'few' AS series", "bucket", "v")
+    return TS.ts_status(frame(spark, sf, "orders_weekly").unionByName(daily).unionByName(one).unionByName(few))
+
+
+@register("ts_resample_by", sql="""SELECT 'value|' || event_type AS series, date_trunc('day', ts) AS bucket, avg(value) AS v
+FROM events GROUP BY 1, 2""", sig_cols=["v"])
+def ts_resample_by(spark, sf):
+    return TS.resample(frame(spark, sf, "events"), "ts", ["value"], "day", by=["event_type"])
+
+
+@register("ts_strength_auto", sql=_DECOMP + """SELECT series, stddev_samp(seasonal) AS seasonal_std,
+  stddev_samp(trend) AS trend_std, stddev_samp(resid) AS resid_std,
+  stddev_samp(seasonal) > 0.5 * stddev_samp(resid) AS has_seasonality,
+  stddev_samp(trend) > 0.5 * stddev_samp(resid) AS has_trend,
+  CASE WHEN (SELECT count(*) FROM events) > 365 THEN 7 ELSE 4 END AS period FROM dec GROUP BY series""",
+          sig_cols=["seasonal_std", "trend_std", "resid_std"])
+def ts_strength_auto(spark, sf):
+    """The period follows from the number of events with a time."""
+    return TS.ts_strength_auto(frame(spark, sf, "events_daily"), frame(spark, sf, "events").filter("ts IS NOT NULL").count())
+
+
 @register("ts_range", sql="""SELECT 'ts' AS date_column, min(ts) AS start, max(ts) AS "end",
   datesub('day', min(ts), max(ts)) AS days FROM events""")
 def ts_range(spark, sf):

@@ -365,3 +365,173 @@ def test_forecast_of_a_line_goes_on(spark):
     assert np.allclose([r.forecast for r in got], 2 + 3.0 * np.arange(40, 52), atol=1e-9)
     empty = spark.createDataFrame([], "series string, bucket long, v double")
     assert forecast.forecast(empty).count() == 0
+
+
+# --- ADF, gates, sketch, CSV and the whole run ---
+
+def test_adf_along_ranges_equals_the_whole_series(spark):
+    from statloom.operators import timeseries as TS
+    from statloom.operators.stationarity import adf
+    rng = np.random.default_rng(13)
+    series = {"noise": rng.normal(size=150), "walk": rng.normal(size=90).cumsum(), "short": np.arange(9.0), "flat": np.ones(40),
+              "line": 5 + 2.0 * np.arange(50), "ar": np.convolve(rng.normal(size=230), [1, 0.7, 0.2])[:200] * 1e6 + 1e9}
+    for per_range in (10 ** 6, 17):
+        got = {r.series: r for r in adf(series_frame(spark, series), per_range).collect()}
+        assert set(got) == {"noise", "walk", "line", "ar"}
+        assert got["line"].adf_stat is None and got["line"].stationary is None
+        for name in ("noise", "walk", "ar"):
+            want = TS.adf_test(series[name])
+            assert got[name].used_lag == want["used_lag"] and got[name].nobs == want["nobs"]
+            assert abs(got[name].adf_stat - want["adf_stat"]) < 1e-6 and abs(got[name].p_value - want["p_value"]) < 1e-6
+            assert abs(got[name].crit_5 - want["crit_5"]) < 1e-9
+
+
+def test_automatic_period(spark):
+    from statloom.operators import timeseries as TS
+    s = series_frame(spark, {"a": np.sin(np.arange(40.0)) + np.arange(40), "b": np.arange(6.0) ** 2})
+    assert TS.auto_periods(s, 400) == {7: None} and TS.auto_periods(s, 60) == {4: None}
+    assert {k: sorted(v) for k, v in TS.auto_periods(s, 40).items()} == {12: ["a"], 3: ["b"]}
+    assert [(r.series, r.period) for r in TS.ts_strength_auto(s, 40).collect()] == [("a", 12)]
+
+
+def test_frequent_directions_bound(spark):
+    from statloom.operators import sketch
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(900, 12)) @ np.diag(np.linspace(0.2, 4, 12))
+    df = spark.createDataFrame(x.tolist(), ", ".join(f"c{i} double" for i in range(12))).repartition(9)
+    b = sketch.frequent_directions(df, df.columns, size=16, fan_in=2)
+    assert len(b) <= 16
+    assert np.linalg.norm(x.T @ x - b.T @ b, 2) <= (x * x).sum() / 8 * (1 + 1e-9)
+    assert np.linalg.eigvalsh(x.T @ x - b.T @ b).min() > -1e-6  # never above the table
+    whole = {r.component: r.explained_ratio for r in sketch.incremental_pca(df).collect()}
+    z = (x - x.mean(0)) / x.std(0)
+    want = np.linalg.eigvalsh(z.T @ z)[::-1] / (z * z).sum()
+    assert all(want[j - 1] - 2 / sketch.SIZE - 1e-9 <= r <= want[j - 1] + 1e-9 for j, r in whole.items())
+    assert sketch.incremental_pca(df.limit(0)).count() == 0
+
+
+def test_csv_is_split_unless_a_field_holds_a_newline(spark, tmp_path):
+    from statloom.sources import io as S
+    plain, odd = tmp_path / "a.csv", tmp_path / "b.csv"
+    plain.write_text('k,v\n1,"x ""y"""\n2,z\n')
+    odd.write_text('k,v\n1,"x\ny"\n2,z\n')
+    assert not S.has_quoted_newlines(spark, str(plain)) and S.has_quoted_newlines(spark, str(odd))
+    assert [r.v for r in S.read_csv(spark, str(plain)).orderBy("k").collect()] == ['x "y"', "z"]
+    assert [r.v for r in S.read_csv(spark, str(odd)).orderBy("k").collect()] == ["x\ny", "z"]
+
+
+def test_full_analysis_keeps_going_and_fails_on_lost_jobs(spark):
+    from statloom.operators.prepare import AnalysisParams
+    from statloom.plans import engine
+    rng = random.Random(15)
+    rows = [(i, round(rng.gauss(0, 1), 1), round(rng.gauss(5, 2) + i / 50), rng.choice("abc"), None if i % 9 == 0 else i % 40)
+            for i in range(300)]  # few values each: near-unique columns are screened out
+    rows = [(i, x, float(y + round(2 * x)), k, q) for i, x, y, k, q in rows]
+    df = spark.createDataFrame(rows, "id long, x double, revenue double, kind string, q long")
+    params = AnalysisParams(analysis_types=("descriptive", "correlations", "outliers"), advanced_analysis=("pca", "famd"))
+    out = engine.full_analysis(df, params, key="id")
+    assert {"categories", "processed", "descriptive_numeric", "pearson", "outliers_iqr", "famd_inertia", "findings", "report"} <= set(out)
+    assert out["processed"].where("q IS NULL").count() == 0
+    assert out["report"].where("section = 'analyses'").count() > 5
+    broken = df.withColumn("x", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        engine.analyze(broken, params, key="id")["pca_summary"].collect()
+
+
+def test_kendall_cuts_a_hot_value(spark):
+    from statloom.operators.kendall import corr_kendall
+    rng = np.random.default_rng(16)
+    x, y = rng.integers(0, 20, 300), rng.integers(0, 200, 300)
+    x[:120], y[100:200] = 7, 50
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x, y)], "x int, y int")
+    s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(300) for j in range(i))
+    n0, tx, ty = 300 * 299 / 2, sum(c * (c - 1) / 2 for c in np.unique(x, return_counts=True)[1]), sum(
+        c * (c - 1) / 2 for c in np.unique(y, return_counts=True)[1])
+    for per_block in (10 ** 6, 20):
+        assert abs(corr_kendall(df, ["x", "y"], per_block).first().tau - s / math.sqrt((n0 - tx) * (n0 - ty))) < 1e-12
+
+
+def test_ranks_come_back_by_broadcast_and_by_shuffle_alike(spark, monkeypatch):
+    from statloom.operators import correlate
+    rng = np.random.default_rng(17)
+    rows = [(i, float(rng.integers(0, 4)), float(rng.normal()) if i % 7 else None, 0.0 if i % 3 else float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(5)
+    frames = {}
+    for cells in (100_000, 10, 0):
+        monkeypatch.setattr(correlate, "BROADCAST_CELLS", cells)
+        frames[cells] = sorted(tuple(r[k] for k in ("id", "a", "b", "c")) for r in correlate.with_ranks(df, ["a", "b", "c"]).collect())
+        rho = {(r.var1, r.var2): r.r for r in correlate.corr_spearman(df, ["a", "c"]).collect()}
+    assert frames[100_000] == frames[10] == frames[0]
+    import pandas as pd
+    want = pd.DataFrame(rows, columns=["id", "a", "b", "c"])
+    assert np.allclose([r[1] for r in frames[0]], want["a"].rank()) and np.allclose([r[3] for r in frames[0]], want["c"].rank())
+    assert abs(rho["a", "c"] - want[["a", "c"]].corr("spearman").iloc[0, 1]) < 1e-9
+
+
+def test_near_unique_screen_counts_exactly_near_the_threshold(spark):
+    from statloom.operators.correlate import near_unique
+    df = spark.range(2_000).select(F.col("id").alias("u"), (F.col("id") % 1_899).alias("v"), (F.col("id") % 1_902).alias("w"),
+                                   (F.col("id") % 5).alias("k"))
+    assert near_unique(df, ["u", "v", "w", "k"], 0.95) == ["u", "w"]
+    assert near_unique(df.limit(0), ["u"], 0.95) == []
+
+
+def test_partial_correlation_equals_regression_residuals(spark):
+    from statloom.operators.correlate import corr_partial
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(200, 4))
+    x[:, 1] += x[:, 0]
+    x[:, 2] -= 0.5 * x[:, 1] + x[:, 3]
+    df = spark.createDataFrame(x.tolist() + [[1.0, None, 1.0, 1.0]], "a double, b double, c double, d double")
+    got = {(r.var1, r.var2): r for r in corr_partial(df).collect()}
+    for i, j in itertools.combinations(range(4), 2):
+        rest = np.column_stack([np.ones(200), *[x[:, k] for k in range(4) if k not in (i, j)]])
+        u, v = (x[:, k] - rest @ np.linalg.lstsq(rest, x[:, k], rcond=None)[0] for k in (i, j))
+        r = got["abcd"[i], "abcd"[j]]
+        assert r.n == 200 and abs(r.r_partial - np.corrcoef(u, v)[0, 1]) < 1e-9
+    both = df.withColumn("e", F.col("a") * 2)
+    assert all(r.r_partial is None for r in corr_partial(both).collect())
+    assert corr_partial(df.limit(0)).first().r_partial is None
+
+
+def test_trend_curves_equal_polyfit(spark):
+    from statloom.operators import timeseries as TS
+    rng = np.random.default_rng(19)
+    t = np.arange(40.0)
+    series = {"q": 3 - t + 0.2 * t ** 2 + rng.normal(size=40), "e": np.exp(0.1 * t + 1), "flat": np.full(12, 2.0), "short": t[:5]}
+    got = {(r.series, r.method): r for r in TS.ts_trend_curves(series_frame(spark, series)).collect()}
+    c, b, a = np.polyfit(t, series["q"], 2)
+    r = got["q", "polynomial"]
+    assert np.allclose([r.intercept, r.slope, r.curvature], [a, b, c]) and 0.9 < r.r2 <= 1
+    assert abs(got["e", "exponential"].slope - 0.1) < 1e-9 and abs(got["e", "exponential"].intercept - 1) < 1e-9
+    assert got["flat", "linear"].r2 == 0 and ("short", "linear") not in got
+    assert ("q", "exponential") not in got or series["q"].min() > 0
+
+
+def test_kmeans_shares_scans_and_equals_numpy(spark):
+    from statloom.operators import multivariate as M
+    rng = np.random.default_rng(20)
+    x = np.concatenate([rng.normal(c, 0.6, (50, 3)) for c in (0, 4, 9)] + [np.full((3, 3), 30.0)])
+    df = spark.createDataFrame(x.tolist() + [[None, 1.0, 1.0]], "a double, b double, c double").repartition(4)
+    z = np.array(mixture.scaled(df, ["a", "b", "c"]).collect())
+    models = [(k, r) for k in (2, 4) for r in range(3)]
+    fitted = M.lloyd(mixture.scaled(df, ["a", "b", "c"]), ["a", "b", "c"], models, len(z))
+    for k, r in models:
+        inertia, rows, _, sums, centres = fitted[k, r]
+        home = ((z[:, None] - centres) ** 2).sum(2).argmin(1)
+        assert rows.tolist() == np.bincount(home, minlength=len(centres)).tolist()
+        assert abs(inertia - ((z - centres[home]) ** 2).sum()) < 1e-9
+        for c in np.unique(home):  # Lloyd has come to rest
+            assert np.allclose(centres[c], z[home == c].mean(0), atol=1e-3)
+    sweep = {r.k: r for r in M.kmeans_sweep(df, ["a", "b", "c"], k_range=(2, 3, 4), restarts=4).collect()}
+    best = {k: fitted[min(((k, r) for r in range(3)), key=lambda m: fitted[m][0])] for k in (2, 4)}
+    d2 = ((z[:, None] - z[None]) ** 2).sum(2)
+    home = ((z[:, None] - best[4][4]) ** 2).sum(2).argmin(1)
+    s = []
+    for i in range(len(z)):
+        mean = {c: d2[i, home == c].sum() / max(1, (home == c).sum() - (c == home[i])) for c in np.unique(home)}
+        a, b = mean.pop(home[i]), min(mean.values())
+        s.append(0.0 if (home == home[i]).sum() == 1 else (b - a) / max(a, b))
+    assert abs(M._silhouettes(z, best[4]) - sum(s)) < 1e-6
+    assert sweep[2].inertia > sweep[3].inertia > sweep[4].inertia and sum(r.is_best for r in sweep.values()) == 1
+    assert M.kmeans_sweep(df.limit(0), ["a", "b", "c"]).count() == 0 == M.kmeans_profile(df.limit(0), 3, ["a", "b", "c"]).count()
