@@ -9,11 +9,11 @@ first, its far child goes back with its margin, until the opened leaves hold the
 search budget.  Rerank: the vectors of the opened leaves are compared with the
 query exactly, in double precision, and the best of every leaf block merge.
 
-The search budget is a share of the index (at least ``LEAST`` entries): among
+The search budget is a share of the index, the same at every size: among
 almost isotropic vectors a constant budget would lose recall as the index grows.
 
 Leaves of more than ``BLOCK`` vectors are cut into blocks and queries go to each
-block.  Vectors with equal components are indexed once with their ``k + 1``
+block; the queries of a block are cut into groups of about ``BLOCK``.  Vectors with equal components are indexed once with their ``k + 1``
 smallest ids (no more can be among k results), so a vector that a third of all
 rows share is one index entry.
 
@@ -37,10 +37,9 @@ from statloom.llm.common import materialize
 
 SAMPLE = 16_384
 TREES = 10
-LEAF = 128
-#: Share of all index entries, over all trees, that a query opens, and the least number of them.
-SHARE = 0.08
-LEAST = 20_000
+LEAF = 64
+#: Share of all index entries, over all trees, that a query opens.
+SHARE = 0.12
 BLOCK = 4_096
 SEED = 11
 
@@ -151,12 +150,16 @@ def _unpacked(column) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, leaf: int = LEAF,
-            share: float = SHARE, least: int = LEAST, sample: int = SAMPLE, block: int = BLOCK,
+            share: float = SHARE, sample: int = SAMPLE, block: int = BLOCK,
             id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row, its own id left out."""
     spark = vectors.sparkSession
     held = materialize(entries(vectors, k, id_col, vec_col))
-    drawn = held.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).toPandas()["v"]
+    total = held.count()
+    few = held.select("v", F.xxhash64("v").alias("h"))
+    if total > 2 * sample:  # a threshold on the hash leaves about twice the sample before the merge
+        few = few.where(F.pmod("h", F.lit(1 << 40)) < F.lit(int((1 << 40) * 2.0 * sample / total)))
+    drawn = few.orderBy("h", "v").limit(sample).toPandas()["v"]
     by_dim: dict[int, list] = {}
     for v in drawn:
         by_dim.setdefault(len(v), []).append(v)
@@ -175,7 +178,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TR
     indexed = materialize(held.mapInPandas(route, "v binary, ids array<long>, dim int, leaves array<long>"))
     counts = indexed.select("dim", F.explode("leaves").alias("leaf")).groupBy("dim", "leaf").count().collect()
     sizes = spark.sparkContext.broadcast({(r.dim, r.leaf): r["count"] for r in counts})  # at most the forest's leaves
-    total = held.count()
 
     def find(parts):
         lists = {d: [sizes.value.get((d, i), 0) for i in range(f.leaves)] for d, f in forests.value.items()}
@@ -183,7 +185,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TR
             for q, v in zip(pdf["id"], pdf["v"]):
                 d, v = len(v), np.asarray(v, np.float64)
                 f = forests.value.get(d)
-                opened = f.search(v, lists[d], max(least, share * total * trees)) if f else [0]
+                opened = f.search(v, lists[d], share * total * trees) if f else [0]
                 packed = v.tobytes()
                 yield pd.DataFrame([(q, packed, d, i, b) for i in opened for b in range(-(-sizes.value.get((d, i), 0) // block))],
                                    columns=["query_id", "v", "dim", "leaf", "blk"])
@@ -214,8 +216,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TR
             rows += [(qid, ids[p], s) for s, _, p in best]
         return pd.DataFrame(rows, columns=["query_id", "ids", "score"])
 
-    keys = ["dim", "leaf", "blk"]
-    found = wanted.groupBy(*keys).cogroup(units.select("v", "ids", *keys).groupBy(*keys)).applyInPandas(
+    wanted = materialize(wanted)
+    asks = wanted.groupBy("dim", "leaf", "blk").agg(F.ceil(F.count("*") / block).cast("int").alias("grps"))
+    wanted = wanted.join(asks, ["dim", "leaf", "blk"]).withColumn("grp", F.pmod(F.xxhash64("query_id"), F.col("grps")).cast("int"))
+    units = units.join(asks.toDF("dim", "leaf", "blk", "grps"), ["dim", "leaf", "blk"]).withColumn(
+        "grp", F.explode(F.sequence(F.lit(0), F.col("grps") - 1)))
+    keys = ["dim", "leaf", "blk", "grp"]
+    found = wanted.drop("grps").groupBy(*keys).cogroup(units.select("v", "ids", *keys).groupBy(*keys)).applyInPandas(
         rerank, "query_id long, ids array<long>, score double")
     pairs = found.select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
     once = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
