@@ -1,8 +1,9 @@
 """Embedding near-duplicates: an exact metric range join.
 
 Unit vectors with cosine >= ``threshold`` lie within r = sqrt(2 - 2 threshold).
-Pivots (a bounded number, by hash order) cut the space into cells; a vector's
-home is its nearest pivot's cell.  It is copied to another pivot's cell only if
+Only vectors of one label are compared, so every label has pivots of its own, one for
+``PER_PIVOT`` of its vectors (by hash order); they cut its vectors into cells, and a vector's
+home is its nearest pivot's cell.  A label of fewer vectors is one cell.  It is copied to another pivot's cell only if
 that cell can hold a partner: by the triangle inequality the partner's home
 distance is at least d - r, so it needs d(pivot) - d(home pivot) <= 2 r and
 d(pivot) - r <= the cell's radius, and the plane halfway between both pivots
@@ -28,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from statloom.llm.ann import usable
 from statloom.llm.common import materialize
@@ -35,7 +37,7 @@ from statloom.functions.components import connected_components
 from statloom.llm.simhash import star_edges
 
 THRESHOLD = 0.98
-#: Vectors a pivot stands for, and the most pivots there are.
+#: Vectors of a label that a pivot stands for, and the most pivots that are sent to every task.
 PER_PIVOT = 5_000
 MAX_PIVOTS = 2_048
 CELL = 4_096
@@ -86,43 +88,51 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_pivot:
     rows = materialize(rows.withColumn("h", F.when(F.col("ok"), F.xxhash64("label", "v"))))
     held = materialize(rows.where("ok").groupBy("h", "label", "v").agg(
         F.min("vec_id").alias("node"), F.count("*").alias("copies")).withColumn("key", F.monotonically_increasing_id()))
-    n = held.count()
-    n_pivots = min(max_pivots, max(1, math.ceil(n / per_pivot)))
-    drawn = held.select("v").orderBy(F.xxhash64("v", F.lit(7)), "v").limit(n_pivots).toPandas()["v"]
-    by_dim: dict[int, list] = {}
-    for v in drawn:
-        by_dim.setdefault(len(v), []).append(v)
-    pivots = spark.sparkContext.broadcast({d: np.unique(_units(v), axis=0) for d, v in by_dim.items()})
+    # the labels large enough for two pivots, the largest first where the bound on pivots would be passed
+    group = held.groupBy("label", F.size("v").alias("dim")).count().where(F.col("count") > per_pivot)
+    group = group.orderBy(F.desc("count"), "label", "dim").limit(max_pivots).collect()
+    wanted = [math.ceil(g["count"] / per_pivot) for g in group]
+    less = min(1.0, max_pivots / max(sum(wanted), 1))
+    group = [(g.label, g.dim, max(1, int(k * less)), min(1.0, 4.0 * k / g["count"])) for g, k in zip(group, wanted)]
+    table = F.broadcast(spark.createDataFrame(group, "label string, dim int, k int, share double"))
+    few = held.select("label", F.size("v").alias("dim"), "v", F.xxhash64("v", F.lit(7)).alias("o")).join(table, ["label", "dim"])
+    few = few.where(F.pmod("o", F.lit(1 << 40)) <= F.col("share") * float(1 << 40))
+    nth = F.row_number().over(Window.partitionBy("label", "dim").orderBy("o", "v"))
+    drawn: dict[tuple, list] = {}
+    for label, dim, v in few.withColumn("nth", nth).where("nth <= k").select("label", "dim", "v").collect():  # at most max_pivots
+        drawn.setdefault((label, dim), []).append(v)
+    pivots = spark.sparkContext.broadcast({g: np.unique(_units(v), axis=0) for g, v in drawn.items()})
 
     def distances(pdf):
-        """For each length: rows, unit vectors, pivots and the distances to them."""
-        dims = pdf["v"].map(len).to_numpy()
+        """For each label with pivots, and each length of all others: rows, unit vectors, pivots and the distances to them."""
+        dims, labels = pdf["v"].map(len).to_numpy(), pdf["label"].to_numpy()
         for d in np.unique(dims):
-            own = np.flatnonzero(dims == d)
-            u = _units(pdf["v"].iloc[own])
-            p = pivots.value.get(int(d), u[:0])
-            if not len(p):  # a length without a pivot is one cell
-                p = np.zeros((1, int(d)))
-            yield int(d), own, u, p, np.sqrt(np.maximum((u * u).sum(1)[:, None] + (p * p).sum(1) - 2 * u @ p.T, 0))
+            at = np.flatnonzero(dims == d)
+            split = np.array([(c, int(d)) in pivots.value for c in labels[at]])
+            for label in [*np.unique(labels[at[split]].astype(str)), None]:
+                own = at[split & (labels[at] == label)] if label is not None else at[~split]
+                if not len(own):
+                    continue
+                u = _units(pdf["v"].iloc[own])
+                p = np.zeros((1, int(d))) if label is None else pivots.value[label, int(d)]
+                yield label, int(d), own, u, p, np.sqrt(np.maximum((u * u).sum(1)[:, None] + (p * p).sum(1) - 2 * u @ p.T, 0))
 
     def homes(parts):
         for pdf in parts:
-            for d, own, _, _, dist in distances(pdf):
+            for label, d, own, _, _, dist in distances(pdf):
                 home = dist.argmin(1)
-                got = pdf.iloc[own]
-                yield pd.DataFrame({"key": got["key"], "label": got["label"], "dim": d, "cell": home,
-                                    "far": dist[np.arange(len(own)), home]})
+                yield pd.DataFrame({"label": label, "dim": d, "cell": home, "far": dist[np.arange(len(own)), home]})
 
-    cells = held.mapInPandas(homes, "key long, label string, dim int, cell int, far double").groupBy("dim", "cell").agg(
-        F.max("far").alias("far")).collect()  # one row per pivot
-    radius = spark.sparkContext.broadcast({(c.dim, c.cell): c.far for c in cells})
+    cells = held.mapInPandas(homes, "label string, dim int, cell int, far double").groupBy("label", "dim", "cell").agg(
+        F.max("far").alias("far")).collect()  # one row per pivot, and one per length
+    radius = spark.sparkContext.broadcast({(c.label, c.dim, c.cell): c.far for c in cells})
 
     def assign(parts):
         for pdf in parts:
-            for d, own, u, p, dist in distances(pdf):
+            for label, d, own, u, p, dist in distances(pdf):
                 home = dist.argmin(1)
                 near = dist[np.arange(len(own)), home][:, None]
-                far = np.array([radius.value.get((d, c), -9.0) for c in range(len(p))])
+                far = np.array([radius.value.get((label, d, c), -9.0) for c in range(len(p))])
                 gap = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (p * p).sum(1) - 2 * p @ p.T, 0))[home]
                 slack = 1e-6
                 go = (dist <= near + 2 * r + slack) & (dist <= far + r + slack)
