@@ -246,14 +246,13 @@ class Index:
         self.units = routed.join(table, ["dim", "leaf"]).withColumn(
             "blk", F.pmod(F.xxhash64("id", "label", "x"), F.col("blks")).cast("int")).drop("blks")
 
-    def meet(self, asked: DataFrame, columns: str, first: bool, work, result: str, n_asked: int) -> DataFrame:
+    def meet(self, asked: DataFrame, columns: str, first: bool, work, result: str) -> DataFrame:
         """``work(anchors, vectors)`` of every block and group of anchors that must meet.
 
         ``asked``: columns (as in ``columns``) with id, x, dim and the window low, high.  The
         first round opens the best leaves, the second all others that meet the window.
         """
         trees, sizes, blocks = self.trees, self.sizes, self.blocks
-        groups = max(1, -(-n_asked // ANCHORS))
         names = [c.split()[0] for c in columns.split(", ")]
 
         def leaves(d: int, a: np.ndarray, window):
@@ -283,9 +282,12 @@ class Index:
                             blk_of.append(b)
                 yield pdf[names].iloc[at].assign(leaf=leaf_of, blk=blk_of)
 
-        wanted = asked.select(*names).mapInPandas(find, f"{columns}, leaf long, blk int")
-        wanted = wanted.withColumn("grp", F.pmod(F.xxhash64("id", "x"), F.lit(groups)).cast("int"))
-        units = self.units.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        wanted = materialize(asked.select(*names).mapInPandas(find, f"{columns}, leaf long, blk int"))
+        asks = wanted.groupBy("dim", "leaf", "blk").agg(F.ceil(F.count("*") / ANCHORS).cast("int").alias("grps"))
+        wanted = wanted.join(asks, ["dim", "leaf", "blk"]).withColumn(
+            "grp", F.pmod(F.xxhash64("id", "x"), F.col("grps")).cast("int")).drop("grps")
+        units = self.units.join(asks.toDF("dim", "leaf", "blk", "grps"), ["dim", "leaf", "blk"])
+        units = units.withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("grps") - 1))).drop("grps")
         keys = ["dim", "leaf", "blk", "grp"]
         return wanted.groupBy(*keys).cogroup(units.groupBy(*keys)).applyInPandas(work, result)
 
@@ -311,7 +313,6 @@ def mine(vectors: DataFrame, anchors: DataFrame, positives: int = 5, negatives:
     """
     held = materialize(prepare(vectors, id_col, vec_col, label_col))
     asked = materialize(prepare(anchors, id_col, vec_col, label_col))
-    n_asked = asked.count()
     index = Index(held, **options)
     base = "id long, label long, x binary, dim int, low double, high double"
     empty = ["anchor", "anchor_label", "ax", "other", "score"]
@@ -330,12 +331,12 @@ def mine(vectors: DataFrame, anchors: DataFrame, positives: int = 5, negatives:
     me = ["anchor", "anchor_label", "ax"]
     order = [F.desc("score"), "other"]
     open_window = asked.withColumns({"low": F.lit(-np.inf), "high": F.lit(np.inf)})
-    near = materialize(_top(index.meet(open_window, base, True, alike, row, n_asked), me, order, positives).drop("rank"))
+    near = materialize(_top(index.meet(open_window, base, True, alike, row), me, order, positives).drop("rank"))
     bar = near.groupBy(*me).agg(F.count("*").alias("c"), F.min("score").alias("s"))
     known = asked.join(bar.toDF("id", "label", "x", "c", "s"), ["id", "label", "x"], "left")
     known = known.withColumns({"low": F.when(F.col("c") >= positives, F.col("s").cast("double")).otherwise(-np.inf),
                                "high": F.lit(np.inf)})
-    rest = index.meet(known, base, False, alike, row, n_asked)
+    rest = index.meet(known, base, False, alike, row)
     positive = materialize(_top(near.unionByName(rest), me, order, positives))
 
     # one row per anchor with the scores of its positives; below zero no negative can lie within the window
@@ -361,14 +362,14 @@ def mine(vectors: DataFrame, anchors: DataFrame, positives: int = 5, negatives:
     lowest = F.array_min("tops").cast("double") * (margin / 100)
     wide = windows.withColumns({"low": lowest, "high": F.array_max("tops").cast("double")})
     nth = [*me, "nth"]
-    near = materialize(_top(index.meet(wide, base, True, unlike, row, n_asked), nth, order, negatives).drop("rank"))
+    near = materialize(_top(index.meet(wide, base, True, unlike, row), nth, order, negatives).drop("rank"))
     # a positive with all its negatives found needs nothing below the last of them
     full = near.groupBy(*nth).agg(F.count("*").alias("c"), F.min("score").alias("s")).where(F.col("c") >= negatives)
     full = full.groupBy(*me).agg(F.map_from_entries(F.collect_list(F.struct("nth", "s"))).alias("full"))
     known = wide.join(full.toDF("id", "label", "x", "full"), ["id", "label", "x"], "left")
     need = F.transform(F.arrays_zip("ranks", "tops"), lambda p: F.coalesce(
         F.element_at("full", p["ranks"]).cast("double"), p["tops"].cast("double") * (margin / 100)))
-    rest = index.meet(known.withColumn("low", F.array_min(need)), base, False, unlike, row, n_asked)
+    rest = index.meet(known.withColumn("low", F.array_min(need)), base, False, unlike, row)
     negative = _top(near.unionByName(rest), nth, order, negatives)
     p = positive.select(*me, F.col("rank").alias("nth"), F.col("other").alias("positive_id"), F.col("score").alias("positive_score"))
     return negative.join(p, nth).select(
