@@ -9,8 +9,8 @@ states of both directions by attention, and gives each window a probability; a
 text's score is that of its worst window.
 
 Training: on the driver, from a bounded sample of labelled training rows (at
-most ``MAX_TOXIC`` and ``MAX_CLEAN`` by hash of the id, all windows of each).  A label holds for a text, not for its windows,
-so every epoch after the first picks from each toxic text the windows that
+most ``MAX_TOXIC`` and ``MAX_CLEAN`` by hash of the id, at most ``MAX_WINDOWS`` windows of each, drawn evenly
+over longer texts), so its size is bounded whatever the texts' length.  A label holds for a text, not for its windows, so every epoch after the first picks from each toxic text the windows that
 score highest now, and from each clean text its highest and some others.
 
 Cases: a null or blank text is one window without words and scores by the bias;
@@ -37,6 +37,8 @@ GRAMS = (5,)
 #: A word or n-gram needs as many training documents to get an embedding.
 LEAST_DOCS = 3
 MAX_TOXIC, MAX_CLEAN = 800, 3_000
+#: Training windows of one text (scoring reads all windows of all texts).
+MAX_WINDOWS = 512
 EPOCHS, BATCH, RATE = 10, 128, 0.01
 TOXIC_AT = 0.7
 #: Projected words a Python worker holds.
@@ -312,7 +314,7 @@ class Scorer:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[list[list[str]], list[int]]:
-    """All windows and the label of a bounded sample of the labelled rows that are not held out."""
+    """Windows and the label of a bounded sample of the labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), 3) != 1)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -325,6 +327,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
             for i, y, t in zip(*(c.to_pylist() for c in b.columns)):
                 ws = words_of(t)
                 starts = window_starts(len(ws))
+                if len(starts) > MAX_WINDOWS:
+                    starts = [starts[k * len(starts) // MAX_WINDOWS] for k in range(MAX_WINDOWS)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i]), pa.array([y], pa.int32()), pa.array([[b" ".join(ws[s:s + WINDOW]).decode() for s in starts]])],
                     names=["doc_id", "toxic", "windows"])

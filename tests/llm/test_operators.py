@@ -97,7 +97,7 @@ def test_nearest_recall_and_exact_scores(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3_000, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VEC)
-    got = ann.nearest(df, df.where("vec_id % 100 = 0"), 10, trees=8, leaf=32, least=2_500, block=200).collect()
+    got = ann.nearest(df, df.where("vec_id % 100 = 0"), 10, trees=8, leaf=32, share=0.15, block=200).collect()
     hit = 0
     for q in range(0, 3_000, 100):
         dist = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
@@ -451,6 +451,17 @@ def test_toxicity_windows_hold_passages_and_training_sees_all(spark):
     assert {w for text in windows for window in text for w in window.split()} >= {f"w{k}" for k in range(5_000)}
 
 
+def test_training_windows_of_a_text_are_bounded(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1][:6]
+    words = [" ".join(f"w{k}" for k in range(n)) for n in (30_000, 3, 0, 500, 9_000, 40)]
+    docs = spark.createDataFrame(list(zip(ids, words)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    windows, y = toxicity.training_sample(docs, labels)
+    assert sorted(map(len, windows)) == sorted(min(toxicity.MAX_WINDOWS, len(toxicity.window_starts(len(w.split())))) for w in words)
+    longest = max(windows, key=lambda ws: (len(ws), ws[0]))
+    assert len(longest) == toxicity.MAX_WINDOWS and longest[0].split()[0] == "w0"
+
+
 # --- 8: licences ---
 
 def test_license_templates(spark):
