@@ -104,13 +104,15 @@ class Net:
         return np.concatenate([x @ self.p["wf"] + self.p["cf"], x @ self.p["wb"] + self.p["cb"]], 1)
 
     def forward(self, proj, at, keep=False):
-        """Logit of every window; ``at``: words of each window as rows of ``proj``, -1 behind the end."""
+        """Logit of every window; ``at``: words of each window as rows of ``proj``, -1 behind the end.
+
+        ``proj``: projected words, or the halves of both directions as arrays of their own.
+        """
         p, h3, n, t = self.p, 3 * HIDDEN, len(at), at.shape[1]
         there = (at >= 0).astype(np.float32)
         states, trace = [], {}
-        for s, order in (("f", range(t)), ("b", range(t - 1, -1, -1))):
-            half = proj[:, :h3] if s == "f" else proj[:, h3:]
-            half = np.ascontiguousarray(half)
+        halves = proj if isinstance(proj, tuple) else tuple(map(np.ascontiguousarray, (proj[:, :h3], proj[:, h3:])))
+        for s, half, order in (("f", halves[0], range(t)), ("b", halves[1], range(t - 1, -1, -1))):
             h = np.zeros((n, HIDDEN), np.float32)
             out = np.empty((t, n, HIDDEN), np.float32)
             steps = []
@@ -284,7 +286,8 @@ class Scorer:
     def __init__(self, net: Net):
         self.net = net
         self.at = _Places()
-        self.table = np.zeros((MEMO, 6 * HIDDEN), np.float32)
+        # one table per direction: a batch of windows copies only the rows it reads
+        self.table = tuple(np.zeros((MEMO, 3 * HIDDEN), np.float32) for _ in "fb")
 
     def rows(self, lists: list[list[bytes]]) -> list[np.ndarray]:
         if len(self.at) > MEMO:
@@ -294,9 +297,10 @@ class Scorer:
         new = len(self.at)
         if new > old:
             fresh = list(itertools.islice(reversed(self.at), new - old))[::-1]
-            if new > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((new, 6 * HIDDEN), np.float32)])
-            self.table[old:new] = self.net.project(self.net.inputs([self.net.parts(w) for w in fresh])[0])
+            if new > len(self.table[0]):
+                self.table = tuple(np.concatenate([t, np.zeros((new, 3 * HIDDEN), np.float32)]) for t in self.table)
+            got_new = self.net.project(self.net.inputs([self.net.parts(w) for w in fresh])[0])
+            self.table[0][old:new], self.table[1][old:new] = got_new[:, :3 * HIDDEN], got_new[:, 3 * HIDDEN:]
         return got
 
     def score(self, texts: list[str]) -> np.ndarray:
