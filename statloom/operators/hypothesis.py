@@ -459,6 +459,8 @@ def mutual_information(df: DataFrame, cols: list[str] | None = None, target: str
     probs = [i / bins for i in range(1, bins)]
     q = quantile_wide(cc, cols, probs, [f"q{i}" for i in range(1, bins)])
     cuts = {r["column_name"]: [r[f"q{i}"] for i in range(1, bins)] for r in q.collect()}
+    if not cuts:
+        raise ValueError("mutual information: no row has all columns")
 
     def binned(c):
         e = F.lit(0)

@@ -144,7 +144,10 @@ def outliers_isolation_forest(df: DataFrame, key: str, cols: list[str] | None =
                               sample: int = SAMPLE, seed: int = SEED) -> dict[str, DataFrame]:
     """O3: outlier count and share, threshold, and the first 100 scores by key."""
     sc = isolation_scores(df, key, cols, trees, sample, seed).checkpoint(eager=True)
-    thr = exact_quantiles(sc, ["score"], [contamination]).first()["q"]
+    found = exact_quantiles(sc, ["score"], [contamination]).first()
+    if found is None:
+        raise ValueError("isolation forest: no row has all columns")
+    thr = found["q"]
     summary = sc.agg(F.count(F.lit(1)).alias("n"),
                      F.sum((F.col("score") < F.lit(thr)).cast("long")).alias("n_outliers")).select(
         "n", "n_outliers", (F.col("n_outliers") * 100.0 / F.col("n")).alias("pct"),

@@ -137,16 +137,16 @@ def corr_distance(spark, sf):
     return distance.corr_distance(frame(spark, sf, "part_numeric"), _PART)
 
 
-_PARTIAL = sql("part_numeric") + """, r AS (SELECT count(*) AS n, corr(seq_no, p_size) AS a, corr(seq_no, p_retailprice) AS b,
-  corr(p_size, p_retailprice) AS c FROM part_numeric)
-SELECT 'seq_no' AS var1, 'p_size' AS var2, n, (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) AS r_partial FROM r
-UNION ALL SELECT 'seq_no', 'p_retailprice', n, (b - a * c) / sqrt((1 - a * a) * (1 - c * c)) FROM r
-UNION ALL SELECT 'p_size', 'p_retailprice', n, (c - a * b) / sqrt((1 - a * a) * (1 - b * b)) FROM r"""
+_PARTIAL = sql("order_rollup") + """, r AS (SELECT count(*) AS n, corr(n_lines, sum_qty) AS a, corr(n_lines, avg_disc) AS b,
+  corr(sum_qty, avg_disc) AS c FROM order_rollup)
+SELECT 'n_lines' AS var1, 'sum_qty' AS var2, n, (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) AS r_partial FROM r
+UNION ALL SELECT 'n_lines', 'avg_disc', n, (b - a * c) / sqrt((1 - a * a) * (1 - c * c)) FROM r
+UNION ALL SELECT 'sum_qty', 'avg_disc', n, (c - a * b) / sqrt((1 - a * a) * (1 - b * b)) FROM r"""
 
 
 @register("corr_partial", sql=_PARTIAL, sig_cols=["r_partial"])
 def corr_partial(spark, sf):
-    return correlate.corr_partial(frame(spark, sf, "part_numeric"), _PART)
+    return correlate.corr_partial(frame(spark, sf, "order_rollup"), ["n_lines", "sum_qty", "avg_disc"])
 
 
 # --- target encoding ---
