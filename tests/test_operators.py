@@ -242,3 +242,49 @@ def test_kmeans_sweep_finds_three_blobs(spark):
     assert best == [3]
     prof = M.kmeans_profile(df, 3, ["x", "y"], restarts=2).collect()
     assert sorted(r.size for r in prof) == [40, 40, 40]
+
+
+def test_sparse_dbscan_meets_in_units(spark, monkeypatch):
+    import numpy as np
+
+    from statloom.operators import dbscan as D
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 5))
+    x[:40] = x[0] + rng.normal(size=(40, 5)) * 0.3
+    x[40:60] = x[41]
+    monkeypatch.setattr(D, "UNIT_ROWS", (40, 60))
+    monkeypatch.setattr(D, "_cell_pairs", None)  # no pairs of cells where hardly two points share one
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double, e double")
+    got = D.dbscan_labels(df, eps=1.0).collect()
+    z = (x - x.mean(0)) / x.std(0)
+    near = ((z[:, None] - z[None]) ** 2).sum(2) <= 1.0
+    core = near.sum(1) >= 5
+    label = np.where(core, np.arange(len(z)), len(z))
+    while True:
+        low = np.where(core, np.where(near & core, label, len(z)).min(1), len(z))
+        if (low == label).all():
+            break
+        label = low
+    noise = ~(near & core).any(1)
+    assert sum(r.w for r in got) == 700
+    assert sum(r.w for r in got if r.core) == core.sum() and sum(r.w for r in got if r.label == -1) == noise.sum()
+    parts = {}
+    for r in got:
+        if r.core:
+            i = int(((z - [r.a, r.b, r.c, r.d, r.e]) ** 2).sum(1).argmin())
+            parts.setdefault(r.label, set()).add(label[i])
+    assert all(len(v) == 1 for v in parts.values()) and len(parts) == len(set(label[core]))
+
+
+def test_close_is_exact_at_eps():
+    import numpy as np
+
+    from statloom.operators import dbscan as D
+    rng = np.random.default_rng(5)
+    x = rng.integers(-8, 8, (300, 4)) * 0.1 + 1000.0
+    for eps in (0.1, 0.3, 0.5):
+        assert (D._close(x, x, eps) == D._within(x, x, eps)).all()
+    part = D._own_components(np.array([[0.0], [5.0], [0.4], [0.8], [5.3]]), 0.5)
+    assert part.tolist() == [0, 1, 0, 0, 1]
+    a, y = np.array([[0.0], [0.2], [9.0]]), np.array([[9.3], [0.3], [30.0]])
+    assert D._linked_parts(a, np.array([7, 7, 8]), y, np.array([3, 4, 5]), 0.5).tolist() == [[7, 4], [8, 3]]
