@@ -11,7 +11,12 @@ that the cell may lack counts nothing).  Rings of cells open in the order of tha
 bound: first the nearest cells until they hold enough donors, then every cell whose
 bound is not above the k-th distance found.  The number of cells is bounded, so
 their table (a few numbers each) goes to every task; large cells are cut into
-blocks, and the rows that ask are cut into groups, that meet in separate tasks.
+blocks, and the rows that ask a block into as many parts as their number needs, that
+meet in separate tasks.
+
+Rows with the same values and gaps ask once (a row never gives to itself: it lacks
+what it asks for).  Of the donors of a block that agree in every column that the asking
+rows have, only the first k can be among the nearest.
 
 Cases: a column without any value stays null; rows that share no column with a
 donor do not use it, and with no donor at all the column's mean is taken; NaN is
@@ -27,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from statloom.functions.components import materialize
 from statloom.functions.exprs import clean_numeric, num, numeric_columns
 from statloom.session import ensure_checkpoint_dir
 
@@ -66,12 +72,56 @@ class Cells:
         self.whole = self.has == n[:, None]  # no gaps in the column
 
     def bounds(self, x: np.ndarray) -> np.ndarray:
-        """Least squared distance of the row x to any row of each cell."""
-        gap = np.maximum(np.maximum(self.low - x, x - self.high), 0.0)
-        known = ~np.isnan(x)
-        gap = np.where(known & self.whole, gap, 0.0)
-        m = max(int(known.sum()), 1)
-        return (gap * gap).sum(1) * len(x) / m * (1 - 1e-12)
+        """Least squared distance of each row of x to any row of each cell."""
+        total = np.zeros((len(x), len(self.no)))
+        for j in range(x.shape[1]):
+            gap = np.maximum(np.maximum(self.low[:, j] - x[:, j, None], x[:, j, None] - self.high[:, j]), 0.0)
+            total += np.where(~np.isnan(x[:, j, None]) & self.whole[:, j], gap * gap, 0.0)
+        m = np.maximum((~np.isnan(x)).sum(1), 1)
+        return total * (x.shape[1] / m[:, None]) * (1 - 1e-12)
+
+    def first(self, x: np.ndarray, k: int) -> np.ndarray:
+        """Which cells, nearest first, each row of x needs until every missing column has enough donors."""
+        b = self.bounds(x)
+        order = np.argsort(b, axis=1, kind="stable")
+        stop = np.zeros(len(x), np.int64)
+        for j in range(x.shape[1]):
+            held = np.minimum(np.cumsum(self.has[:, j][order], axis=1), FIRST * k)
+            stop = np.maximum(stop, np.where(np.isnan(x[:, j]), (held == held[:, -1:]).argmax(1) + 1, 0))
+        wanted = np.zeros(b.shape, bool)
+        np.put_along_axis(wanted, order, np.arange(b.shape[1]) < stop[:, None], axis=1)
+        return wanted
+
+    def within(self, x: np.ndarray, bars: np.ndarray) -> np.ndarray:
+        """Which cells may hold a donor not farther than the bar of a missing column."""
+        b = self.bounds(x)
+        wanted = np.zeros(b.shape, bool)
+        for j in range(x.shape[1]):
+            wanted |= np.isnan(x[:, j, None]) & (b <= bars[:, j, None]) & (self.has[:, j] > 0)
+        return wanted
+
+
+def _first_of_equal(v: np.ndarray, k: int) -> np.ndarray:
+    """The first k rows of every set of equal rows (missing values equal too), in the rows' order."""
+    if not len(v):
+        return np.zeros(0, np.int64)
+    known = ~np.isnan(v)
+    which = np.unique(np.hstack([np.where(known, v, 0.0), known]), axis=0, return_inverse=True)[1].ravel()
+    order = np.argsort(which, kind="stable")
+    starts = np.r_[0, np.flatnonzero(np.diff(which[order])) + 1]
+    nth = np.arange(len(v)) - np.repeat(starts, np.diff(np.r_[starts, len(v)]))
+    return np.sort(order[nth < k])
+
+
+def _smallest(d2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k smallest finite numbers of every row, ties to the first."""
+    fit = np.isfinite(d2)
+    if d2.shape[1] > k:
+        bar = np.partition(d2, k - 1, axis=1)[:, k - 1:k]
+        less, tied = d2 < bar, d2 == bar
+        room = k - less.sum(1, keepdims=True)
+        fit &= less | (tied & (np.cumsum(tied, axis=1) <= room))
+    return np.nonzero(fit)
 
 
 def _grid(rows: DataFrame, cols: list[str], n: int, counts: dict[str, int], max_cells: int, cell_rows: int):
@@ -108,84 +158,75 @@ def nearest_values(df: DataFrame, cols: list[str], k: int = NEIGHBOURS, key: str
         F.min(c).alias(f"l{j}"), F.max(c).alias(f"h{j}"), F.count(c).alias(f"c{j}"))])
     cells = Cells(sorted(bounds.collect(), key=lambda r: r["cell"]), cols, block)  # at most max_cells rows
     held = df.sparkSession.sparkContext.broadcast(cells)
-    asking = placed.where(" OR ".join(f"`{c}` IS NULL" for c in cols)).drop("cell")
-    groups = max(1, -(-asking.count() // block))
+    gaps = " OR ".join(f"`{c}` IS NULL" for c in cols)
+    asking = materialize(placed.where(gaps).groupBy(*cols).agg(F.count("*").alias("_n")).drop("_n")
+                         .withColumn("_ask", F.monotonically_increasing_id()))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-asking.count() // block))
     d = len(cols)
-    wanted_by = [f"b{j}" for j in range(d)]
-
-    def first_cells(row: np.ndarray) -> np.ndarray:
-        """Cells, nearest first, until every missing column has enough donors."""
-        c = held.value
-        b = c.bounds(row)
-        order = np.argsort(b, kind="stable")
-        missing = np.isnan(row)
-        enough = np.minimum(np.cumsum(c.has[order][:, missing], axis=0), FIRST * k).min(1)
-        stop = int(np.argmax(enough == enough[-1])) + 1
-        return order[:stop]
-
-    def later_cells(row: np.ndarray, bars: np.ndarray) -> np.ndarray:
-        c = held.value
-        b = c.bounds(row)
-        missing = np.isnan(row)
-        seen = np.zeros(len(b), bool)
-        seen[first_cells(row)] = True
-        useful = ((b[:, None] <= bars[missing]) & (c.has[:, missing] > 0)).any(1)
-        return np.flatnonzero(useful & ~seen)
+    bar_cols = [f"b{j}" for j in range(d)]
 
     def ask(first: bool):
         def run(parts):
             c = held.value
             for pdf in parts:
-                v = pdf[cols].to_numpy(np.float64)
-                bars = None if first else pdf[wanted_by].to_numpy(np.float64)
-                at, cell, blk = [], [], []
-                for i in range(len(v)):
-                    for o in first_cells(v[i]) if first else later_cells(v[i], bars[i]):
-                        for b in range(c.blocks[o]):
-                            at.append(i)
-                            cell.append(c.no[o])
-                            blk.append(b)
-                yield pdf[["_row", *cols]].iloc[at].assign(cell=cell, blk=blk)
+                v, bars = pdf[cols].to_numpy(np.float64), None if first else pdf[bar_cols].to_numpy(np.float64)
+                for s in range(0, len(v), 256):
+                    x = v[s:s + 256]
+                    at, cell = np.nonzero(c.first(x, k) if first else c.within(x, bars[s:s + 256]))
+                    times = c.blocks[cell]
+                    blk = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    yield pdf.iloc[s + np.repeat(at, times)].assign(cell=np.repeat(c.no[cell], times), blk=blk)
         return run
 
-    schema = "_row long, " + ", ".join(f"`{c}` double" for c in cols) + ", cell int, blk int"
     number_of = F.broadcast(df.sparkSession.createDataFrame(
         [(int(c), int(b)) for c, b in zip(cells.no, cells.blocks)], "cell int, blks int"))
     units = placed.join(number_of, "cell").withColumn("blk", F.pmod(F.xxhash64("_row"), F.col("blks")).cast("int")).drop("blks")
-    units = units.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def meet(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(e):
-            a, b, donor = q[cols].to_numpy(np.float64), e[cols].to_numpy(np.float64), e["_row"].to_numpy()
-            for s in range(0, len(a), 512):
-                d2 = gaps_squared(a[s:s + 512], b)
-                for i, row in enumerate(q["_row"].iloc[s:s + 512]):
-                    for j in np.flatnonzero(np.isnan(a[s + i])):
-                        fit = np.flatnonzero(~np.isnan(b[:, j]) & np.isfinite(d2[i]) & (donor != row))
-                        if len(fit) > k:
-                            bar = np.partition(d2[i, fit], k - 1)[k - 1]
-                            fit = fit[d2[i, fit] <= bar]
-                        fit = fit[np.lexsort((donor[fit], d2[i, fit]))][:k]
-                        out += [(row, int(j), d2[i, f], int(donor[f]), b[f, j]) for f in fit]
-        return pd.DataFrame(out, columns=["_row", "j", "d2", "donor", "value"])
+            e = e.sort_values("_row", kind="stable")
+            a, b, donor, asks = q[cols].to_numpy(np.float64), e[cols].to_numpy(np.float64), e["_row"].to_numpy(), q["_ask"].to_numpy()
+            bars = q[bar_cols].to_numpy(np.float64) if "b0" in q else np.full(a.shape, np.inf)
+            kinds, kind = np.unique(np.isnan(a), axis=0, return_inverse=True)
+            for i, gone in enumerate(kinds):
+                mine = np.flatnonzero(kind.ravel() == i)
+                for j in np.flatnonzero(gone):
+                    able = np.flatnonzero(~np.isnan(b[:, j]))
+                    able = able[_first_of_equal(b[able][:, ~gone], k)]
+                    for s in range(0, len(mine), 256):
+                        rows_at = mine[s:s + 256]
+                        d2 = gaps_squared(a[rows_at], b[able])
+                        d2[d2 > bars[rows_at, j, None]] = np.inf
+                        r, at = _smallest(d2, k)
+                        out.append(pd.DataFrame({"_ask": asks[rows_at[r]], "j": j, "d2": d2[r, at], "donor": donor[able[at]],
+                                                 "value": b[able[at], j]}))
+        return pd.concat(out) if out else pd.DataFrame([], columns=["_ask", "j", "d2", "donor", "value"])
 
     def round_of(frame: DataFrame, first: bool) -> DataFrame:
-        wanted = frame.mapInPandas(ask(first), schema).withColumn(
-            "grp", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("int"))
-        keys = ["cell", "blk", "grp"]
-        return wanted.groupBy(*keys).cogroup(units.groupBy(*keys)).applyInPandas(
-            meet, "_row long, j int, d2 double, donor long, value double")
-
-    def best(found: DataFrame) -> DataFrame:
-        w = Window.partitionBy("_row", "j").orderBy("d2", "donor")
+        kinds = ", ".join(f"`{n}` {t}" for n, t in frame.dtypes)
+        spread = frame.repartition(tasks, "_ask")
+        wanted = materialize(spread.mapInPandas(ask(first), f"{kinds}, cell int, blk int"))
+        parts = F.broadcast(materialize(wanted.groupBy("cell", "blk").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))))
+        wanted = wanted.join(parts, ["cell", "blk"]).withColumn("part", F.pmod(F.xxhash64("_ask"), F.col("parts")).cast("int"))
+        giving = units.join(parts, ["cell", "blk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        keys = ["cell", "blk", "part"]
+        return wanted.drop("parts").groupBy(*keys).cogroup(giving.drop("parts").groupBy(*keys)).applyInPandas(
+            meet, "_ask long, j int, d2 double, donor long, value double")
+
+    def best(found: DataFrame, of: str) -> DataFrame:
+        w = Window.partitionBy(of, "j").orderBy("d2", "donor")
         return found.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k).drop("nth")
 
-    near = best(round_of(asking, True)).checkpoint(eager=True)
-    bar = near.groupBy("_row", "j").agg(F.count("*").alias("c"), F.max("d2").alias("d2")).where(F.col("c") >= k)
-    bars = bar.groupBy("_row").agg(*[F.max(F.when(F.col("j") == j, F.col("d2"))).alias(b) for j, b in enumerate(wanted_by)])
-    known = asking.join(bars, "_row", "left").fillna(math.inf, wanted_by)
-    found = best(near.unionByName(round_of(known, False)))
+    near = best(round_of(asking, True), "_ask")
+    bar = near.groupBy("_ask", "j").agg(F.count("*").alias("c"), F.max("d2").alias("d2")).where(F.col("c") >= k)
+    bars = bar.groupBy("_ask").agg(*[F.max(F.when(F.col("j") == j, F.col("d2"))).alias(b) for j, b in enumerate(bar_cols)])
+    known = materialize(asking.join(bars, "_ask", "left").fillna(math.inf, bar_cols))
+    # the cells within the bars include the first ones that matter
+    found = best(round_of(known, False), "_ask")
+    same = [placed[c].eqNullSafe(asking[c]) for c in cols]
+    askers = placed.where(gaps).join(asking, same).select("_row", "_ask")
+    found = best(askers.join(found, "_ask").drop("_ask"), "_row")  # rows that share a number share their donors
     names = F.array(*[F.lit(c) for c in cols])
     imputed = found.groupBy("_row", "j").agg(
         F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("d2", "donor", "value"))), lambda s: s["value"]),

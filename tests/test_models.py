@@ -269,6 +269,22 @@ def test_knn_imputation_equals_brute_force(spark, cell_rows, block):
     assert neighbours.knn_impute(df.limit(0), ["a", "b"], key="id").count() == 0
 
 
+def test_knn_donors_that_agree_are_cut_to_k_and_equal_rows_ask_once(spark):
+    nan = np.nan
+    v = np.array([[1, nan], [2, 3], [1, nan], [1, nan], [2, 3], [0, 3]], float)
+    assert neighbours._first_of_equal(v, 2).tolist() == [0, 1, 2, 4, 5]
+    d2 = np.array([[4.0, 1, 1, 1, 0], [np.inf, np.inf, 2, 5, np.inf]])
+    assert np.stack(neighbours._smallest(d2, 3), 1).tolist() == [[0, 1], [0, 2], [0, 4], [1, 2], [1, 3]]
+    rng = np.random.default_rng(3)  # few values: most donors tie
+    x = np.column_stack([rng.integers(0, 3, 400), rng.integers(0, 2, 400), rng.normal(size=400)]).astype(float)
+    x[rng.random(x.shape) < 0.2] = nan
+    df = spark.createDataFrame([(i, *[None if np.isnan(c) else float(c) for c in r]) for i, r in enumerate(x)],
+                               "id long, a double, b double, c double")
+    want = naive_impute(x, 5)
+    for r in neighbours.knn_impute(df, ["a", "b", "c"], key="id", cell_rows=20, block=32).collect():
+        assert np.allclose([r.a, r.b, r.c], want[r.id], atol=1e-9)
+
+
 # --- fitting and Tukey ---
 
 def test_fitting_recovers_parameters(spark):
