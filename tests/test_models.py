@@ -235,6 +235,24 @@ def test_target_encoding_leaves_the_own_fold_out(spark):
     assert encode.target_encode(none, ["c"], "y", "id").where("c_target IS NOT NULL").count() == 0
 
 
+def test_mixture_sums_are_matrix_products(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, r = rng.normal(size=(500, 4)), rng.random((500, 3))
+    want = np.concatenate([[7.0 * 500], r.sum(0), (r.T @ x).ravel(), np.einsum("nk,ni,nj->kij", r, x, x).ravel()])
+    w, m, c = np.array([0.2, 0.0, 0.8]), rng.normal(size=(3, 4)), np.stack([np.cov(rng.normal(size=(4, 50)))] * 3)
+    dens = np.stack([w[j] * np.exp(-0.5 * np.einsum("ni,ij,nj->n", x - m[j], np.linalg.inv(c[j]), x - m[j]))
+                     / math.sqrt((2 * math.pi) ** 4 * np.linalg.det(c[j])) for j in range(3)], 1)
+    plain = np.einsum
+
+    def two(spec, *a, **k):
+        assert len(a) <= 2, "an outer product of every row and component"
+        return plain(spec, *a, **k)
+
+    monkeypatch.setattr(np, "einsum", two)
+    assert np.allclose(mixture.sums(x, r, np.full(500, 7.0)), want, rtol=1e-12)
+    assert np.allclose(np.exp(mixture.log_joint(x, w, m, c)), dens, rtol=1e-9)
+
+
 # --- KNN imputation ---
 
 def naive_impute(x, k):
