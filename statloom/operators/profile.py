@@ -34,6 +34,8 @@ SCORE_WORDS = ["score", "punteggio", "rating", "valutazione"]
 ID_MIN_RATIO = 0.9
 CATEGORY_MAX_RATIO = 0.05
 TEXT_MIN_RATIO = 0.5
+#: Most rows of a task that counts distinct values.
+TASK_ROWS = 500_000
 # ---------------------------------------------------------------------------
 
 CATEGORIES = ["identifier", "datetime", "numeric", "category", "text", "target", "feature",
@@ -206,7 +208,11 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     def miss(c):
         return F.sum(F.col(c).isNull().cast("long"))
 
-    wide = nan_to_null(ensure_parallelism(df)).agg(
+    # a task groups the values of every column of its rows before the shuffle: its rows are bounded, whatever the table
+    spread, parts = ensure_parallelism(df), -(-df.count() // TASK_ROWS)
+    if parts > spread.rdd.getNumPartitions():
+        spread = df.repartition(parts)
+    wide = nan_to_null(spread).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[a for i, c in enumerate(df.columns) for a in (dc(F.col(c)).alias(f"d{i}"), miss(c).alias(f"m{i}"))])
     prof = explode_structs(wide, [F.struct(

@@ -288,3 +288,13 @@ def test_close_is_exact_at_eps():
     assert part.tolist() == [0, 1, 0, 0, 1]
     a, y = np.array([[0.0], [0.2], [9.0]]), np.array([[9.3], [0.3], [30.0]])
     assert D._linked_parts(a, np.array([7, 7, 8]), y, np.array([3, 4, 5]), 0.5).tolist() == [[7, 4], [8, 3]]
+
+
+def test_distinct_counts_bound_the_rows_of_a_task(spark, monkeypatch):
+    from statloom.operators import profile as P
+    df = spark.createDataFrame([(i, float(i % 7), None if i % 3 else "t") for i in range(400)], "k long, v double, s string").coalesce(1)
+    monkeypatch.setattr(P, "TASK_ROWS", 20)
+    got = P.column_digest(df)
+    assert "Repartition 20, true" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.column_name: (r.n_distinct, round(r.pct_nulls, 3)) for r in got.collect()} == {
+        "k": (400, 0.0), "v": (7, 0.0), "s": (1, 66.5)}
