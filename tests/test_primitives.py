@@ -96,6 +96,19 @@ def test_special_functions_against_tables():
     assert math.isclose(special.norm_sf(1.959964)[()], 0.025, abs_tol=1e-7)
 
 
+def test_values_inside_brackets_are_counted_by_batch(spark):
+    """Values at the ends, ties, both zeros, infinities and nulls; rows are not blown up before they are counted."""
+    from statloom.functions.select import _values_inside
+    inf = float("inf")
+    vals = [None, -inf, -3.0, -0.0, 0.0, 1.0, 1.0, 2.0, 2.5, 7.0, 7.0, 7.0, 9.0, inf]
+    df = spark.createDataFrame([(v, None if v is None else -v) for v in vals], "a double, b double").repartition(3)
+    brackets = {0: [(0.0, 1.0), (1.0, 2.0), (7.0, 7.0)], 1: [(None, -9.0), (2.0, None)]}
+    out = _values_inside(df, ["a", "b"], brackets)
+    assert "Generate" not in out._jdf.queryExecution().toString()
+    got = {(r.ci, r.value): r.cnt for r in out.collect()}
+    assert got == {(0, 0.0): 2, (0, 1.0): 2, (0, 2.0): 1, (0, 7.0): 3, (1, -inf): 1, (1, -9.0): 1, (1, 3.0): 1, (1, inf): 1}
+
+
 @pytest.mark.parametrize("acc,limit", [(10000, 50000), (50, 20)])
 def test_selection_quantiles_exact(spark, acc, limit):
     from statloom.functions.select import exact_quantiles_select
