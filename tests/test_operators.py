@@ -183,6 +183,34 @@ def test_kendall_matches_brute_force(spark, cells_per_block):
     assert math.isclose(tau, s / math.sqrt((n0 - t1) * (n0 - t2)), rel_tol=1e-12)
 
 
+def test_isolation_forest_and_full_analysis_use_every_core(spark):
+    """A table read in one task is scored and analysed on every core."""
+    from statloom.operators.iforest import isolation_scores
+    from statloom.operators.prepare import AnalysisParams
+    from statloom.plans.engine import full_analysis
+    df = spark.range(2000, numPartitions=1).selectExpr("id", "cast(id % 97 as double) AS a", "cast(id * id % 101 as double) AS b")
+    cores = spark.sparkContext.defaultParallelism
+    assert isolation_scores(df, "id", trees=5).rdd.getNumPartitions() >= cores
+    done = full_analysis(df, AnalysisParams(analysis_types=("descriptive",)), key="id")["processed"]
+    assert done.rdd.getNumPartitions() >= cores and done.count() == 2000
+
+
+def test_path_lengths_walk_like_single_rows():
+    from statloom.operators import iforest
+    rng = np.random.default_rng(3)
+    nodes = pd.DataFrame(iforest._grow(rng.normal(size=(64, 3)), rng, 6),
+                         columns=["node", "feature", "threshold", "left", "right", "size", "depth"])
+    x = np.vstack([rng.normal(size=(50, 3)) * 2, [[np.inf, -np.inf, 0.0]]])
+
+    def walk(row):
+        n = nodes.iloc[0]
+        while n.feature >= 0:
+            n = nodes.iloc[int(n.left if row[int(n.feature)] < n.threshold else n.right)]
+        return n.depth + iforest.c_factor(n["size"])
+
+    assert np.allclose(iforest._path_lengths(x, iforest._tree(nodes)), [walk(r) for r in x], rtol=0, atol=0)
+
+
 def test_isolation_forest_finds_planted_outliers(spark):
     from statloom.operators.iforest import isolation_scores, outliers_isolation_forest
     rng = np.random.default_rng(0)
