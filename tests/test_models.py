@@ -109,6 +109,39 @@ def test_hierarchy_cuts(spark):
     assert hierarchy.hierarchy(df.limit(0))["summary"].first().n_rows == 0
 
 
+def test_spanning_forest_ties():
+    x = np.array([[0.0, 0.0], [0.0, 1.0], [1.0, 0.0], [1.0, 1.0]])
+    d = hierarchy._distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    # a square: of four equal edges the last in the order of their ends is left out, wherever the tree begins
+    assert sorted(tuple(sorted(e)) for e in hierarchy.spanning_forest(d)) == [(0, 1), (0, 2), (1, 3)]
+
+
+def test_closest_of_facing_lines_reads_a_band(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = (np.column_stack([np.full(3000, float(c)), rng.random(3000)]) for c in (0, 1))
+    want, read = hierarchy._distances(x, y).min(), []
+    full = hierarchy._distances
+    monkeypatch.setattr(hierarchy, "_distances", lambda a, b: read.append(len(a) * len(b)) or full(a, b))
+    assert hierarchy._closest(x, y) == want
+    assert sum(read) < 3000 * 3000 / 10
+
+
+def test_level_0_leaves_only_borders_to_the_rounds(spark):
+    rng = np.random.default_rng(6)
+    x = rng.random((3000, 2)).round(3).tolist()
+    pts = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "pid long, x array<double>").dropDuplicates(["x"])
+    rows = hierarchy._level_0(pts, 2, 2, 1 / 16).collect()
+    labels, edges = [r for r in rows if r.d is None], [r for r in rows if r.d is not None]
+    n = len({tuple(v) for v in x})
+    assert len(labels) == n and len({r.a for r in labels}) == n
+    assert len(edges) >= n - 1 and sum(r.rep < 0 for r in edges) < n / 5
+    # an inner edge joins points of one rep, and as many as make its points a tree
+    of = {r.a: r.b for r in labels}
+    assert all(of[r.a] == of[r.b] == r.rep for r in edges if r.rep >= 0)
+    assert sum(r.rep >= 0 for r in edges) == n - len(set(of.values()))
+
+
 # --- factor analysis ---
 
 def indicator_frame(rows, cats, nums):
